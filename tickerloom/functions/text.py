@@ -41,12 +41,19 @@ def hashed_vector(terms: Column, width: int) -> Column:
     Costs width x terms per row and needs no shuffle, so it suits short texts; long texts go through
     ``operators.vectors.hashed_long``.
     """
-    buckets = F.transform(terms, lambda term: bucket_of(term, width))
-    total = F.greatest(F.size(terms), F.lit(1))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda slot: F.size(F.filter(buckets, lambda b: b == slot)).cast("double") / total,
-    )
+    slots = F.sequence(F.lit(0), F.lit(width - 1))
+
+    def shares(buckets: Column) -> Column:
+        total = F.greatest(F.size(buckets), F.lit(1))
+
+        def share(slot: Column) -> Column:
+            return (F.size(buckets) - F.size(F.array_remove(buckets, slot))).cast("double") / total
+
+        return F.transform(slots, share)
+
+    # The one-element array binds the buckets to a lambda variable: hashed once per row, not once per slot.
+    hashed = F.transform(terms, lambda term: bucket_of(term, width))
+    return F.element_at(F.transform(F.array(hashed), shares), 1)
 
 
 def parse_vector(text: Column) -> Column:

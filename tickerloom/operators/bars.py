@@ -42,9 +42,10 @@ def weekly_bars(daily: DataFrame, extra_keys: Sequence[str] = (), order: Sequenc
 
     One hash aggregate with map-side combine, so a security with very many rows is reduced before the
     shuffle.  ``order`` breaks ties between records of the same day; the price itself is the last key.
-    ``extra_keys`` (for example the period) become part of the group.
+    With one record per security and day pass no ``order``: a plain date lets Spark aggregate by hash, a
+    struct makes it sort.  ``extra_keys`` (for example the period) become part of the group.
     """
-    last_key = F.struct("date", *order, "adj")
+    last_key = F.struct("date", *order, "adj") if order else F.col("date")
     return (
         tradable(daily)
         .withColumn("adj", adjusted_price())

@@ -23,17 +23,22 @@ def _bucketed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return pin(df.repartitionByRange(*keys).withColumn(BUCKET, F.spark_partition_id()), "buckets")
 
 
-def running_total(df: DataFrame, within: Sequence[str], order: Sequence[str], weight: Column, out: str) -> DataFrame:
+def running_total(
+    df: DataFrame, within: Sequence[str], order: Sequence[str], weight: Column, out: str, total: str | None = None
+) -> DataFrame:
     """Inclusive running sum of ``weight`` along ``order`` inside each ``within`` group (keys not null).
 
-    The table of bucket sums has at most one row per group and bucket it touches.
+    ``total`` names a column for the sum of the whole group.  The table of bucket sums has at most one row
+    per group and bucket it touches, so a window over the buckets of a group is small whatever its rows.
     """
     rows = _bucketed(df, [*within, *order])
     inside = Window.partitionBy(*within, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*within).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = Window.partitionBy(*within)
+    earlier = buckets.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    extra = [F.sum("_sum").over(buckets).alias(total)] if total else []
     carried = (
         rows.groupBy(*within, BUCKET).agg(F.sum(weight).alias("_sum"))
-        .select(*within, BUCKET, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carried"))
+        .select(*within, BUCKET, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carried"), *extra)
     )
     return (
         rows.withColumn(out, F.sum(weight).over(inside))
@@ -54,9 +59,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities:
     Equal values are counted first, so a value that fills a third of the rows costs one row.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    ranked = running_total(counts, by, [value], F.col("_n"), "_upto")
-    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    sized = ranked.join(totals, list(by))
+    ranked = running_total(counts, by, [value], F.col("_n"), "_upto", "_total")
 
     def at(index: Column) -> Column:
         return F.max(F.when((F.col("_upto") - F.col("_n") <= index) & (index < F.col("_upto")), F.col(value)))
@@ -71,7 +74,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities:
         ]
         low, high, part = (F.col(f"_{end}_{name}") for end in ("lo", "hi", "part"))
         results.append((low + (high - low) * part).alias(name))
-    return sized.groupBy(*by).agg(*picks).select(*by, *results)
+    return ranked.groupBy(*by).agg(*picks).select(*by, *results)
 
 
 def rolling_mean(

@@ -88,22 +88,23 @@ def train_groups(
         shards = F.ceil(F.col("group_rows") / max_rows)
         large = parts.large.join(parts.large_sizes, on).withColumn("shard", F.pmod("mix", shards).cast("int"))
         large = pin(large.drop("group_rows"), "shards")
-        current = large.select(*on, "shard").distinct().withColumn("weights", F.array_repeat(F.lit(0.0), 2 * (width + 1)))
-        for epoch in range(1, epochs + 1):
-
-            def train_shard(key: tuple, frame: pd.DataFrame, start: pd.DataFrame, epoch: int = epoch) -> pd.DataFrame:
-                x1, y = _matrix(frame)
-                first = np.asarray(start["weights"].iloc[0], float).reshape(2, -1)
-                result, losses = _one_pass(x1, y, first, epoch, batch, rate)
-                return pd.DataFrame([[*key, epoch, len(y), result.ravel(), losses]], columns=schema.names)
-
-            done = pin(
-                large.groupBy(*on, "shard").cogroup(current.groupBy(*on, "shard")).applyInPandas(train_shard, schema), "passes"
-            )
+        zeros = F.array_repeat(F.lit(0.0), 2 * (width + 1))
+        current = large.select(*on, "shard").distinct().withColumns({"epoch": F.lit(0), "weights": zeros})
+
+        def train_shard(key: tuple, frame: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+            x1, y = _matrix(frame)
+            first = np.asarray(start["weights"].iloc[0], float).reshape(2, -1)
+            epoch = int(start["epoch"].iloc[0]) + 1
+            result, losses = _one_pass(x1, y, first, epoch, batch, rate)
+            return pd.DataFrame([[*key, epoch, len(y), result.ravel(), losses]], columns=schema.names)
+
+        for _ in range(epochs):
+            joined = large.groupBy(*on, "shard").cogroup(current.groupBy(*on, "shard"))
+            done = pin(joined.applyInPandas(train_shard, schema), "passes")
             average = vector_to_array(Summarizer.mean(array_to_vector(F.col("weights")), F.col("n_rows").cast("double")))
             mean = done.groupBy(*on, "epoch").agg(average.alias("weights"))
             weights, log = weights.unionByName(mean), log.unionByName(done)
-            current = done.select(*on, "shard").join(mean.drop("epoch"), on)
+            current = done.select(*on, "shard").join(mean, on)
     steps = log.select(*on, "epoch", "shard", F.posexplode("losses").alias("step", "loss"))
     return Training(weights, steps.withColumn("step", F.col("step") + 1))
 

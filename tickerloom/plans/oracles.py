@@ -434,9 +434,10 @@ def build() -> dict[str, str]:
         "portfolio_weights": _with("weights", f"""
             SELECT model, ticker, {_r('score')}, CAST(leg_rank AS INT) leg_rank, leg, {_r('ew')}, {_r('vw')} FROM weights"""),
         "portfolio_returns": _with("series", f"SELECT model, scenario, week, type, {_r('ret')} FROM series"),
-        "cumulative_returns": _with("series", f"""
-            SELECT model, scenario, week, type, {_r('ret')},
-                   {_q('product(1 + ret) OVER (PARTITION BY model, scenario, type ORDER BY week) - 1')} AS cum_ret FROM series"""),
+        "cumulative_returns": _with("series", """
+            SELECT model, scenario, week, type,
+                   CAST(printf('%.5e', product(1 + ret) OVER (PARTITION BY model, scenario, type ORDER BY week) - 1) AS DOUBLE) cum_ret
+            FROM series"""),
         "risk_table": _with("risk", f"SELECT model, scenario, type, {_r('ret')}, {_r('std')}, {_r('sr')} FROM risk"),
         "risk_table_wide": _with("risk", f"""SELECT scenario "Scenario", type "Type", {_CELLS} FROM risk GROUP BY ALL ORDER BY 1, 2"""),
         "sharpe_by_model": _with("risk weekly_ret", """

@@ -485,6 +485,10 @@ def _weekly(spark: SparkSession, folder: str) -> DataFrame:
     return weekly_returns(_later_bars(spark, folder), _later_daily(spark, folder))
 
 
+def _pinned_weekly(spark: SparkSession, folder: str) -> DataFrame:
+    return pin(_weekly(spark, folder), "weekly")
+
+
 @query
 def weekly_compound(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_weekly(spark, folder))
@@ -539,7 +543,7 @@ def portfolio_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _series(spark: SparkSession, folder: str) -> DataFrame:
-    return portfolio_series(views.rule_predictions(spark, folder), _weekly(spark, folder), RULE_MODELS)
+    return portfolio_series(views.rule_predictions(spark, folder), _pinned_weekly(spark, folder), RULE_MODELS)
 
 
 @query
@@ -549,8 +553,10 @@ def portfolio_returns(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def cumulative_returns(spark: SparkSession, folder: str) -> DataFrame:
-    series = _series(spark, folder)
-    return rounded(portfolio.cumulative_returns(series, ["model", "scenario", "type"]))
+    """Compounded over many weeks the values span many orders of magnitude, so they keep six digits each."""
+    series = portfolio.cumulative_returns(_series(spark, folder), ["model", "scenario", "type"])
+    digits = F.format_string("%.5e", "cum_ret").cast("double")
+    return series.select("model", "scenario", "week", "type", digits.alias("cum_ret"))
 
 
 @query
@@ -565,7 +571,7 @@ def risk_table_wide(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def sharpe_by_model(spark: SparkSession, folder: str) -> DataFrame:
-    weekly = _weekly(spark, folder)
+    weekly = _pinned_weekly(spark, folder)
     series = portfolio_series(views.rule_predictions(spark, folder), weekly, RULE_MODELS)
     gross = series.where(F.col("scenario") == GROSS)
     return rounded(portfolio.sharpe_by_model(gross, returns.market_return(weekly)))
@@ -627,7 +633,7 @@ def walk_forward_predict(spark: SparkSession, folder: str) -> DataFrame:
 def walk_forward_risk(spark: SparkSession, folder: str) -> DataFrame:
     """From prices and news to vectors, walk-forward predictions, portfolios and the risk table."""
     predictions = pin(_walk_forward(spark, folder), "predictions")
-    return rounded(portfolio.risk_table(portfolio_series(predictions, _weekly(spark, folder), list(vectors.VARIANTS))))
+    return rounded(portfolio.risk_table(portfolio_series(predictions, _pinned_weekly(spark, folder), list(vectors.VARIANTS))))
 
 
 def _trained(spark: SparkSession, folder: str) -> tuple[trainer.Training, DataFrame]:

@@ -17,7 +17,10 @@ def weekly_returns(panel: DataFrame, daily: DataFrame, cost_per_row: bool = Fals
 
 
 def portfolio_series(predictions: DataFrame, weekly: DataFrame, models: Sequence[str], leg_size: int = LEG_SIZE) -> DataFrame:
-    """Six portfolios per model and cost scenario, for any prediction set (model, ticker, predicted_direction)."""
+    """Six portfolios per model and cost scenario, for any prediction set (model, ticker, predicted_direction).
+
+    ``weekly`` is read several times: pass a pinned table.
+    """
     returns = by_scenario(weekly)
     picks = long_short_picks(ticker_scores(predictions, weekly), leg_size)
     return portfolio_returns(portfolio_weights(picks), returns, models, [GROSS, NET])
