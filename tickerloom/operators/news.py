@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions.dates import following_friday, in_range, week_end
+from tickerloom.operators.joins import left_join_split
 from tickerloom.params import NO_HEADLINE
 
 
@@ -24,27 +25,15 @@ def add_situation(
     With ``estimation`` only details of events announced in that range are used, which leaves later
     events without a situation.
     """
-    right = detail.select(F.col("keydevid").alias("_id"), F.col("headline").alias("_text"), "situation")
+    right = detail.select("keydevid", "headline", "situation")
     if estimation is not None:
-        known = events.where(in_range(F.col("announcedate"), estimation)).select(F.col("keydevid").alias("_id"))
-        right = right.join(known.distinct(), "_id", "left_semi")
-    same = events["keydevid"].eqNullSafe(right["_id"]) & events["headline"].eqNullSafe(right["_text"])
-    return events.join(right, same, "left").drop("_id", "_text")
+        known = events.where(in_range(F.col("announcedate"), estimation)).select("keydevid")
+        right = right.join(known.distinct(), "keydevid", "left_semi")
+    return left_join_split(events, right, ["keydevid", "headline"], null_safe=True)
 
 
 def news_for_next_week(bars: DataFrame, news: DataFrame, on: Sequence[str] = ("permco",)) -> DataFrame:
-    """Each bar with every headline of the week before, or one placeholder row.
-
-    Written as an inner join plus the bars without news, not as a left join: adaptive execution may
-    split a company's week with very many headlines in an inner join, but not on the right side of a
-    left join.  The anti join sees one row per company and week.
-    """
-    dated = news.select(
-        *on,
-        following_friday(week_end(F.col("announcedate"))).alias("end_date"),
-        F.coalesce(F.col("headline"), F.lit(NO_HEADLINE)).alias("headline"),
-    )
-    keys = [*on, "end_date"]
-    matched = bars.join(dated, keys)
-    silent = bars.join(dated.select(*keys).distinct(), keys, "left_anti").withColumn("headline", F.lit(NO_HEADLINE))
-    return matched.unionByName(silent)
+    """Each bar with every headline of the week before, or one placeholder row."""
+    dated = news.select(*on, following_friday(week_end(F.col("announcedate"))).alias("end_date"), "headline")
+    panel = left_join_split(bars, dated, [*on, "end_date"])
+    return panel.withColumn("headline", F.coalesce("headline", F.lit(NO_HEADLINE)))

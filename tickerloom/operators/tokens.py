@@ -76,13 +76,12 @@ def token_sequences(
     plain truncation.  Rows are padded to the longest of their batch, ``batch`` rows in key order.  Batches
     are formed on (key, seq_no, length) alone, so the tokens are not sorted.
     """
-    words = tokens(F.col(text))
     starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("words") / max_tokens) - 1, F.lit(0)).cast("int"))
-    rows = (
-        df.select(key, words.alias("words"))
-        .select(key, "words", F.explode(F.array(F.lit(0)) if first_only else starts).alias("seq_no"))
-        .select(key, "seq_no", F.slice("words", F.col("seq_no") * max_tokens + 1, F.lit(max_tokens)).alias("tokens"))
+    pieces = F.transform(
+        F.array(F.lit(0)) if first_only else starts, lambda i: F.slice("words", i * max_tokens + 1, F.lit(max_tokens))
     )
+    words = df.select(key, tokens(F.col(text)).alias("words"))
+    rows = words.select(key, F.posexplode(pieces).alias("seq_no", "tokens"))
     lengths = rows.select(key, "seq_no", F.size("tokens").alias("n_tokens"))
     batches = positions(lengths, [], [key, "seq_no"]).withColumn(
         "batch_no", F.floor((F.col("pos") - 1) / batch).cast("long")

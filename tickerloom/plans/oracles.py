@@ -446,6 +446,20 @@ def build() -> dict[str, str]:
                 for t in ("EW L", "EW S", "EW LS", "VW L", "VW S", "VW LS")) + ", " + _q(
                 "(SELECT avg(m) / nullif(stddev_samp(m), 0) FROM (SELECT avg(ret) m FROM weekly_ret GROUP BY week))") + """ AS market
             FROM risk WHERE scenario = 'Without Transaction Cost' GROUP BY model"""),
+        "market_cumulative": _with("scenario_ret", """
+            , m AS (SELECT scenario, week, avg(ret) ret FROM scenario_ret GROUP BY ALL)
+            SELECT scenario, week, CAST(printf('%.5e', product(1 + ret) OVER (PARTITION BY scenario ORDER BY week) - 1) AS DOUBLE) cum_ret
+            FROM m"""),
+        "headline_vectors": _with("news_linked", f"""
+            , h AS (SELECT DISTINCT headline, {_WORDS.format('headline')} w FROM news_linked),
+            v AS (SELECT headline, 'uni16' model, 16 width, w terms FROM h
+                  UNION ALL SELECT headline, 'uni32', 32, w FROM h
+                  UNION ALL SELECT headline, 'pair32', 32,
+                                   w || [w[i] || ' ' || w[i + 1] for i in range(1, greatest(len(w), 1))] FROM h),
+            e AS (SELECT headline, model, len(terms) total,
+                         unnest([CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % width for t in terms]) bucket FROM v)
+            SELECT headline, model, CAST(bucket AS INT) bucket, {_q('count(*) / total')} AS value
+            FROM e GROUP BY headline, model, bucket, total"""),
         "walk_forward_folds": _with("clean_rows", """
             , u AS (SELECT permco, CAST(year(start_date) * 4 + quarter(start_date) - 1 AS BIGINT) unit, count(*) n, sum(direction) up
                     FROM clean_rows GROUP BY ALL),

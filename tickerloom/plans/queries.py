@@ -507,6 +507,13 @@ def market_return(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(returns.market_return(returns.by_scenario(_weekly(spark, folder)), ["scenario", "week"]))
 
 
+@query
+def market_cumulative(spark: SparkSession, folder: str) -> DataFrame:
+    market = returns.market_return(returns.by_scenario(_weekly(spark, folder)), ["scenario", "week"])
+    digits = F.format_string("%.5e", "cum_ret").cast("double")
+    return portfolio.cumulative_returns(market, ["scenario"]).select("scenario", "week", digits.alias("cum_ret"))
+
+
 RANK_LABELS = [f"top_{rank:02d}" for rank in range(1, UNIVERSE_SIZE + 1)]
 
 
@@ -584,6 +591,15 @@ def _vectors(spark: SparkSession, folder: str) -> DataFrame:
     return pin(labelled_vectors(_panel(spark, folder)), "vectors")
 
 
+@query
+def headline_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Non-zero entries of each encoder variant for every distinct headline."""
+    headlines = views.news_linked(spark, folder).select("headline").distinct()
+    cells = vectors.stack_variants(vectors.add_variants(headlines, "headline"))
+    rows = cells.select("headline", "model", F.posexplode("features").alias("bucket", "value")).where("value > 0")
+    return rounded(rows)
+
+
 @query
 def walk_forward_folds(spark: SparkSession, folder: str) -> DataFrame:
     rows = cleaning.clean_panel(_panel(spark, folder), ["period"]).select(
@@ -653,6 +669,14 @@ def train_predict_by_group(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def trained_risk(spark: SparkSession, folder: str) -> DataFrame:
+    """The risk table of the per-company trained models."""
+    training, test = _trained(spark, folder)
+    predictions = pin(trainer.predict_groups(test, training, ["permco", "model"]), "predictions")
+    return rounded(portfolio.risk_table(portfolio_series(predictions, _pinned_weekly(spark, folder), list(vectors.VARIANTS))))
+
+
 @query
 def training_log(spark: SparkSession, folder: str) -> DataFrame:
     training, test = _trained(spark, folder)
