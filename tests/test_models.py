@@ -86,6 +86,20 @@ def test_spread_walk_forward_equals_grouped(spark):
     assert flagged == {2, 3, 4}
 
 
+def test_models_may_differ_in_width(spark):
+    rows = make_rows(spark, [1], 5, 40).unionByName(make_rows(spark, [1], 5, 40, width=6).withColumn("model", F.lit("wide")))
+    grouped = logistic.walk_forward_predict(rows, ["permco", "model"], ["id"], 2)
+    spread = logistic.walk_forward_predict(rows, ["permco", "model"], ["id"], 2, max_group_values=1)
+    assert collected(grouped) == collected(spread.select(grouped.columns))
+    widths = {r.model: len(r.beta) for r in logistic.fit_groups(rows, ["permco", "model"], max_group_values=1).collect()}
+    assert widths == {"m": 4, "wide": 7}
+    for limit in (10**6, 300):
+        result = trainer.train_groups(rows, ["permco", "model"], ["unit", "id"], max_group_values=limit)
+        predicted = trainer.predict_groups(rows, result, ["permco", "model"])
+        right = (F.col("true_direction") == F.col("predicted_direction")).cast("double")
+        assert all(r.a > 0.8 for r in predicted.groupBy("model").agg(F.avg(right).alias("a")).collect())
+
+
 def test_training_learns_and_logs(spark):
     rows = make_rows(spark, [1, 2], 1, 120)
     result = trainer.train_groups(rows, ["permco", "model"], ["unit", "id"], epochs=3, batch=8)

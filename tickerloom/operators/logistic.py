@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickerloom.functions.numbers import dot
-from tickerloom.operators.sizing import MAX_GROUP_VALUES, feature_width, split_by_size
+from tickerloom.operators.sizing import MAX_GROUP_VALUES, split_by_size, widest
 from tickerloom.params import TRAIN_WINDOW
 from tickerloom.session import pin
 
@@ -84,12 +84,11 @@ def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
     return [df.schema[name] for name in names]
 
 
-def _to_blocks(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
+def _to_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Pack rows (keys, unit, label, features, mix) into blocks of one key and unit, of bounded size.
 
     Range partitioning on (key, unit, row hash) spreads a key of any size evenly.
     """
-    per_block = max(1, BLOCK_VALUES // max(1, width))
     schema = T.StructType([
         *_fields(rows, [*keys, "unit"]), T.StructField("xs", _DOUBLES), T.StructField("ys", _DOUBLES)
     ])
@@ -97,6 +96,7 @@ def _to_blocks(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for key, part in frame.groupby([*keys, "unit"], sort=False):
+                per_block = max(1, BLOCK_VALUES // len(part["features"].iloc[0]))
                 for i in range(0, len(part), per_block):
                     piece = part.iloc[i:i + per_block]
                     yield pd.DataFrame([
@@ -136,13 +136,13 @@ def _sum_terms(blocks: DataFrame, active: DataFrame, keys: list[str]) -> DataFra
     )
 
 
-def fit_spread(rows: DataFrame, problems: DataFrame, keys: list[str], width: int, penalty: float = PENALTY) -> DataFrame:
-    """(keys, fold, beta) for problems (keys, fold, train_units) over rows that stay spread.
+def fit_spread(rows: DataFrame, problems: DataFrame, keys: list[str], penalty: float = PENALTY) -> DataFrame:
+    """(keys, fold, beta) for problems (keys, fold, train_units, width) over rows that stay spread.
 
     The state, one row per problem, is written after each step, so a lost executor costs one step.
     """
-    blocks = pin(_to_blocks(rows, keys, width), "blocks")
-    zeros = F.array_repeat(F.lit(0.0), width + 1)
+    blocks = pin(_to_blocks(rows, keys), "blocks")
+    zeros = F.array_repeat(F.lit(0.0), F.col("width") + 1)
     state = problems.select(
         *keys, F.col("fold").cast("long").alias("fold"), "train_units", zeros.alias("beta"),
         zeros.alias("base"), zeros.alias("step"), F.lit(float("inf")).alias("value"), F.lit(1.0).alias("scale"),
@@ -156,7 +156,7 @@ def fit_spread(rows: DataFrame, problems: DataFrame, keys: list[str], width: int
             for row in frame.to_dict("records"):
                 terms = np.asarray(row.pop("terms"), float)
                 point = NewtonState(*(np.asarray(row[k], float) for k in ("beta", "base", "step")), row["value"], row["scale"])
-                size = width + 1
+                size = len(point.beta)
                 point.advance(terms[1], terms[2:2 + size], terms[2 + size:].reshape(size, size), terms[0], penalty)
                 row.update(beta=point.beta, base=point.base, step=point.step, value=point.value, scale=point.scale, done=point.done)
                 out.append(row)
@@ -175,8 +175,7 @@ def fit_spread(rows: DataFrame, problems: DataFrame, keys: list[str], width: int
 def fit_groups(rows: DataFrame, keys: Sequence[str], max_group_values: int = MAX_GROUP_VALUES) -> DataFrame:
     """(keys, beta): one fit per group over all its rows (label, features); groups need both classes."""
     on = list(keys)
-    width = feature_width(rows, "features")
-    parts = split_by_size(rows, on, max(1, max_group_values // max(1, width)))
+    parts = split_by_size(rows, on, max(1, max_group_values // widest(rows, "features")))
     schema = T.StructType([*_fields(rows, on), T.StructField("beta", _DOUBLES)])
 
     def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -186,9 +185,11 @@ def fit_groups(rows: DataFrame, keys: Sequence[str], max_group_values: int = MAX
     fitted = parts.small.select(*on, "label", "features").groupBy(*on).applyInPandas(fit, schema)
     if parts.large is None:
         return fitted
-    spread = parts.large.select(*on, F.lit(0).cast("long").alias("unit"), "label", "features", F.xxhash64("features", "label").alias("mix"))
-    problems = parts.large_sizes.select(*on, F.lit(0).alias("fold"), F.array(F.lit(0).cast("long")).alias("train_units"))
-    return fitted.unionByName(fit_spread(spread, problems, on, width).drop("fold"))
+    zero = F.lit(0).cast("long")
+    spread = parts.large.select(*on, zero.alias("unit"), "label", "features", F.monotonically_increasing_id().alias("mix"))
+    widths = parts.large.groupBy(*on).agg(F.max(F.size("features")).alias("width"))
+    problems = widths.select(*on, zero.alias("fold"), F.array(zero).alias("train_units"), "width")
+    return fitted.unionByName(fit_spread(spread, problems, on).drop("fold"))
 
 
 def walk_forward_folds(rows: DataFrame, keys: Sequence[str], window: int = TRAIN_WINDOW) -> DataFrame:
@@ -225,8 +226,7 @@ def walk_forward_predict(
     Folds are looped inside the group, so a row is shuffled once and not once per fold.
     """
     on = list(keys)
-    width = feature_width(rows, "features")
-    parts = split_by_size(rows, on, max(1, max_group_values // max(1, width)))
+    parts = split_by_size(rows, on, max(1, max_group_values // widest(rows, "features")))
     schema = T.StructType([
         *_fields(rows, [*on, *ids]), T.StructField("unit", T.LongType()), T.StructField("true_direction", T.IntegerType()),
         T.StructField("predicted_direction", T.IntegerType()), T.StructField("one_class", T.BooleanType()),
@@ -254,19 +254,20 @@ def walk_forward_predict(
     predicted = parts.small.select(*needed).groupBy(*on).applyInPandas(run, schema)
     if parts.large is None:
         return predicted
-    return predicted.unionByName(_predict_spread(parts.large.select(*needed), on, list(ids), window, width))
+    return predicted.unionByName(_predict_spread(parts.large.select(*needed), on, list(ids), window))
 
 
-def _predict_spread(rows: DataFrame, keys: list[str], ids: list[str], window: int, width: int) -> DataFrame:
+def _predict_spread(rows: DataFrame, keys: list[str], ids: list[str], window: int) -> DataFrame:
     folds = pin(walk_forward_folds(rows, keys, window), "folds")
     mixed = (F.col("n_train_up") > 0) & (F.col("n_train_up") < F.col("n_train"))
-    problems = folds.where(mixed).select(*keys, F.col("test_unit").alias("fold"), "train_units")
+    widths = rows.groupBy(*keys).agg(F.max(F.size("features")).alias("width"))
+    problems = folds.where(mixed).join(widths, keys).select(*keys, F.col("test_unit").alias("fold"), "train_units", "width")
     training = rows.select(*keys, "unit", "label", "features", F.xxhash64(*ids).alias("mix"))
-    betas = fit_spread(training, problems, keys, width)
+    betas = fit_spread(training, problems, keys)
     fitted = folds.join(betas.withColumnRenamed("fold", "test_unit"), [*keys, "test_unit"], "left").select(
         *keys, F.col("test_unit").alias("unit"), "beta", (F.col("n_train_up") > 0).cast("int").alias("only_class")
     )
-    margin = dot(F.col("features"), F.slice("beta", 1, width)) + F.element_at("beta", -1)
+    margin = dot(F.col("features"), F.slice("beta", F.lit(1), F.size("features"))) + F.element_at("beta", -1)
     guess = F.when(F.col("beta").isNull(), F.col("only_class")).otherwise((margin > 0).cast("int"))
     return rows.join(fitted, [*keys, "unit"]).select(
         *keys, *ids, "unit", F.col("label").cast("int").alias("true_direction"),

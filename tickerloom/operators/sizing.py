@@ -18,10 +18,9 @@ class BySize(NamedTuple):
     large_sizes: DataFrame | None
 
 
-def feature_width(rows: DataFrame, features: str) -> int:
-    """Length of the feature arrays, read from one row; 0 without rows."""
-    first = rows.select(F.size(features).alias("width")).first()
-    return first.width if first else 0
+def widest(rows: DataFrame, features: str) -> int:
+    """Length of the longest feature array (groups may differ); 1 at least."""
+    return max(1, rows.agg(F.max(F.size(features)).alias("width")).first().width or 1)
 
 
 def split_by_size(rows: DataFrame, keys: Sequence[str], max_rows: int) -> BySize:

@@ -15,12 +15,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickerloom.functions.numbers import argmax, dot
-from tickerloom.operators.sizing import MAX_GROUP_VALUES, feature_width, split_by_size
+from tickerloom.operators.sizing import MAX_GROUP_VALUES, split_by_size, widest
 from tickerloom.params import EPOCHS, TRAIN_BATCH
 from tickerloom.session import pin
 
@@ -64,8 +64,7 @@ def train_groups(
 ) -> Training:
     """Train every group of ``rows`` (keys, ids, label 0/1, features); pass a pinned table."""
     on = list(keys)
-    width = feature_width(rows, "features")
-    max_rows = max(1, max_group_values // max(1, width))
+    max_rows = max(1, max_group_values // widest(rows, "features"))
     ready = rows.select(*on, "label", "features", F.xxhash64(*ids).alias("mix"))
     parts = split_by_size(ready, on, max_rows)
     schema = T.StructType([
@@ -88,8 +87,9 @@ def train_groups(
         shards = F.ceil(F.col("group_rows") / max_rows)
         large = parts.large.join(parts.large_sizes, on).withColumn("shard", F.pmod("mix", shards).cast("int"))
         large = pin(large.drop("group_rows"), "shards")
-        zeros = F.array_repeat(F.lit(0.0), 2 * (width + 1))
-        current = large.select(*on, "shard").distinct().withColumns({"epoch": F.lit(0), "weights": zeros})
+        shapes = large.groupBy(*on, "shard").agg(F.max(F.size("features")).alias("width"))
+        zeros = F.array_repeat(F.lit(0.0), 2 * (F.col("width") + 1))
+        current = shapes.select(*on, "shard", F.lit(0).alias("epoch"), zeros.alias("weights"))
 
         def train_shard(key: tuple, frame: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
             x1, y = _matrix(frame)
@@ -109,14 +109,14 @@ def train_groups(
     return Training(weights, steps.withColumn("step", F.col("step") + 1))
 
 
-def scored(test: DataFrame, weights: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+def scored(test: DataFrame, weights: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Test rows with ``logits`` (array of two) and the predicted class, for each pass in ``weights``."""
+    width = F.size("features")
 
-    def score(first: int):
-        layer = F.slice("weights", first, width)
-        return dot(F.col("features"), layer) + F.element_at("weights", first + width)
+    def score(first: Column) -> Column:
+        return dot(F.col("features"), F.slice("weights", first, width)) + F.get("weights", first + width - 1)
 
-    logits = F.array(score(1), score(width + 2))
+    logits = F.array(score(F.lit(1)), score(width + 2))
     return (
         test.join(weights, list(keys)).withColumn("logits", logits)
         .withColumn("predicted_direction", argmax(F.col("logits")))
@@ -126,15 +126,13 @@ def scored(test: DataFrame, weights: DataFrame, keys: Sequence[str], width: int)
 
 def predict_groups(test: DataFrame, training: Training, keys: Sequence[str]) -> DataFrame:
     """Scores and classes of the test rows from the last pass; groups without training rows are left out."""
-    width = feature_width(test, "features")
     last = training.weights.groupBy(*keys).agg(F.max_by("weights", "epoch").alias("weights"))
-    return scored(test, last, keys, width).withColumn("true_direction", F.col("label").cast("int")).drop("features", "label")
+    return scored(test, last, keys).withColumn("true_direction", F.col("label").cast("int")).drop("features", "label")
 
 
 def training_log(training: Training, test: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, kind, epoch, shard, step, value): the loss of each step and the test accuracy after each pass."""
-    width = feature_width(test, "features")
-    hits = scored(test, training.weights, keys, width)
+    hits = scored(test, training.weights, keys)
     accuracy = hits.groupBy(*keys, "epoch").agg(
         F.avg((F.col("predicted_direction") == F.col("label")).cast("double")).alias("value")
     )
