@@ -24,6 +24,7 @@ SMALL_COST = 21.27 / 10000
 RISK_FREE = 0.0
 EXCHANGE = 1
 NO_HEADLINE = "No_Headlines"
+# Names of pre-trained encoders; ``operators.vectors.VARIANTS`` are the variants computed here.
 MODEL_KEYS = ("bert", "roberta", "distilbert", "distilroberta", "finbert")
 
 # Scenario and portfolio names as they appear in the risk tables.

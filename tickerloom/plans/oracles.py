@@ -127,7 +127,9 @@ _STEPS: dict[str, str] = {
         SELECT *, CASE WHEN cap >= median_cap THEN 'Large' ELSE 'Small' END size_class
         FROM (SELECT *, prc * shrout cap, median(prc * shrout) OVER (PARTITION BY date) median_cap
               FROM panel_daily WHERE exchcd = 1 AND prc IS NOT NULL AND shrout IS NOT NULL AND date IS NOT NULL)""",
-    "sizes": "SELECT date, ticker, min(size_class) size_class FROM all_sizes GROUP BY ALL",
+    "sizes": """
+        SELECT date, ticker, min(size_class) size_class FROM all_sizes
+        WHERE date BETWEEN DATE '1999-01-01' AND DATE '2001-12-31' GROUP BY ALL""",
     "period_returns": """
         SELECT ticker, start_date, adj_prc price,
                adj_prc / lag(adj_prc) OVER (PARTITION BY ticker ORDER BY start_date) - 1.0 ret FROM later_bars""",

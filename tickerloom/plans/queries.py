@@ -15,7 +15,7 @@ from tickerloom.functions import dates, nested, numbers, text
 from tickerloom.operators import (
     bars, cleaning, logistic, news, ordered, portfolio, profiling, returns, scores, tokens, trainer, universe, vectors,
 )
-from tickerloom.params import GROSS, UNIVERSE_SIZE
+from tickerloom.params import GROSS, MOVING_AVERAGE_ROWS, SIC_BAND, UNIVERSE_SIZE
 from tickerloom.plans.panel import labelled_vectors, period_bars, period_panel
 from tickerloom.plans.report import portfolio_series, weekly_returns
 from tickerloom.session import pin, scratch_path
@@ -56,7 +56,7 @@ def _sql_panel(spark: SparkSession, folder: str, text_: str) -> DataFrame:
         "stock_names": views.stock_names(spark, folder),
     })
     first, last = PERIODS.estimation
-    args = {"sic_low": 5500, "sic_high": 6000, "first_day": first, "last_day": last}
+    args = {"sic_low": SIC_BAND[0], "sic_high": SIC_BAND[1], "first_day": first, "last_day": last}
     return rounded(tables.run_sql(spark, text_, args))
 
 
@@ -272,7 +272,7 @@ def clean_panel(spark: SparkSession, folder: str) -> DataFrame:
 def _moving_average(spark: SparkSession, folder: str, within: list[str], order: list[str]) -> DataFrame:
     panel = news.news_for_next_week(views.weekly(spark, folder), views.news_linked(spark, folder))
     rows = panel.select("permco", "ticker", "end_date", "headline", "adj_prc").dropDuplicates()
-    return rounded(ordered.rolling_mean(rows, "adj_prc", within, order, 5, "ma5"))
+    return rounded(ordered.rolling_mean(rows, "adj_prc", within, order, MOVING_AVERAGE_ROWS, "ma5"))
 
 
 @query
