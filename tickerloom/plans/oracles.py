@@ -471,6 +471,20 @@ def build() -> dict[str, str]:
                          CAST(sum(up) OVER (k ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS BIGINT) n_train_up
                   FROM u WINDOW k AS (PARTITION BY permco ORDER BY unit))
             SELECT permco, test_unit, n_test, train_units, n_train, n_train_up FROM p WHERE place > 10 AND place < units"""),
+        "walk_forward_counts": _with("clean_rows", """
+            , u AS (SELECT permco, CAST(year(start_date) * 4 + quarter(start_date) - 1 AS BIGINT) unit, count(*) n,
+                           CAST(sum(direction) AS BIGINT) n_up FROM clean_rows GROUP BY ALL),
+            p AS (SELECT *, row_number() OVER (PARTITION BY permco ORDER BY unit) place, count(*) OVER (PARTITION BY permco) units FROM u)
+            SELECT permco, model, unit, n, n_up FROM p, (VALUES ('uni16'), ('uni32'), ('pair32')) m(model)
+            WHERE place > 10 AND place < units"""),
+        "train_predict_counts": _with("clean_rows", """
+            SELECT permco, model, count(*) n, CAST(sum(direction) AS BIGINT) n_up
+            FROM clean_rows, (VALUES ('uni16'), ('uni32'), ('pair32')) m(model)
+            WHERE period = 'out_of_sample' AND permco IN (SELECT permco FROM clean_rows WHERE period = 'estimation')
+            GROUP BY ALL"""),
+        "lr_gradient": """
+            SELECT permco, model, CAST(term AS INT) term, 0.0::DOUBLE gradient
+            FROM (SELECT DISTINCT vec_id % 2 permco FROM embeddings), (VALUES ('first32'), ('last32')) m(model), range(0, 33) t(term)""",
         "trainable_groups": _with("period_bars", """
             SELECT permco FROM period_bars GROUP BY permco HAVING count(DISTINCT period) = 2"""),
     }

@@ -73,8 +73,7 @@ def sql_daily_panel_asof(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def list_tables(spark: SparkSession, folder: str) -> DataFrame:
     tables.register_views({name: tables.read_table(spark, folder, name) for name in TABLES})
-    listed = tables.list_tables(spark).select("table_name")
-    return tables.table_sizes(spark, TABLES).join(listed, "table_name", "left_semi")
+    return tables.with_row_counts(spark, tables.list_tables(spark), TABLES)
 
 
 @query
@@ -616,23 +615,42 @@ def trainable_groups(spark: SparkSession, folder: str) -> DataFrame:
     return scores.trainable_groups(rows.where("period = 'estimation'"), rows.where("period = 'out_of_sample'"))
 
 
-@query
-def lr_fit(spark: SparkSession, folder: str) -> DataFrame:
-    """Coefficients per company and half of the stored vectors, with the largest gradient entry of the fit."""
+def _stored_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Both halves of the stored vectors as two models, in two companies."""
     both = F.array(
         F.struct(F.lit("first32").alias("model"), F.slice("embedding", 1, 32).alias("x")),
         F.struct(F.lit("last32").alias("model"), F.slice("embedding", 33, 32).alias("x")),
     )
-    rows = pin(
-        tables.read_table(spark, folder, "embeddings").withColumn("v", F.explode(both)).select(
-            (F.col("vec_id") % 2).alias("permco"), "v.model", (F.col("label") >= 5).cast("int").alias("label"),
-            F.col("v.x").cast("array<double>").alias("features"),
-        ), "vectors",
+    rows = tables.read_table(spark, folder, "embeddings").withColumn("v", F.explode(both)).select(
+        (F.col("vec_id") % 2).alias("permco"), "v.model", (F.col("label") >= 5).cast("int").alias("label"),
+        F.col("v.x").cast("array<double>").alias("features"),
     )
-    fits = logistic.fit_groups(rows, ["permco", "model"])
+    return pin(rows, "vectors")
+
+
+@query
+def lr_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """Coefficients per company and model; the last term is the intercept."""
+    fits = logistic.fit_groups(_stored_vectors(spark, folder), ["permco", "model"])
     return fits.select("permco", "model", F.posexplode("beta").alias("term", "coefficient"))
 
 
+@query
+def lr_gradient(spark: SparkSession, folder: str) -> DataFrame:
+    """Gradient of the fitted loss, which is zero in every term at the solution."""
+    rows = _stored_vectors(spark, folder)
+    fits = logistic.fit_groups(rows, ["permco", "model"])
+    extended = F.concat("features", F.array(F.lit(1.0)))
+    margin = numbers.dot(extended, F.col("beta"))
+    miss = 1.0 / (1.0 + F.exp(-margin)) - F.col("label")
+    parts = rows.join(fits, ["permco", "model"]).select(
+        "permco", "model", miss.alias("miss"), F.size("features").alias("width"), "beta", F.posexplode(extended).alias("term", "x")
+    )
+    weight = F.when(F.col("term") < F.col("width"), F.get("beta", F.col("term"))).otherwise(0.0)
+    sums = parts.groupBy("permco", "model", "term").agg((F.sum(F.col("miss") * F.col("x")) + F.max(weight)).alias("gradient"))
+    return rounded(sums)
+
+
 IDS = ["ticker", "start_date", "headline"]
 
 
@@ -645,6 +663,14 @@ def walk_forward_predict(spark: SparkSession, folder: str) -> DataFrame:
     return _walk_forward(spark, folder)
 
 
+@query
+def walk_forward_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted rows and true ups per company, model and test quarter."""
+    return _walk_forward(spark, folder).groupBy("permco", "model", "unit").agg(
+        F.count("*").alias("n"), F.sum("true_direction").alias("n_up")
+    )
+
+
 @query
 def walk_forward_risk(spark: SparkSession, folder: str) -> DataFrame:
     """From prices and news to vectors, walk-forward predictions, portfolios and the risk table."""
@@ -669,6 +695,15 @@ def train_predict_by_group(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def train_predict_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted rows and true ups per company and model, for companies with rows in both periods."""
+    training, test = _trained(spark, folder)
+    return trainer.predict_groups(test, training, ["permco", "model"]).groupBy("permco", "model").agg(
+        F.count("*").alias("n"), F.sum("true_direction").alias("n_up")
+    )
+
+
 @query
 def trained_risk(spark: SparkSession, folder: str) -> DataFrame:
     """The risk table of the per-company trained models."""

@@ -38,8 +38,9 @@ def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
     return spark.createDataFrame(names, "table_name string, is_temporary boolean")
 
 
-def table_sizes(spark: SparkSession, names: list[str]) -> DataFrame:
-    """Row count of every named table, one job for all of them."""
-    counts = [spark.table(name).agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
-              for name in names]
-    return reduce(DataFrame.unionByName, counts)
+def with_row_counts(spark: SparkSession, listed: DataFrame, names: list[str]) -> DataFrame:
+    """The listed tables among ``names`` with their row counts: one aggregate over all of them."""
+    rows = [spark.table(name).select(F.lit(name).alias("table_name")) for name in names]
+    counts = reduce(DataFrame.unionByName, rows).groupBy("table_name").agg(F.count("*").alias("n_rows"))
+    chosen = listed.where(F.col("table_name").isin(names)).select("table_name")
+    return chosen.join(counts, "table_name", "left").na.fill(0, ["n_rows"])
