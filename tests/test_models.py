@@ -56,7 +56,9 @@ def test_number_of_folds(spark, units, folds):
     table = logistic.walk_forward_folds(rows, ["permco"]).collect()
     assert len(table) == folds
     assert all(max(r.train_units) < r.test_unit and len(r.train_units) == 10 for r in table)
-    assert logistic.walk_forward_predict(rows, ["permco", "model"], ["id"]).count() == folds * 4
+    for limit in (10**6, 1):  # in one task, and spread
+        predicted = logistic.walk_forward_predict(rows, ["permco", "model"], ["id"], max_group_values=limit)
+        assert predicted.count() == folds * 4
 
 
 def test_walk_forward_equals_a_plain_loop(spark):

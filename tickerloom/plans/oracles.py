@@ -235,10 +235,10 @@ def _union(parts: list[str]) -> str:
 
 
 def _stats_row(name: str, column: str) -> str:
-    return f"""SELECT '{name}' column_name, count({column}) n, {_r(f'avg({column})', 4, 'mean')},
-        {_r(f'stddev_samp({column})', 4, 'std')}, {_r(f'min({column})', 4, '"min"')}, {_r(f'max({column})', 4, '"max"')},
-        {_r(f'quantile_cont({column}, 0.25)', 4, 'q25')}, {_r(f'quantile_cont({column}, 0.5)', 4, 'q50')},
-        {_r(f'quantile_cont({column}, 0.75)', 4, 'q75')} FROM d"""
+    return f"""SELECT '{name}' column_name, count({column}) n, {_r(f'avg({column})', 3, 'mean')},
+        {_r(f'stddev_samp({column})', 3, 'std')}, {_r(f'min({column})', 3, '"min"')}, {_r(f'max({column})', 3, '"max"')},
+        {_r(f'quantile_cont({column}, 0.25)', 3, 'q25')}, {_r(f'quantile_cont({column}, 0.5)', 3, 'q50')},
+        {_r(f'quantile_cont({column}, 0.75)', 3, 'q75')} FROM d"""
 
 
 def _moving_average(partition: str, order: str) -> str:
@@ -305,9 +305,9 @@ def build() -> dict[str, str]:
             SELECT date, comnam, permno, rec_id, rec_line, {_r('prc')} FROM
             (SELECT * FROM panel_daily ORDER BY date, comnam, permno, rec_id, rec_line, prc LIMIT 25)"""),
         "avg_market_cap": _with("panel_daily", f"""
-            SELECT permno, {_r('avg(prc * shrout)', 4, 'avg_cap')}, min(comnam) comnam FROM panel_daily GROUP BY permno"""),
-        "market_cap_by_date": _with("panel_daily", f"SELECT date, {_r('avg(prc * shrout)', 4, 'avg_cap')} FROM panel_daily GROUP BY date"),
-        "universe_topn": _with("panel_daily", f"SELECT permno, {_r('avg_cap', 4)}, comnam FROM ({_universe('siccd BETWEEN 5500 AND 6000')})"),
+            SELECT permno, {_r('avg(prc * shrout)', 2, 'avg_cap')}, min(comnam) comnam FROM panel_daily GROUP BY permno"""),
+        "market_cap_by_date": _with("panel_daily", f"SELECT date, {_r('avg(prc * shrout)', 2, 'avg_cap')} FROM panel_daily GROUP BY date"),
+        "universe_topn": _with("panel_daily", f"SELECT permno, {_r('avg_cap', 2)}, comnam FROM ({_universe('siccd BETWEEN 5500 AND 6000')})"),
         "universe_filter": _with("panel_daily", f"""
             SELECT permno, date, {_r('prc')}, {_r('shrout')}, {_r('ret')}, rec_id, rec_line FROM panel_daily
             WHERE date BETWEEN DATE '1999-01-01' AND DATE '2001-12-31'

@@ -162,7 +162,7 @@ def schema_profile(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def summary_stats(spark: SparkSession, folder: str) -> DataFrame:
     daily = cleaning.drop_incomplete(views.panel_daily(spark, folder)).withColumn("market_cap", bars.market_cap())
-    return rounded(profiling.summary_stats(daily, ["prc", "shrout", "cfacpr", "ret", "market_cap"]), 4)
+    return rounded(profiling.summary_stats(daily, ["prc", "shrout", "cfacpr", "ret", "market_cap"]), 3)
 
 
 @query
@@ -191,17 +191,17 @@ def _universe(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def avg_market_cap(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(universe.average_market_cap(views.panel_daily(spark, folder)), 4)
+    return rounded(universe.average_market_cap(views.panel_daily(spark, folder)), 2)
 
 
 @query
 def market_cap_by_date(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(universe.market_cap_by_day(views.panel_daily(spark, folder)), 4)
+    return rounded(universe.market_cap_by_day(views.panel_daily(spark, folder)), 2)
 
 
 @query
 def universe_topn(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(_universe(spark, folder), 4)
+    return rounded(_universe(spark, folder), 2)
 
 
 @query
