@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import bytepair, common, decontaminate, language, outliers, sharding
+from tickerloom.llm import bytepair, common, decontaminate, jaccard, language, outliers, sharding
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SHARDS = 40
@@ -34,6 +34,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(common.documents(spark, sf_dir), size=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     fold = common.held_out(F.col("doc_id"), 4, 2)
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_quality_outliers": op3_quality_outliers,
     "op6_decontamination": op6_decontamination,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_language_spans": op10_language_spans,
 }
 
