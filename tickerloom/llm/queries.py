@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import bytepair, common, decontaminate, jaccard, language, outliers, sharding
+from tickerloom.llm import bytepair, classes, common, decontaminate, jaccard, language, outliers, sharding
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SHARDS = 40
@@ -30,6 +30,11 @@ def op3_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *outliers.STATISTICS, "base_failed", "kept")
 
 
+def op4_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    return classes.scores(docs.select("doc_id", "text", common.held_out(F.col("doc_id"), 7, 2).alias("held_out")))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_quality_outliers": op3_quality_outliers,
+    "op4_class_ngrams": op4_class_ngrams,
     "op6_decontamination": op6_decontamination,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_language_spans": op10_language_spans,
