@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import bytepair, classes, common, decontaminate, jaccard, language, outliers, sharding
+from tickerloom.llm import bytepair, classes, common, decontaminate, jaccard, language, outliers, personal, sharding
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SHARDS = 40
@@ -43,6 +43,11 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(common.documents(spark, sf_dir), size=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    return personal.digests(personal.find(docs, personal.train(docs)))
+
+
 def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     fold = common.held_out(F.col("doc_id"), 4, 2)
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_class_ngrams": op4_class_ngrams,
     "op6_decontamination": op6_decontamination,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_personal_data": op9_personal_data,
     "op10_language_spans": op10_language_spans,
 }
 
