@@ -23,6 +23,16 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+# Keys of 8 bytes up to this number are broadcast; more are left to a shuffled join.
+BROADCAST_ROWS = 1_000_000
+
+
+def among(rows: DataFrame, key: str, keys: DataFrame, there: bool) -> DataFrame:
+    """Rows whose ``key`` (never null) is in the pinned one-column table ``keys``, or is not."""
+    side = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    return rows.join(side, key, "left_semi" if there else "left_anti")
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a bound of entries."""
 
