@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import bytepair, classes, common, decontaminate, jaccard, language, outliers, personal, sharding
+from tickerloom.llm import bytepair, classes, common, decontaminate, jaccard, language, outliers, personal, sharding, substrings
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SHARDS = 40
@@ -35,6 +35,12 @@ def op4_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.scores(docs.select("doc_id", "text", common.held_out(F.col("doc_id"), 7, 2).alias("held_out")))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.without_repeats(common.documents(spark, sf_dir).select("doc_id", "text"), window=400)
+    return left.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_quality_outliers": op3_quality_outliers,
     "op4_class_ngrams": op4_class_ngrams,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontamination": op6_decontamination,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_personal_data": op9_personal_data,
