@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import bytepair, classes, common, decontaminate, jaccard, language, outliers, personal, sharding, substrings
+from tickerloom.llm import bytepair, classes, common, decontaminate, jaccard, language, outliers, personal, sentences, sharding, substrings
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SHARDS = 40
@@ -45,6 +45,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = sentences.without_repeats(common.documents(spark, sf_dir).select("doc_id", "text"))
+    return left.select(
+        "doc_id", "n_sentences", "n_removed", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes_kept"),
+        F.sha2(common.utf8(F.col("text")), 256).alias("kept_sha256"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(common.documents(spark, sf_dir), size=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
@@ -68,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_class_ngrams": op4_class_ngrams,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_sentence_spans": op7_sentence_spans,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_personal_data": op9_personal_data,
     "op10_language_spans": op10_language_spans,
