@@ -89,6 +89,7 @@ def repeated(rows: DataFrame) -> DataFrame:
     found = pin(_spans(rows.select("key", "doc_id", "text")), "spans")
     order = F.struct(F.col("doc_id").isNull().alias("last_id"), "doc_id", "key", "first", "last")
     groups = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(order).alias("leader")).where("n > 1").drop("n")
+    groups = pin(groups, "repeated-spans")  # so that both sides of the join are shuffled and a hot span can be split
     later = found.join(groups, ["h1", "h2"]).where((F.col("key") != F.col("leader.key")) | (F.col("first") != F.col("leader.first")))
     return later.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))  # spans of one text
 

@@ -93,7 +93,7 @@ def _covers(rows: DataFrame, window: int) -> DataFrame:
 def _shared(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose group repeats: those of groups with equal bytes throughout, and those of the others."""
     groups = rows.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.min("all").alias("least"), F.max("all").alias("most"))
-    groups = groups.where("n > 1").select("g1", "g2", (F.col("least") == F.col("most")).alias("alike"))
+    groups = pin(groups.where("n > 1").select("g1", "g2", (F.col("least") == F.col("most")).alias("alike")), "repeated-digits")
     joined = pin(rows.join(groups, ["g1", "g2"]).select("id", "key", "place", "low", "high", "alike"), "groups")
     return joined.where("alike"), joined.where("not alike")
 
@@ -101,14 +101,15 @@ def _shared(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def covers(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(key, parts: array of (start, end)) of the rows of ``docs`` (doc_id, key, text) with repeated windows."""
     runs = pin(_runs(docs, window), "runs")
-    repeated = runs.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+    # Counts are pinned before they are joined, so that both sides of the join are shuffled and a hot gram can be split.
+    repeated = pin(runs.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "grams")
     identity = F.xxhash64("gram", "run")
     runs = pin(runs.join(repeated, "gram").withColumn("id", identity), "repeated-grams")
 
     kinds = runs.groupBy("gram", "run", "id").agg(
         F.count("*").alias("c"), F.min(F.struct("key", "first", "n", "place")).alias("one"))
     kinds = pin(kinds, "kinds")
-    several = kinds.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
+    several = pin(kinds.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram"), "several")
     low = F.col("one.place") - F.col("one.first") - F.col("one.n") + 1
     wanted = pin(kinds.join(several, "gram").select(
         "id", "c", F.col("one.key").alias("key"), F.col("one.place").alias("place"), low.alias("low"),
