@@ -165,13 +165,13 @@ class Scorer:
 def stays(scores: np.ndarray, penalty: float) -> int:
     """The language of a text whose best path never changes, else -1.
 
-    That holds if no other language gains more than the penalty on the best one over any run of words: each part
-    of a path in another language costs one change at least.
+    That holds if no other language gains more than half the penalty on the best one over any run of words: a path of
+    m parts in other languages costs m - 1 changes at least, which is half of m or more, and one part alone gains nothing.
     """
     best = int(scores.sum(0).argmax())
     gain = np.cumsum(scores - scores[:, [best]], axis=0)
     lowest = np.minimum.accumulate(np.vstack([np.zeros(gain.shape[1]), gain[:-1]]), axis=0)
-    return best if (gain - lowest).max() <= penalty else -1
+    return best if (gain - lowest).max() <= penalty / 2 else -1
 
 
 def best_paths(sequences: list[np.ndarray], table: np.ndarray, penalty: float) -> list[np.ndarray]:

@@ -200,8 +200,12 @@ def train(docs: DataFrame) -> Model:
                 found = graph(text, base_spans(text))
                 if found is None:
                     continue
-                np.add.at(shapes, (found.shapes, found.observed), 1)
+                # A token outside the spans that looks like one inside is not known to be something else: it teaches nothing.
+                seen = np.unique(found.groups[found.observed > 0])
+                sure = (found.observed > 0) | ~np.isin(found.groups, seen[seen >= 0])
+                np.add.at(shapes, (found.shapes[sure], found.observed[sure]), 1)
                 for table, edges in ((chain, found.chain), (skip, found.skip)):
+                    edges = edges[sure[edges].all(1)]
                     np.add.at(table, (found.observed[edges[:, 0]], found.observed[edges[:, 1]]), 1)
         for kind, table in (("shape", shapes), ("chain", chain), ("skip", skip)):
             used = np.flatnonzero(table)
