@@ -119,7 +119,7 @@ def test_zero_scores_earn_nothing_and_every_week_is_there(spark):
         spark.createDataFrame([("m", "A", 0.0), ("m", "B", 0.0)], "model string, ticker string, score double"), 1))
     rows = [(GROSS, "2024-01-01", "A", 0.1), (GROSS, "2024-01-08", "Z", 0.3), (NET, "2024-01-01", "B", 0.2)]
     rets = spark.createDataFrame(rows, "scenario string, week string, ticker string, ret double")
-    found = portfolio.portfolio_returns(weights, rets, ["m", "never"], [GROSS, NET])
+    found = portfolio.portfolio_returns(weights, rets, [GROSS, NET])
     table = {(r.scenario, r.week, r.type): r.ret for r in found.collect()}
     assert {r.model for r in found.collect()} == {"m"}
     assert len(table) == 2 * 2 * 6
@@ -215,3 +215,24 @@ def test_cumulative_return(spark):
     frame = spark.createDataFrame([("s", 1, 0.1), ("s", 2, -0.5), ("s", 3, 1.0)], "k string, week int, ret double")
     found = [r.cum_ret for r in portfolio.cumulative_returns(frame, ["k"]).orderBy("week").collect()]
     assert found == pytest.approx([0.1, -0.45, 0.1])
+
+
+def test_days_in_several_forms(spark):
+    texts = ["2016-01-04", "20160104", "2016/01/04", "01/04/2016", "2016", "2016-1-4x", "13/40/2016", "not a day", None]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = [str(r.d) for r in frame.select("i", numbers.coerce_day(F.col("t")).alias("d")).orderBy("i").collect()]
+    assert found == ["2016-01-04"] * 4 + ["None"] * 5
+
+
+def test_nan_is_no_price_and_no_return(spark):
+    frame = spark.createDataFrame([(1.0, 0.1), (float("nan"), 0.1), (2.0, float("nan")), (3.0, None), (-1.0, 0.2)], "prc double, ret double")
+    assert [tuple(r) for r in bars.tradable(frame).collect()] == [(1.0, 0.1)]
+
+
+def test_models_outside_the_list(spark):
+    weights = spark.createDataFrame([("a", "X", "long", 1.0, 1.0), ("b", "X", "short", 1.0, 1.0)], "model string, ticker string, leg string, ew double, vw double")
+    rets = spark.createDataFrame([("X", "gross", "w1", 0.1)], "ticker string, scenario string, week string, ret double")
+    series = portfolio.portfolio_returns(weights, rets, ["gross"])
+    assert {r.model for r in series.collect()} == {"a", "b"}
+    with pytest.raises(Exception, match="model without a column"):
+        portfolio.risk_table_wide(portfolio.risk_table(series), ["a"]).collect()

@@ -95,42 +95,72 @@ def test_models_may_differ_in_width(spark):
     assert collected(grouped) == collected(spread.select(grouped.columns))
     widths = {r.model: len(r.beta) for r in logistic.fit_groups(rows, ["permco", "model"], max_group_values=1).collect()}
     assert widths == {"m": 4, "wide": 7}
-    for limit in (10**6, 300):
-        result = trainer.train_groups(rows, ["permco", "model"], ["unit", "id"], max_group_values=limit)
-        predicted = trainer.predict_groups(rows, result, ["permco", "model"])
-        right = (F.col("true_direction") == F.col("predicted_direction")).cast("double")
-        assert all(r.a > 0.8 for r in predicted.groupBy("model").agg(F.avg(right).alias("a")).collect())
+    result = trainer.train_groups(rows, ["permco", "model"], ["unit", "id"])
+    predicted = trainer.predict_groups(rows, result, ["permco", "model"])
+    right = (F.col("true_direction") == F.col("predicted_direction")).cast("double")
+    assert all(r.a > 0.8 for r in predicted.groupBy("model").agg(F.avg(right).alias("a")).collect())
+    alone = trainer.train_groups(rows.where("model = 'm'"), ["permco", "model"], ["unit", "id"])
+    assert collected(alone.weights) == collected(result.weights.where("model = 'm'"))
 
 
 def test_training_learns_and_logs(spark):
     rows = make_rows(spark, [1, 2], 1, 120)
-    result = trainer.train_groups(rows, ["permco", "model"], ["unit", "id"], epochs=3, batch=8)
+    result = trainer.train_groups(rows, ["permco", "model"], ["unit", "id"], epochs=3, batch=8, shards=1)
     predicted = trainer.predict_groups(rows, result, ["permco", "model"])
     accuracy = predicted.agg(F.avg((F.col("true_direction") == F.col("predicted_direction")).cast("double"))).first()[0]
     assert accuracy > 0.8 and len(predicted.first().logits) == 2
     log = trainer.training_log(result, rows, ["permco", "model"]).toPandas()
     assert (log[log.kind == "loss"].groupby(["permco", "epoch"]).size() == 15).all()
     assert len(log[log.kind == "eval_accuracy"]) == 6
-    again = trainer.train_groups(rows.repartition(3), ["permco", "model"], ["unit", "id"], epochs=3, batch=8)
+    again = trainer.train_groups(rows.repartition(3), ["permco", "model"], ["unit", "id"], epochs=3, batch=8, shards=1)
     assert collected(result.weights) == collected(again.weights)
 
 
-def test_sharded_training(spark):
-    rows = make_rows(spark, [1], 1, 400).union(make_rows(spark, [2], 1, 50, seed=2))
-    result = trainer.train_groups(rows, ["permco", "model"], ["unit", "id"], max_group_values=300)  # shards of 100 rows
-    assert sorted((r.permco, r.epoch) for r in result.weights.collect()) == [(g, e) for g in (1, 2) for e in (1, 2, 3)]
-    assert result.log.where("permco = 1").select("shard").distinct().count() == 4
-    predicted = trainer.predict_groups(rows, result, ["permco", "model"])
-    assert predicted.count() == 450
-    accuracy = predicted.agg(F.avg((F.col("true_direction") == F.col("predicted_direction")).cast("double"))).first()[0]
-    assert accuracy > 0.8
+def plain_training(rows, shards, epochs, batch, rate):
+    """Weights after all passes of one group of (shard, {epoch: turn}, features, label)."""
+    weights = np.zeros((2, len(rows[0][2]) + 1))
+    for epoch in range(1, epochs + 1):
+        total, n = 0.0, 0
+        for shard in range(shards):
+            own = sorted((row for row in rows if row[0] == shard), key=lambda row: row[1][epoch])
+            w = weights.copy()
+            for start in range(0, len(own), batch):
+                part = own[start:start + batch]
+                x = np.array([[*row[2], 1.0] for row in part])
+                scores = x @ w.T
+                chance = np.exp(scores) / np.exp(scores).sum(1, keepdims=True)
+                chance[np.arange(len(part)), [row[3] for row in part]] -= 1
+                w -= rate * chance.T @ x / len(part)
+            total, n = total + len(own) * w, n + len(own)
+        weights = total / n
+    return weights
+
+
+@pytest.mark.parametrize("shards", [1, 4])
+def test_training_follows_one_rule_at_every_size(spark, shards):
+    """Weights of a large and a small group equal a plain descent, also when batches of Arrow cut the shards."""
+    rows = make_rows(spark, [1], 1, 400).union(make_rows(spark, [2], 1, 50, seed=2)).cache()
+    mix = F.xxhash64("unit", "id")
+    turns = F.array(*[F.xxhash64(F.lit(e), mix) for e in (1, 2, 3)])
+    table = rows.select("permco", F.pmod(mix, F.lit(shards)).alias("s"), turns.alias("t"), "features", "label").collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        result = trainer.train_groups(rows, ["permco", "model"], ["unit", "id"], epochs=3, batch=8, shards=shards)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r.permco: r.weights for r in result.weights.where("epoch = 3").collect()}
+    assert result.log.where("permco = 1").select("shard").distinct().count() == shards
+    for group in (1, 2):
+        own = [(r.s, dict(enumerate(r.t, 1)), r.features, r.label) for r in table if r.permco == group]
+        np.testing.assert_allclose(got[group], plain_training(own, shards, 3, 8, trainer.RATE).ravel(), atol=1e-12)
+    assert trainer.predict_groups(rows, result, ["permco", "model"]).count() == 450
 
 
 def test_user_encoder_equals_hashed_vectors(spark):
-    frame = spark.createDataFrame([(1, "Profit rises, profit falls"), (2, "merger talks"), (3, "")], "doc long, body string")
+    frame = spark.createDataFrame([(1, "Profit rises, profit falls"), (2, "merger talks"), (3, ""), (4, None)], "doc long, body string")
     ours = {r.doc: r.embedding for r in hashed_dense(frame, "body", "doc", 64).collect()}
     theirs = {r.doc: r.embedding for r in vectors.encode_with(frame, "body", hashing_encoder, 2).collect()}
-    assert set(ours) == {1, 2} and theirs[3] == [0.0] * 64
+    assert set(ours) == {1, 2} and theirs[3] == [0.0] * 64 and theirs[4] is None
     for doc in ours:
         np.testing.assert_allclose(ours[doc], theirs[doc])
 

@@ -60,3 +60,20 @@ def test_scratch_follows_the_session(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     assert scratch_path(spark, "x").startswith(configured or scratch_root(spark))
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_tolerant_read_counts_fields(spark, tmp_path):
+    lines = ['1,2,3', '1,2', '4,5,6,', '1,2,3,,x', '"a,b",5,6', '"a\nb",7,8', 'x,y,9']
+    (tmp_path / "f.csv").write_text("a,b,c\n" + "\n".join(lines) + "\n")
+    schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.IntegerType()), T.StructField("c", T.IntegerType())])
+    found = delimited.read_csv_skipping_wide_rows(spark, str(tmp_path / "f.csv"), schema, multi_line=True)
+    wanted = {("1", 2, 3), ("1", 2, None), ("a,b", 5, 6), ("a\nb", 7, 8), ("x", None, 9)}
+    assert set(map(tuple, found.collect())) == wanted
+    assert {row.a for row in found.select("a").collect()} == {row[0] for row in wanted}
+
+
+def test_sorted_write(spark, tmp_path):
+    delimited.write_csv(spark.range(50).selectExpr("id", "49 - id as rest").repartition(4), str(tmp_path / "out"), ["rest"])
+    files = sorted((tmp_path / "out").glob("part-*"))
+    rows = [int(line.split(",")[1]) for file in files for line in file.read_text().splitlines()[1:]]
+    assert rows == sorted(rows) and len(rows) == 50

@@ -6,6 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Forms of a day, most specific first; month before day where slashes leave it open.
+DAY_FORMATS = [
+    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
+    (r"^\d{8}$", "yyyyMMdd"),
+    (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
+    (r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"),
+]
+
+
 def safe_ratio(numerator: Column, denominator: Column) -> Column:
     """Quotient, null for a zero denominator."""
     return F.try_divide(numerator, denominator)
@@ -31,8 +40,9 @@ def coerce_double(text: Column) -> Column:
 
 
 def coerce_day(text: Column) -> Column:
-    """Text to date, null where the text is no date."""
-    return text.try_cast("date")
+    """Text to date in one of DAY_FORMATS, which must fit whole; null for all other text."""
+    tries = [F.when(text.rlike(form), F.try_to_timestamp(text, F.lit(pattern)).cast("date")) for form, pattern in DAY_FORMATS]
+    return F.coalesce(*tries)
 
 
 def strict_day(text: Column) -> Column:

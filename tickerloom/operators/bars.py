@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.dates import in_range, week_end, week_start
-from tickerloom.functions.numbers import compound, safe_ratio
+from tickerloom.functions.numbers import compound, nan_to_null, safe_ratio
 from tickerloom.params import Periods
 
 SECURITY = ("permco", "ticker")
@@ -25,8 +25,9 @@ def adjusted_price() -> Column:
 
 
 def tradable(daily: DataFrame) -> DataFrame:
-    """Positive price and a return."""
-    return daily.where((F.col("prc") > 0) & F.col("ret").isNotNull())
+    """Positive price and a return; NaN counts as missing."""
+    price, earned = nan_to_null(F.col("prc")), nan_to_null(F.col("ret"))
+    return daily.where((price > 0) & earned.isNotNull())
 
 
 def with_period(daily: DataFrame, periods: Periods, day: str = "date") -> DataFrame:

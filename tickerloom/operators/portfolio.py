@@ -43,13 +43,15 @@ def portfolio_weights(picks: DataFrame) -> DataFrame:
     })
 
 
-def portfolio_returns(weights: DataFrame, returns: DataFrame, models: Sequence[str], scenarios: Sequence[str]) -> DataFrame:
+def portfolio_returns(weights: DataFrame, returns: DataFrame, scenarios: Sequence[str]) -> DataFrame:
     """(model, scenario, type, week, ret) for six portfolios; a missing return counts as 0.
 
-    ``weights`` has at most two legs of the leg size per model, which makes it safe to broadcast.  Weeks
-    without any picked ticker still appear, with 0; a model without picks does not appear.
+    The models are those of ``weights``.  Weeks without any picked ticker still appear, with 0; a model without picks
+    does not appear.
     """
+    # Two legs of the leg size per model at most.  Both legs then meet the returns in one order, so equal legs cancel exactly.
     held = F.broadcast(weights.select("model", "ticker", "leg", "ew", "vw"))
+    models = weights.agg(F.collect_set("model")).scalar()  # a few names
     parts = {
         "ew_l": F.when(F.col("leg") == "long", F.col("ew") * F.col("ret")),
         "ew_s": F.when(F.col("leg") == "short", F.col("ew") * F.col("ret")),
@@ -61,9 +63,8 @@ def portfolio_returns(weights: DataFrame, returns: DataFrame, models: Sequence[s
     )
     every_week = (
         returns.select("week").distinct()
-        .withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+        .withColumn("models", models).withColumn("model", F.explode("models")).drop("models")
         .withColumn("scenario", F.explode(F.array(*[F.lit(s) for s in scenarios])))
-        .join(F.broadcast(weights.select("model").distinct()), "model", "left_semi")
     )
     filled = every_week.join(earned, ["model", "scenario", "week"], "left").na.fill(0.0, list(parts))
     wide = filled.select(
@@ -87,8 +88,13 @@ def risk_table(series: DataFrame, keys: Sequence[str] = ("model", "scenario", "t
 
 
 def risk_table_wide(risk: DataFrame, models: Sequence[str]) -> DataFrame:
-    """One row per scenario and type, columns ``Return m``, ``Std m``, ``SR m`` per model, three decimals."""
-    wide = risk.groupBy("scenario", "type").pivot("model", list(models)).agg(
+    """One row per scenario and type, columns ``Return m``, ``Std m``, ``SR m`` per model, three decimals.
+
+    ``models`` gives the order of the columns; a model outside it is an error.
+    """
+    unlisted = F.raise_error(F.concat(F.lit("model without a column: "), F.col("model")))
+    listed = F.when(F.col("model").isin(list(models)), F.col("model")).otherwise(unlisted)
+    wide = risk.withColumn("model", listed).groupBy("scenario", "type").pivot("model", list(models)).agg(
         F.round(F.first("ret"), 3).alias("Return"), F.round(F.first("std"), 3).alias("Std"), F.round(F.first("sr"), 3).alias("SR")
     )
     cells = [F.col(f"`{m}_{name}`").alias(f"{name} {m}") for m in models for name in ("Return", "Std", "SR")]

@@ -1,14 +1,14 @@
 """Per-company training by mini-batch gradient descent, with log, scores and evaluation.
 
-A two-class softmax layer over text vectors, trained for a few passes per (company, model).  A group that
-fits a task is trained there.  A larger group is cut into shards of bounded size; in every pass each shard
-starts from the group's weights, and the shard results are averaged by rows.  One shard gives plain
-mini-batch descent.
+A two-class softmax layer over text vectors, trained for a few passes per (company, model).  Every group, whatever its
+size, is cut into the same number of shards by a hash of its ids.  In every pass each shard starts from the group's
+weights and takes its rows in an order of that pass; the shard results are averaged by rows.  One shard is plain
+mini-batch descent.  A shard is read as a stream of Arrow batches, so no group has to fit in memory.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickerloom.functions.numbers import argmax, dot
-from tickerloom.operators.sizing import MAX_GROUP_VALUES, split_by_size, widest
 from tickerloom.params import EPOCHS, TRAIN_BATCH
 from tickerloom.session import pin
 
 RATE = 0.5
-SEED = 7
+SHARDS = 4       # of every group
+LOG_STEPS = 10_000
 
 
 class Training(NamedTuple):
@@ -35,78 +35,104 @@ class Training(NamedTuple):
     log: DataFrame
 
 
-def _one_pass(x1: np.ndarray, y: np.ndarray, weights: np.ndarray, epoch: int, batch: int, rate: float):
-    """One pass over the rows in a seeded order; weights is 2 x (width + 1)."""
-    order = np.random.default_rng(SEED + epoch).permutation(len(y))
-    weights, losses = weights.copy(), []
-    for start in range(0, len(order), batch):
-        rows = order[start:start + batch]
-        scores = x1[rows] @ weights.T
-        scores -= scores.max(axis=1, keepdims=True)
-        chance = np.exp(scores) / np.exp(scores).sum(axis=1, keepdims=True)
-        hit = chance[np.arange(len(rows)), y[rows]]
-        losses.append(float(-np.log(np.maximum(hit, 1e-300)).mean()))
-        chance[np.arange(len(rows)), y[rows]] -= 1.0
-        weights -= rate * (chance.T @ x1[rows]) / len(rows)
-    return weights, losses
+def _step(x1: np.ndarray, y: np.ndarray, weights: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
+    """Weights (2 x (width + 1)) after one mini-batch, and its loss before."""
+    scores = x1 @ weights.T
+    scores -= scores.max(axis=1, keepdims=True)
+    chance = np.exp(scores) / np.exp(scores).sum(axis=1, keepdims=True)
+    every = np.arange(len(y))
+    loss = float(-np.log(np.maximum(chance[every, y], 1e-300)).mean())
+    chance[every, y] -= 1.0
+    return weights - rate * (chance.T @ x1) / len(y), loss
 
 
-def _matrix(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features with a column of ones, and labels, in the order of the row hash: Arrow order is not stable."""
-    frame = frame.sort_values("mix", kind="stable")
-    x = np.stack(frame["features"].to_numpy())
-    return np.hstack([x, np.ones((len(x), 1))]), frame["label"].to_numpy(int)
+class _Shard:
+    """One shard in one pass: first its weights, then its rows in order."""
+
+    def __init__(self, weights: np.ndarray, batch: int, rate: float):
+        self.weights, self.batch, self.rate = np.asarray(weights, float).reshape(2, -1), batch, rate
+        self.x, self.y = np.empty((0, self.weights.shape[1])), np.empty(0, int)
+        self.rows, self.steps, self.losses = 0, 0, []
+
+    def take(self, features: list, labels: np.ndarray, last: bool = False) -> None:
+        if len(labels):
+            x = np.stack(features)
+            self.x = np.vstack([self.x, np.hstack([x, np.ones((len(x), 1))])])
+            self.y = np.concatenate([self.y, labels.astype(int)])
+            self.rows += len(labels)
+        while len(self.y) >= self.batch or last and len(self.y):
+            self.weights, loss = _step(self.x[:self.batch], self.y[:self.batch], self.weights, self.rate)
+            self.x, self.y = self.x[self.batch:], self.y[self.batch:]
+            self.losses.append(loss)
+
+    def logged(self) -> list:
+        first, losses, self.losses = self.steps, self.losses, []
+        self.steps += len(losses)
+        return [first, losses]
 
 
 def train_groups(
     rows: DataFrame, keys: Sequence[str], ids: Sequence[str], epochs: int = EPOCHS, batch: int = TRAIN_BATCH,
-    rate: float = RATE, max_group_values: int = MAX_GROUP_VALUES,
+    rate: float = RATE, shards: int = SHARDS,
 ) -> Training:
     """Train every group of ``rows`` (keys, ids, label 0/1, features); pass a pinned table."""
     on = list(keys)
-    max_rows = max(1, max_group_values // widest(rows, "features"))
-    ready = rows.select(*on, "label", "features", F.xxhash64(*ids).alias("mix"))
-    parts = split_by_size(ready, on, max_rows)
+    mix = F.xxhash64(*ids)
+    ready = rows.select(*on, F.pmod(mix, F.lit(shards)).cast("int").alias("shard"), mix.alias("mix"), F.col("label").cast("int").alias("label"), "features")
+    zeros = F.array_repeat(F.lit(0.0), 2 * (F.max(F.size("features")) + 1))
+    current = ready.groupBy(*on, "shard").agg(zeros.alias("weights"))
     schema = T.StructType([
         *[rows.schema[name] for name in on], T.StructField("shard", T.IntegerType()), T.StructField("epoch", T.IntegerType()),
         T.StructField("n_rows", T.LongType()), T.StructField("weights", T.ArrayType(T.DoubleType())),
-        T.StructField("losses", T.ArrayType(T.DoubleType())),
+        T.StructField("first_step", T.LongType()), T.StructField("losses", T.ArrayType(T.DoubleType())),
     ])
 
-    def train_whole(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        x1, y = _matrix(frame)
-        weights, out = np.zeros((2, x1.shape[1])), []
-        for epoch in range(1, epochs + 1):
-            weights, losses = _one_pass(x1, y, weights, epoch, batch, rate)
-            out.append([*key, 0, epoch, len(y), weights.ravel(), losses])
-        return pd.DataFrame(out, columns=schema.names)
-
-    passes = pin(parts.small.groupBy(*on).applyInPandas(train_whole, schema), "passes")
-    weights, log = passes.select(*on, "epoch", "weights"), passes
-    if parts.large is not None:
-        shards = F.ceil(F.col("group_rows") / max_rows)
-        large = parts.large.join(parts.large_sizes, on).withColumn("shard", F.pmod("mix", shards).cast("int"))
-        large = pin(large.drop("group_rows"), "shards")
-        shapes = large.groupBy(*on, "shard").agg(F.max(F.size("features")).alias("width"))
-        zeros = F.array_repeat(F.lit(0.0), 2 * (F.col("width") + 1))
-        current = shapes.select(*on, "shard", F.lit(0).alias("epoch"), zeros.alias("weights"))
-
-        def train_shard(key: tuple, frame: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-            x1, y = _matrix(frame)
-            first = np.asarray(start["weights"].iloc[0], float).reshape(2, -1)
-            epoch = int(start["epoch"].iloc[0]) + 1
-            result, losses = _one_pass(x1, y, first, epoch, batch, rate)
-            return pd.DataFrame([[*key, epoch, len(y), result.ravel(), losses]], columns=schema.names)
-
-        for _ in range(epochs):
-            joined = large.groupBy(*on, "shard").cogroup(current.groupBy(*on, "shard"))
-            done = pin(joined.applyInPandas(train_shard, schema), "passes")
-            average = vector_to_array(Summarizer.mean(array_to_vector(F.col("weights")), F.col("n_rows").cast("double")))
-            mean = done.groupBy(*on, "epoch").agg(average.alias("weights"))
-            weights, log = weights.unionByName(mean), log.unionByName(done)
-            current = done.select(*on, "shard").join(mean, on)
-    steps = log.select(*on, "epoch", "shard", F.posexplode("losses").alias("step", "loss"))
-    return Training(weights, steps.withColumn("step", F.col("step") + 1))
+    def one_pass(epoch: int):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            key, shard, out = None, None, []
+
+            def close() -> None:
+                if shard is not None:
+                    shard.take([], np.empty(0, int), last=True)
+                    out.append([*key, epoch, shard.rows, shard.weights.ravel(), *shard.logged()])
+
+            for frame in frames:
+                starts = np.append(np.flatnonzero(frame["is_row"].to_numpy() == 0), len(frame))
+                for begin, end in zip([0, *starts], [*starts]):
+                    part = frame.iloc[begin:end]
+                    if not len(part):
+                        continue
+                    if part["is_row"].iloc[0] == 0:
+                        close()
+                        key = [*part[on].iloc[0], int(part["shard"].iloc[0])]
+                        shard = _Shard(part["features"].iloc[0], batch, rate)
+                        part = part.iloc[1:]
+                    shard.take(part["features"].tolist(), part["label"].to_numpy())
+                if shard is not None and len(shard.losses) >= LOG_STEPS:
+                    out.append([*key, epoch, 0, None, *shard.logged()])
+                yield pd.DataFrame(out, columns=schema.names)
+                out.clear()
+            close()
+            yield pd.DataFrame(out, columns=schema.names)
+
+        return run
+
+    weights = log = None
+    for epoch in range(1, epochs + 1):
+        first = current.select(*on, "shard", F.lit(0).alias("is_row"), F.lit(0).cast("long").alias("turn"), F.lit(0).cast("long").alias("mix"),
+                               F.lit(0).alias("label"), F.col("weights").alias("features"))
+        order = F.xxhash64(F.lit(epoch), "mix").alias("turn")
+        turns = ready.select(*on, "shard", F.lit(1).alias("is_row"), order, "mix", "label", F.col("features").cast("array<double>").alias("features"))
+        feed = first.unionByName(turns).repartition(*on, "shard").sortWithinPartitions(*on, "shard", "is_row", "turn", "mix")
+        done = pin(feed.mapInPandas(one_pass(epoch), schema), "passes")
+        average = vector_to_array(Summarizer.mean(array_to_vector(F.col("weights")), F.col("n_rows").cast("double")))
+        mean = done.where("weights is not null").groupBy(*on, "epoch").agg(average.alias("weights"))
+        weights = mean if weights is None else weights.unionByName(mean)
+        log = done if log is None else log.unionByName(done)
+        current = done.where("weights is not null").select(*on, "shard").join(mean.drop("epoch"), on)
+    steps = log.select(*on, "epoch", "shard", "first_step", F.posexplode("losses").alias("step", "loss"))
+    steps = steps.withColumn("step", (F.col("first_step") + F.col("step") + 1).cast("int")).drop("first_step")
+    return Training(weights, steps)
 
 
 def scored(test: DataFrame, weights: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -549,7 +549,7 @@ def portfolio_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _series(spark: SparkSession, folder: str) -> DataFrame:
-    return portfolio_series(views.rule_predictions(spark, folder), _pinned_weekly(spark, folder), RULE_MODELS)
+    return portfolio_series(views.rule_predictions(spark, folder), _pinned_weekly(spark, folder))
 
 
 @query
@@ -578,7 +578,7 @@ def risk_table_wide(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def sharpe_by_model(spark: SparkSession, folder: str) -> DataFrame:
     weekly = _pinned_weekly(spark, folder)
-    series = portfolio_series(views.rule_predictions(spark, folder), weekly, RULE_MODELS)
+    series = portfolio_series(views.rule_predictions(spark, folder), weekly)
     gross = series.where(F.col("scenario") == GROSS)
     return rounded(portfolio.sharpe_by_model(gross, returns.market_return(weekly)))
 
@@ -675,7 +675,7 @@ def walk_forward_counts(spark: SparkSession, folder: str) -> DataFrame:
 def walk_forward_risk(spark: SparkSession, folder: str) -> DataFrame:
     """From prices and news to vectors, walk-forward predictions, portfolios and the risk table."""
     predictions = pin(_walk_forward(spark, folder), "predictions")
-    return rounded(portfolio.risk_table(portfolio_series(predictions, _pinned_weekly(spark, folder), list(vectors.VARIANTS))))
+    return rounded(portfolio.risk_table(portfolio_series(predictions, _pinned_weekly(spark, folder))))
 
 
 def _trained(spark: SparkSession, folder: str) -> tuple[trainer.Training, DataFrame]:
@@ -709,7 +709,7 @@ def trained_risk(spark: SparkSession, folder: str) -> DataFrame:
     """The risk table of the per-company trained models."""
     training, test = _trained(spark, folder)
     predictions = pin(trainer.predict_groups(test, training, ["permco", "model"]), "predictions")
-    return rounded(portfolio.risk_table(portfolio_series(predictions, _pinned_weekly(spark, folder), list(vectors.VARIANTS))))
+    return rounded(portfolio.risk_table(portfolio_series(predictions, _pinned_weekly(spark, folder))))
 
 
 @query

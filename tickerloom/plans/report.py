@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 
 from tickerloom.operators.portfolio import long_short_picks, portfolio_returns, portfolio_weights, risk_table, ticker_scores
@@ -16,15 +14,15 @@ def weekly_returns(panel: DataFrame, daily: DataFrame, cost_per_row: bool = Fals
     return weekly_compound(net_returns(period_return(panel), size_class(daily), cost_per_row))
 
 
-def portfolio_series(predictions: DataFrame, weekly: DataFrame, models: Sequence[str], leg_size: int = LEG_SIZE) -> DataFrame:
+def portfolio_series(predictions: DataFrame, weekly: DataFrame, leg_size: int = LEG_SIZE) -> DataFrame:
     """Six portfolios per model and cost scenario, for any prediction set (model, ticker, predicted_direction).
 
     ``weekly`` is read several times: pass a pinned table.
     """
     returns = by_scenario(weekly)
     picks = long_short_picks(ticker_scores(predictions, weekly), leg_size)
-    return portfolio_returns(portfolio_weights(picks), returns, models, [GROSS, NET])
+    return portfolio_returns(portfolio_weights(picks), returns, [GROSS, NET])
 
 
-def risk_report(predictions: DataFrame, weekly: DataFrame, models: Sequence[str], leg_size: int = LEG_SIZE) -> DataFrame:
-    return risk_table(portfolio_series(predictions, weekly, models, leg_size))
+def risk_report(predictions: DataFrame, weekly: DataFrame, leg_size: int = LEG_SIZE) -> DataFrame:
+    return risk_table(portfolio_series(predictions, weekly, leg_size))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_SURPLUS = "_surplus_field"
+_RECORD = "_bad_record"
 
 
 def write_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
@@ -28,15 +29,18 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: b
 
 
 def read_csv_skipping_wide_rows(
-    spark: SparkSession, path: str, schema: T.StructType, header: bool = True
+    spark: SparkSession, path: str, schema: T.StructType, header: bool = True, multi_line: bool = False
 ) -> DataFrame:
     """Tolerant read: rows with too many fields are left out, short rows are filled with nulls.
 
-    One more column than the header has catches the surplus.  DROPMALFORMED would lose the short rows too.
+    A record that does not fit the schema is kept as text beside its fields, where its separators outside quotes are
+    counted; empty surplus fields count too.  DROPMALFORMED would lose the short rows as well.
     """
-    wide = T.StructType([*schema.fields, T.StructField(_SURPLUS, T.StringType(), True)])
+    fields = T.StructType([*schema.fields, T.StructField(_RECORD, T.StringType(), True)])
     rows = (
-        spark.read.schema(wide).option("header", header).option("enforceSchema", True).option("escape", '"')
-        .option("mode", "PERMISSIVE").csv(path)
+        spark.read.schema(fields).option("header", header).option("enforceSchema", True).option("escape", '"')
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _RECORD).option("columnPruning", False)
+        .option("multiLine", multi_line).csv(path)
     )
-    return rows.where(rows[_SURPLUS].isNull()).drop(_SURPLUS)
+    separators = F.length(F.regexp_replace(F.regexp_replace(_RECORD, r'"([^"]|"")*"', ""), "[^,]", ""))
+    return rows.where(F.coalesce(separators < len(schema.fields), F.lit(True))).drop(_RECORD)
