@@ -77,6 +77,18 @@ def lists(lengths: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
+def list_slices(batches, column: str, most_values: int = 500_000):
+    """Arrow batches cut so that the lists of a piece hold about ``most_values`` values (one row at least)."""
+    for batch in batches:
+        ends = np.cumsum(np.diff(np.asarray(batch.column(column).offsets)))
+        start = 0
+        while start < batch.num_rows:
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + most_values, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def slices(batches, most_bytes: int = 8 << 20, column: str = "text"):
     """Arrow batches cut so that a piece holds about ``most_bytes`` of text (one row at least)."""
     for batch in batches:
