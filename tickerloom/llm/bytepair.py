@@ -24,7 +24,7 @@ from tickerloom.llm import common
 
 # Bytes stand for the characters from U+0100 on: letters without any special meaning in the model.
 FIRST_CHARACTER = 0x100
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 180_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
