@@ -51,7 +51,9 @@ def portfolio_returns(weights: DataFrame, returns: DataFrame, scenarios: Sequenc
     """
     # Two legs of the leg size per model at most.  Both legs then meet the returns in one order, so equal legs cancel exactly.
     held = F.broadcast(weights.select("model", "ticker", "leg", "ew", "vw"))
-    models = weights.agg(F.collect_set("model")).scalar()  # a few names
+    # A few names, read when the frame is built: every model meets every week.
+    names = sorted(row.model for row in weights.select("model").distinct().collect() if row.model is not None)
+    models = F.array(*[F.lit(name) for name in names]).cast("array<string>")
     parts = {
         "ew_l": F.when(F.col("leg") == "long", F.col("ew") * F.col("ret")),
         "ew_s": F.when(F.col("leg") == "short", F.col("ew") * F.col("ret")),
@@ -63,7 +65,7 @@ def portfolio_returns(weights: DataFrame, returns: DataFrame, scenarios: Sequenc
     )
     every_week = (
         returns.select("week").distinct()
-        .withColumn("models", models).withColumn("model", F.explode("models")).drop("models")
+        .withColumn("model", F.explode(models))
         .withColumn("scenario", F.explode(F.array(*[F.lit(s) for s in scenarios])))
     )
     filled = every_week.join(earned, ["model", "scenario", "week"], "left").na.fill(0.0, list(parts))
