@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tickerloom.params import LEG_SIZE, PORTFOLIO_TYPES, RISK_FREE
 
+BROADCAST_ROWS = 100_000  # weights up to this number are broadcast, more are joined by a shuffle
+
 
 def ticker_scores(predictions: DataFrame, returns: DataFrame | None = None) -> DataFrame:
     """Mean predicted direction per model and ticker, for tickers that have returns."""
@@ -49,11 +51,13 @@ def portfolio_returns(weights: DataFrame, returns: DataFrame, scenarios: Sequenc
     The models are those of ``weights``.  Weeks without any picked ticker still appear, with 0; a model without picks
     does not appear.
     """
-    # Two legs of the leg size per model at most.  Both legs then meet the returns in one order, so equal legs cancel exactly.
-    held = F.broadcast(weights.select("model", "ticker", "leg", "ew", "vw"))
-    # A few names, read when the frame is built: every model meets every week.
-    names = sorted(row.model for row in weights.select("model").distinct().collect() if row.model is not None)
-    models = F.array(*[F.lit(name) for name in names]).cast("array<string>")
+    # A few names and their counts, read when the frame is built: every model meets every week.
+    counts = {row.model: row.n for row in weights.groupBy("model").agg(F.count("*").alias("n")).collect() if row.model is not None}
+    models = F.array(*[F.lit(name) for name in sorted(counts)]).cast("array<string>")
+    # Two legs of the leg size per model; both legs meet the returns in one order, so equal legs cancel exactly.
+    held = weights.select("model", "ticker", "leg", "ew", "vw")
+    if sum(counts.values()) <= BROADCAST_ROWS:
+        held = F.broadcast(held)
     parts = {
         "ew_l": F.when(F.col("leg") == "long", F.col("ew") * F.col("ret")),
         "ew_s": F.when(F.col("leg") == "short", F.col("ew") * F.col("ret")),

@@ -84,6 +84,6 @@ def market_return(returns: DataFrame, keys: Sequence[str] = ("week",)) -> DataFr
     return returns.groupBy(*keys).agg(F.avg("ret").alias("ret"))
 
 
-def returns_matrix(returns: DataFrame, columns: Sequence[str], column_key: str = "ticker") -> DataFrame:
-    """Week x column matrix for export; the columns are given, so no pass is spent on finding them."""
-    return returns.groupBy("week").pivot(column_key, list(columns)).agg(F.first("ret"))
+def returns_matrix(returns: DataFrame, columns: Sequence[str], column_key: str = "ticker", value: str = "ret") -> DataFrame:
+    """Week x column matrix of ``value`` for export; the columns are given, so no pass is spent on finding them."""
+    return returns.groupBy("week").pivot(column_key, list(columns)).agg(F.first(value))

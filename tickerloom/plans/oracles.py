@@ -258,7 +258,17 @@ _CELLS = ", ".join(
     f"""round(max({source}) FILTER (model = '{model}'), 3) + 0.0 AS "{name} {model}" """
     for model in ("momentum", "reversal", "trend") for name, source in (("Return", "ret"), ("Std", "std"), ("SR", "sr"))
 )
-_RANKS = ", ".join(f"{_q(f'max(ret) FILTER (place = {n})')} AS top_{n:02d}" for n in range(1, UNIVERSE_SIZE + 1))
+def _ranks(value: str) -> str:
+    return ", ".join(f"{_q(f'max({value}) FILTER (place = {n})')} AS top_{n:02d}" for n in range(1, UNIVERSE_SIZE + 1))
+
+
+def _matrix(value: str) -> str:
+    return _with("weekly_ret", f"""
+        , u AS ({_universe('true')}),
+        l AS (SELECT concat('T', CAST(permno AS VARCHAR)) ticker, row_number() OVER (ORDER BY avg_cap DESC, permno) place FROM u)
+        SELECT week, {_ranks(value)} FROM weekly_ret JOIN l USING (ticker) GROUP BY week""")
+
+
 _DOC_WORDS = _WORDS.format("text")
 _EMBEDDING = f"""
     WITH t AS (SELECT doc_id, unnest({_DOC_WORDS}) w FROM documents),
@@ -427,10 +437,8 @@ def build() -> dict[str, str]:
             SELECT CAST(date_trunc('week', start_date) AS DATE) AS week, ticker, {_r('product(1 + ret) - 1', name='ret')},
                    {_r('product(1 + ret - cost) - 1', name='net_ret')} FROM c GROUP BY ALL"""),
         "market_return": _with("scenario_ret", f"SELECT scenario, week, {_r('avg(ret)', name='ret')} FROM scenario_ret GROUP BY ALL"),
-        "returns_matrix": _with("weekly_ret", f"""
-            , u AS ({_universe('true')}),
-            l AS (SELECT concat('T', CAST(permno AS VARCHAR)) ticker, row_number() OVER (ORDER BY avg_cap DESC, permno) place FROM u)
-            SELECT week, {_RANKS} FROM weekly_ret JOIN l USING (ticker) GROUP BY week"""),
+        "returns_matrix": _matrix("ret"),
+        "returns_matrix_net": _matrix("net_ret"),
         "ticker_scores": _with("scores", f"SELECT model, ticker, {_r('score')} FROM scores"),
         "long_short_picks": _with("picks", f"SELECT model, ticker, {_r('score')}, CAST(leg_rank AS INT) leg_rank, leg FROM picks"),
         "portfolio_weights": _with("weights", f"""
@@ -471,6 +479,15 @@ def build() -> dict[str, str]:
                          CAST(sum(up) OVER (k ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS BIGINT) n_train_up
                   FROM u WINDOW k AS (PARTITION BY permco ORDER BY unit))
             SELECT permco, test_unit, n_test, train_units, n_train, n_train_up FROM p WHERE place > 10 AND place < units"""),
+        "walk_forward_folds_years": """
+            WITH u AS (SELECT vec_id % 2 permco, CAST(2005 + vec_id % 19 AS BIGINT) unit, count(*) n, sum(CASE WHEN label >= 5 THEN 1 ELSE 0 END) up
+                       FROM embeddings GROUP BY ALL),
+            p AS (SELECT permco, unit test_unit, n n_test, row_number() OVER k place, count(*) OVER (PARTITION BY permco) units,
+                         string_agg(CAST(unit AS VARCHAR), ' ') OVER (k ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) train_units,
+                         CAST(sum(n) OVER (k ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS BIGINT) n_train,
+                         CAST(sum(up) OVER (k ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS BIGINT) n_train_up
+                  FROM u WINDOW k AS (PARTITION BY permco ORDER BY unit))
+            SELECT permco, test_unit, n_test, train_units, n_train, n_train_up FROM p WHERE place > 10 AND place < units""",
         "walk_forward_counts": _with("clean_rows", """
             , u AS (SELECT permco, CAST(year(start_date) * 4 + quarter(start_date) - 1 AS BIGINT) unit, count(*) n,
                            CAST(sum(direction) AS BIGINT) n_up FROM clean_rows GROUP BY ALL),

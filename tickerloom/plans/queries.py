@@ -516,8 +516,7 @@ def market_cumulative(spark: SparkSession, folder: str) -> DataFrame:
 RANK_LABELS = [f"top_{rank:02d}" for rank in range(1, UNIVERSE_SIZE + 1)]
 
 
-@query
-def returns_matrix(spark: SparkSession, folder: str) -> DataFrame:
+def _returns_matrix(spark: SparkSession, folder: str, value: str) -> DataFrame:
     """Week x company matrix of the largest companies of the estimation period, columns in size order."""
     largest = universe.top_universe(views.panel_daily(spark, folder), PERIODS.estimation)
     # A list of the universe size: 25 rows, small enough to be numbered in one place and broadcast.
@@ -526,7 +525,21 @@ def returns_matrix(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("T"), F.col("c.permno").cast("string")).alias("ticker"),
         F.format_string("top_%02d", F.col("place") + 1).alias("label"),
     )
-    return rounded(returns.returns_matrix(_weekly(spark, folder).join(F.broadcast(labels), "ticker"), RANK_LABELS, "label"))
+    return returns.returns_matrix(_weekly(spark, folder).join(F.broadcast(labels), "ticker"), RANK_LABELS, "label", value)
+
+
+@query
+def returns_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(_returns_matrix(spark, folder, "ret"))
+
+
+@query
+def returns_matrix_net(spark: SparkSession, folder: str) -> DataFrame:
+    """The matrix after costs, written as sorted files and read back."""
+    matrix = _returns_matrix(spark, folder, "net_ret")
+    path = scratch_path(spark, "net-matrix")
+    delimited.write_csv(matrix, path, ["week"])
+    return rounded(delimited.read_csv(spark, path, matrix.schema))
 
 
 def _scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -609,6 +622,16 @@ def walk_forward_folds(spark: SparkSession, folder: str) -> DataFrame:
     return folds.withColumn("train_units", F.array_join(F.transform("train_units", lambda u: u.cast("string")), " "))
 
 
+@query
+def walk_forward_folds_years(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten training years and one test year of the stored vectors, whose ids are dealt over 19 years and two companies."""
+    rows = tables.read_table(spark, folder, "embeddings").select(
+        (F.col("vec_id") % 2).alias("permco"), (2005 + F.col("vec_id") % 19).alias("unit"), (F.col("label") >= 5).cast("int").alias("label"),
+    )
+    folds = logistic.walk_forward_folds(rows, ["permco"])
+    return folds.withColumn("train_units", F.array_join(F.transform("train_units", lambda u: u.cast("string")), " "))
+
+
 @query
 def trainable_groups(spark: SparkSession, folder: str) -> DataFrame:
     rows = period_bars(views.panel_daily(spark, folder), PERIODS)
