@@ -236,3 +236,10 @@ def test_models_outside_the_list(spark):
     assert {r.model for r in series.collect()} == {"a", "b"}
     with pytest.raises(Exception, match="model without a column"):
         portfolio.risk_table_wide(portfolio.risk_table(series), ["a"]).collect()
+
+
+def test_nan_counts_as_missing(spark):
+    frame = spark.createDataFrame([(1, float("nan")), (2, None), (None, 3.0)], "k long, x double")
+    assert {r.column_name: r.n_null for r in cleaning.null_counts(frame).collect()} == {"k": 1, "x": 2}
+    with pytest.raises(cleaning.MissingValues):
+        cleaning.require_complete(frame.where("k = 1"))

@@ -43,9 +43,15 @@ def label_code(column: Column) -> Column:
     return F.when(column == "Up", 1).when(column == "Down", 0)
 
 
+def _missing(df: DataFrame, name: str) -> Column:
+    """Null, or NaN in a column of floating point."""
+    fractional = isinstance(df.schema[name].dataType, T.FractionalType) and not isinstance(df.schema[name].dataType, T.DecimalType)
+    return F.col(name).isNull() | F.isnan(name) if fractional else F.col(name).isNull()
+
+
 def null_counts(df: DataFrame) -> DataFrame:
-    """(column_name, n_null): one aggregate over the frame, then one row per column."""
-    wide = df.agg(*[F.count_if(F.col(name).isNull()).alias(name) for name in df.columns])
+    """(column_name, n_null): one aggregate over the frame, then one row per column; NaN counts as missing."""
+    wide = df.agg(*[F.count_if(_missing(df, name)).alias(name) for name in df.columns])
     return wide.unpivot([], list(df.columns), "column_name", "n_null")
 
 
@@ -60,7 +66,7 @@ def require_complete(df: DataFrame) -> DataFrame:
 def schema_profile(df: DataFrame) -> DataFrame:
     """(column_name, data_type, non_null) per column."""
     kinds = dict(df.dtypes)
-    wide = df.agg(*[F.count(name).alias(name) for name in df.columns])
+    wide = df.agg(*[F.count_if(~_missing(df, name)).alias(name) for name in df.columns])
     by_name = F.create_map(*[F.lit(part) for name in df.columns for part in (name, kinds[name])])
     return (
         wide.unpivot([], list(df.columns), "column_name", "non_null")
