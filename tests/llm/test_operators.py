@@ -334,6 +334,9 @@ def test_parity_rows_fold():
         other = np.unique(np.concatenate([found[5:], RNG.integers(0, 2 ** 63, 5).astype(np.uint64)]))
         differ = int(sum(bin(int(x) & (2 ** 64 - 1)).count("1") for x in row ^ jaccard.parities(other))) if len(jaccard.parities(other)) == len(row) else 0
         assert differ <= len(np.setxor1d(found, other))
+        short = jaccard.folded(row) ^ jaccard.folded(jaccard.parities(other))
+        assert len(short) == jaccard.SKETCH_WORDS
+        assert sum(bin(int(x) & (2 ** 64 - 1)).count("1") for x in short) <= len(np.setxor1d(found, other))
 
 
 def test_one_row_for_each_group(docs, rows):
