@@ -326,6 +326,22 @@ def test_jaccard_groups_of_a_dense_crowd(spark):
     assert Counter(map(tuple, got)) == plain_groups(texts, 3, 90)
 
 
+def test_candidates_that_share_an_id_are_compared_by_their_own_texts(spark):
+    """Pairs a little below the limit (190 of 212 shingles) under one id or none, and rows repeated whole."""
+    texts = []
+    for i in range(4):
+        words = [f"w{i}x{j}" for j in range(203)]
+        other = list(words)
+        for at in (50, 100, 150, 201):
+            other[at] = f"other{i}x{at}"
+        texts += [(i if i % 2 else None, " ".join(found)) for found in (words, other, words)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    signed = jaccard.signatures(frame, 3, 90)
+    every = signed.alias("x").join(signed.alias("y"), F.expr("x.node < y.node")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), "x.k1", F.col("y.k1").alias("other"))
+    links = [tuple(row) for row in jaccard._verified(every.select("a", "b"), signed, frame, 3, 90).collect()]
+    assert sorted(links) == sorted((row.a, row.b) for row in every.where("k1 = other").collect())
+
+
 def test_parity_rows_fold():
     for n in (10, 400, 700, 3000):
         found = np.unique(RNG.integers(0, 2 ** 63, n).astype(np.uint64))
