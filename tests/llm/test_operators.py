@@ -257,6 +257,35 @@ def test_recall_of_edited_items():
     assert len(found & wanted) >= 0.95 * len(wanted)
 
 
+def test_items_with_dropped_and_inserted_words_are_found():
+    """Against plain free-end distances: every leak at the limit, whatever the edits, and short documents."""
+    rng = np.random.default_rng(12)
+    items = [(i, prose(int(rng.integers(10, 60)), 9000 + i).encode()) for i in range(40)]
+    index = decontaminate.Index(items, 0.8)
+    for kind in ("drop", "insert", "mix"):
+        documents = []
+        for place, item in enumerate(index.items):
+            words = list(item)
+            for edit in range(decontaminate.allowed(len(item), 0.8)):
+                at = int(rng.integers(len(words)))
+                if kind == "drop" or kind == "mix" and edit % 3 == 0:
+                    del words[at]
+                elif kind == "insert" or edit % 3 == 1:
+                    words.insert(at, 0)
+                else:
+                    words[at] = 0
+            around = [0] * (30 * (place % 2))  # every other document holds nothing else
+            documents.append(np.array(around + words + around, np.int64))
+        found = {(place, item): distance for place, item, _, distance in index.matches(documents, 0.8)}
+        for place, item in enumerate(index.items):
+            row = [0] * (len(documents[place]) + 1)
+            for i, word in enumerate(item, 1):
+                previous, row[0] = row[0], i
+                for j, other in enumerate(documents[place].tolist(), 1):
+                    previous, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, previous + (word != other))
+            assert found[place, place] == min(row)
+
+
 def test_sentence_spans(spark, docs, rows):
     unique = sorted({(d is None, d or 0, t or "") for d, t, *_ in rows})
     keyed = {}
