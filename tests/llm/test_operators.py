@@ -301,6 +301,22 @@ def test_sentence_spans(spark, docs, rows):
     assert sentences.without_repeats(empty(spark)).count() == 0
 
 
+def test_passages_of_long_lines_are_found_behind_any_prefix(spark):
+    """A passage of 70 words without punctuation behind 0 to 39 other words, and one of a script without spaces."""
+    make = lambda n, seed: prose(n, seed).replace(".", "")
+    passage = make(70, 4242)
+    unspaced = "".join(chr(0x4E00 + 37 * i) + ("。" if i % 9 == 8 else "") for i in range(72))
+    texts = [(i, f"{make(i, 6000 + i)} {passage} {make(30, 6100 + i)}") for i in range(40)]
+    texts += [(100, "甲乙。" + unspaced + "丙。"), (101, "丁戊己庚。" + unspaced + "辛壬。")]
+    done = {row.doc_id: row for row in sentences.without_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert all(passage in done[i].text for i in (0,)) and all(done[i].n_removed >= 2 for i in range(1, 40))
+    assert all(len(done[i].text) < len(texts[i][1]) - len(passage) // 2 for i in range(1, 40))
+    assert done[100].text == texts[40][1] and done[101].text == "丁戊己庚。辛壬。"
+    for _, text in texts:
+        found = sentences.sentences(text.encode())
+        assert b"".join(text.encode()[a:b] for a, b, _ in found) == text.encode()
+
+
 def test_spans_are_the_shortest():
     for _ in range(200):
         counts = RNG.integers(1, 12, RNG.integers(0, 15)).tolist()

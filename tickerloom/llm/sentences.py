@@ -1,8 +1,9 @@
 """Repeated runs of sentences: every span of several consecutive sentences is hashed and joined over all documents.
 
-A text is cut into sentences at line ends and after . ! ? before white space; a sentence of more than PIECE_WORDS words
-is cut into pieces of that many, so that long lines without punctuation can match too.  From every sentence the
-shortest span of at least two sentences and LEAST_WORDS words is taken forwards and backwards.  Of equal spans the
+A text is cut into sentences at line ends, after . ! ? before white space, and after the sentence ends of other scripts.
+A sentence of more than PIECE_WORDS words is cut where the hash of the last PAIR words says so, whatever stands before
+them, and after MOST_WORDS words at the latest: a passage inside long lines without punctuation is cut at the same
+places in all of them.  A character of a script without spaces counts as a word.  From every sentence the shortest span of at least two sentences and LEAST_WORDS words is taken forwards and backwards.  Of equal spans the
 first one, by doc_id and place, stays; sentences that any other one covers are removed.
 
 Words are compared without regard to the case of A-Z and to white space.  Null text has no sentence and stays null;
@@ -26,19 +27,42 @@ from tickerloom.session import pin
 LEAST_SENTENCES = 2
 LEAST_WORDS = 13
 PIECE_WORDS = 25
-
-_BORDER = re.compile(rb"(?<=[.!?])[ \t\r\x0b\x0c]+|\n+")
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+PAIR = 2
+ONE_IN = 8       # places between words of a long sentence that are cuts
+MOST_WORDS = 50  # of a piece
+
+_ENDS = "。｡．！？‼⁇⁈⁉؟۔।॥։።፧။។᠃᠉"
+_LINE_ENDS = "\u0085\u2028\u2029"
+_CLOSING = "」』”’）】》〉"
+_BORDER = re.compile(
+    rb"(?<=[.!?])[ \t\r\x0b\x0c]+|\n+|(?:" + b"|".join(map(str.encode, _ENDS + _LINE_ENDS)) + rb")+(?:" + b"|".join(map(str.encode, _CLOSING))
+    + rb")*[ \t\r\x0b\x0c]*")
+_UNSPACED = re.compile(rb"[\xe3-\xe9]")  # first bytes of kana and ideographs, U+3000 to U+9FFF
+_WORD = re.compile(rb"[\xe3-\xe9][\x80-\xbf]{2}|[^\x20\x09-\x0D\xe3-\xe9]+")
+
+
+def pieces(words: list[bytes]) -> list[int]:
+    """Numbers of the words that begin a piece of a long sentence, without the first."""
+    cuts, last = [], 0
+    for i in range(1, len(words)):
+        if i >= PAIR and xxhash.xxh3_64_intdigest(b" ".join(words[i - PAIR:i])) % ONE_IN == 0 or i - last == MOST_WORDS:
+            cuts.append(i)
+            last = i
+    return cuts
 
 
 def sentences(data: bytes) -> list[tuple[int, int, list[bytes]]]:
     """(start, end, lower-cased words) of the sentences; ends include the white space that follows."""
     found, start = [], 0
+    spaced = not _UNSPACED.search(data)
     for border in [*((match.end() for match in _BORDER.finditer(data))), len(data)]:
-        words = data[start:border].lower().split()
+        part = data[start:border].lower()
+        words = part.split() if spaced else _WORD.findall(part)
         if len(words) > PIECE_WORDS:
-            cuts = [start, *(match.start() for i, match in enumerate(_WORD.finditer(data, start, border)) if i and i % PIECE_WORDS == 0), border]
-            found += [(a, b, words[i * PIECE_WORDS:(i + 1) * PIECE_WORDS]) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+            numbers = [0, *pieces(words), len(words)]
+            places = [match.start() for match in _WORD.finditer(data, start, border)]
+            cuts = [start, *(places[i] for i in numbers[1:-1]), border]
+            found += [(a, b, words[i:j]) for a, b, i, j in zip(cuts, cuts[1:], numbers, numbers[1:])]
         elif words:
             found.append((start, border, words))
         elif found:  # white space belongs to the sentence before
