@@ -456,6 +456,16 @@ def test_personal_data(spark, docs, rows):
     assert personal.train(empty(spark)).shapes.shape == model.shapes.shape
 
 
+def test_similar_numbers_and_overlapping_spans(spark, docs):
+    model = personal.train(docs)
+    for one, two in (("+1 974 555 3436", "974-555-3436"), ("+1-974-555-3436", "974 555 3436"), ("+1 (974) 555-3436", "9745553436")):
+        text = f"{one} {'word ' * 50}{two} and 5553437 or 2016-01-04 more"
+        added = personal.added_spans(text, personal.base_spans(text), model)
+        assert [(kind, text[start:end]) for kind, start, end in added] == [("phone", two)]
+    mixed = docs.limit(1).withColumn("text", F.lit("write +49 30 12345678.foo@bar.com now"))
+    assert [row.text for row in personal.redacted(mixed, model).collect()] == ["write <phone> now"]
+
+
 def test_messages_reach_distant_tokens():
     text = "+1 (974) 555-3436 " + "word " * 500 + "(974) 555-3436"
     base = personal.base_spans(text)

@@ -2,9 +2,11 @@
 
 Base spans come from one pattern for each kind (email, ip, card, phone).  The field has a node for every token with a
 digit or an @; neighbours are joined by chain edges, and tokens of the same normal form, however distant, by skip edges
-from one occurrence to the next.  Tokens in base spans are observed; loopy message passing carries their labels along
-the edges.  A token gets a label if its belief is high enough and a base span of that label holds the same normal form:
-the part of a phone number that appears once with and once without its country code, for example.
+from one occurrence to the next.  Skip edges also lead from the tokens of a phone or card span to tokens, alone or in a
+row, whose digits are SIMILAR or more digits of the span in a row, however either is cut into tokens.  Tokens in base
+spans are observed; loopy message passing carries their labels along the edges.  A token gets a label if its belief is
+high enough and a base span of that label holds the same normal form or such digits: a phone number that appears once
+with and once without its country code, for example.
 
 Potentials are trained piecewise from counts over all documents, with the base spans as labels: labels by hashed token
 shape, by neighbouring label, and by the label at the other end of a skip edge.  The model has a fixed size.
@@ -31,6 +33,8 @@ LABELS = ["other", *KINDS]
 SHAPES = 4096
 BELIEF = 0.9
 ROUNDS = 12
+SIMILAR = 7       # digits in a row that a token and a base span share
+MOST_DIGITS = 19  # of a phone or card span
 
 # The given patterns, written so that each scan is linear: fixed values.
 _LOCAL_PART = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-".decode())
@@ -130,7 +134,8 @@ def normal_form(token: str) -> str:
 
 
 class Graph(NamedTuple):
-    """Nodes (start, end, shape, base label or 0) and edges (left, right) of one text."""
+    """Nodes (start, end, shape, base label or 0) and edges (left, right) of one text; ``similar`` has the label of the base
+    span that holds a node's digits, or 0."""
 
     starts: np.ndarray
     ends: np.ndarray
@@ -139,11 +144,29 @@ class Graph(NamedTuple):
     chain: np.ndarray
     skip: np.ndarray
     groups: np.ndarray
+    similar: np.ndarray
+
+
+def similar_rows(digits: list[str], free: list[bool], follows: list[bool], known: dict[str, int]) -> list[tuple[int, int, int]]:
+    """(first, past the last, value in ``known``) of the longest rows of free neighbouring nodes whose joined digits are known."""
+    rows, first = [], 0
+    while first < len(digits):
+        joined, stop, best = "", first, None
+        while stop < len(digits) and free[stop] and digits[stop] and (stop == first or follows[stop]) and len(joined) + len(digits[stop]) <= MOST_DIGITS:
+            joined += digits[stop]
+            stop += 1
+            if joined in known:
+                best = first, stop, known[joined]
+        if best:
+            rows.append(best)
+        first = best[1] if best else first + 1
+    return rows
 
 
 def graph(text: str, spans: list[Span]) -> Graph | None:
     starts, ends, shapes, observed, forms, chain = [], [], [], [], [], []
     covered = sorted((start, end, LABELS.index(kind)) for kind, start, end in spans)
+    inner: dict[int, list[int]] = {}  # nodes of each span
     next_span, word, before = 0, -1, -2
     for match in _TOKEN.finditer(text):
         word += 1
@@ -156,6 +179,8 @@ def graph(text: str, spans: list[Span]) -> Graph | None:
         if before == word - 1:
             chain.append((len(starts) - 1, len(starts)))
         before = word
+        if inside:
+            inner.setdefault(next_span, []).append(len(starts))
         starts.append(match.start())
         ends.append(match.end())
         shapes.append(shape(token))
@@ -171,8 +196,24 @@ def graph(text: str, spans: list[Span]) -> Graph | None:
         if form and last.setdefault(form, i) != i:
             skip.append((last[form], i))
         last[form] = i
+    similar = np.zeros(len(starts), np.int64)
+    known: dict[str, int] = {}
+    for span in inner:
+        start, end, label = covered[span]
+        digits = "".join(_DIGIT.findall(text[start:end])) if LABELS[label] in ("phone", "card") else ""
+        for size in range(SIMILAR, len(digits) + 1):
+            for first in range(len(digits) - size + 1):
+                known.setdefault(digits[first:first + size], span)
+    if known:
+        linked = set(skip)
+        following = {right for _, right in chain}
+        digits = ["".join(_DIGIT.findall(text[start:end])) if not seen else "" for start, end, seen in zip(starts, ends, observed)]
+        for first, stop, span in similar_rows(digits, [not seen for seen in observed], [i in following for i in range(len(starts))], known):
+            similar[first:stop] = covered[span][2]
+            edges = [(min(i, j), max(i, j)) for i in range(first, stop) for j in inner[span]]
+            skip += [edge for edge in edges if edge not in linked]
     array = lambda rows: np.array(rows, np.int64).reshape(-1, 2)
-    return Graph(*(np.array(column, np.int64) for column in (starts, ends, shapes, observed)), array(chain), array(skip), np.array(groups))
+    return Graph(*(np.array(column, np.int64) for column in (starts, ends, shapes, observed)), array(chain), array(skip), np.array(groups), similar)
 
 
 class Model(NamedTuple):
@@ -202,7 +243,7 @@ def train(docs: DataFrame) -> Model:
                     continue
                 # A token outside the spans that looks like one inside is not known to be something else: it teaches nothing.
                 seen = np.unique(found.groups[found.observed > 0])
-                sure = (found.observed > 0) | ~np.isin(found.groups, seen[seen >= 0])
+                sure = (found.observed > 0) | ~np.isin(found.groups, seen[seen >= 0]) & (found.similar == 0)
                 np.add.at(shapes, (found.shapes[sure], found.observed[sure]), 1)
                 for table, edges in ((chain, found.chain), (skip, found.skip)):
                     edges = edges[sure[edges].all(1)]
@@ -270,7 +311,9 @@ def added_spans(text: str, spans: list[Span], model: Model) -> list[Span]:
     last = -2
     for i in range(len(label)):
         kind = int(label[i])
-        if found.observed[i] or not kind or chances[i, kind] < BELIEF or (int(found.groups[i]), kind) not in backed:
+        if found.observed[i] or not kind or chances[i, kind] < BELIEF:
+            continue
+        if found.similar[i] != kind and (int(found.groups[i]), kind) not in backed:
             continue
         start, end = int(found.starts[i]), int(found.ends[i])
         if last == i - 1 and i in joined and out[-1][0] == LABELS[kind]:
@@ -322,7 +365,7 @@ def digests(found: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with every span of the text replaced by its kind in angle brackets; n_chars follows where it exists.
 
-    Of overlapping spans the first one counts.  Null texts stay null; rows without spans are unchanged.
+    Overlapping spans are replaced together, by the kind of the first one.  Null texts stay null; rows without spans are unchanged.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns
@@ -338,7 +381,7 @@ def redacted(docs: DataFrame, model: Model) -> DataFrame:
                 for kind, start, end in in_order(base + added_spans(data, base, shared.value)):
                     if start >= at:
                         parts += [data[at:start], f"<{kind}>"]
-                        at = end
+                    at = max(at, end)
                 texts[i] = "".join([*parts, data[at:]])
             arrays = [pa.array(texts, pa.string()) if name == "text" else batch.column(name) for name in columns]
             yield pa.RecordBatch.from_arrays(arrays, columns)
