@@ -1,8 +1,9 @@
-"""Bytes covered by long strings that occur elsewhere too: radix passes over suffixes, cut at the threshold.
+"""Bytes covered by long strings that occur elsewhere too: suffixes grouped by minimisers and hashes, cut at the threshold.
 
-Two suffixes fall into one group if their first ``window`` bytes are equal.  Sorting by most significant digits
-refines groups pass by pass and drops groups of one, so that only suffixes that still may have a partner are looked
-at again.  The digits are hashes, taken so that a whole run of neighbouring suffixes shares most of them:
+Two suffixes fall into one group if their first ``window`` bytes are equal.  Nothing is sorted: instead of the digits of
+a radix sort, each pass groups by a hash, refines the groups and drops groups of one, so that only suffixes that still
+may have a partner are looked at again.  The hashes are taken so that a whole run of neighbouring suffixes shares most
+of them:
 
 1. The minimiser: the gram with the smallest hash among the first ``window`` bytes, and its distance.  Runs of
    suffixes with the same minimiser form one row (about one for 120 bytes).  A gram that occurs once ends its runs.
