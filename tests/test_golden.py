@@ -224,6 +224,14 @@ def test_days_in_several_forms(spark):
     assert found == ["2016-01-04"] * 4 + ["None"] * 5
 
 
+def test_days_with_times_and_short_parts(spark):
+    days = ["2016-01-04 00:00:00", "2016-01-04T09:30:00", "2016-01-04T23:30:00.25-05:00", "2016-1-4", "1/4/2016", "2016/1/4", "1/4/2016 9:30", "20160104 09:30"]
+    texts = [*days, "2016", "2016-1-4T", "2016-01-04 25:00:00", "2016-2-30", "2016-01-04 noon"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = [str(r.d) for r in frame.select("i", numbers.coerce_day(F.col("t")).alias("d")).orderBy("i").collect()]
+    assert found == ["2016-01-04"] * len(days) + ["None"] * 5
+
+
 def test_nan_is_no_price_and_no_return(spark):
     frame = spark.createDataFrame([(1.0, 0.1), (float("nan"), 0.1), (2.0, float("nan")), (3.0, None), (-1.0, 0.2)], "prc double, ret double")
     assert [tuple(r) for r in bars.tradable(frame).collect()] == [(1.0, 0.1)]

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 # Forms of a day, most specific first; month before day where slashes leave it open.
 DAY_FORMATS = [
-    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
-    (r"^\d{8}$", "yyyyMMdd"),
-    (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
-    (r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"),
+    (r"\d{4}-\d{1,2}-\d{1,2}", "yyyy-M-d"),
+    (r"\d{8}", "yyyyMMdd"),
+    (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"),
+    (r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy"),
 ]
+# A time of day that may follow, with or without a zone; the day is that of the clock reading.
+TIME_FORM = r"[T ]([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?( ?(Z|[+-]\d{2}:?\d{2}))?"
 
 
 def safe_ratio(numerator: Column, denominator: Column) -> Column:
@@ -40,8 +42,11 @@ def coerce_double(text: Column) -> Column:
 
 
 def coerce_day(text: Column) -> Column:
-    """Text to date in one of DAY_FORMATS, which must fit whole; null for all other text."""
-    tries = [F.when(text.rlike(form), F.try_to_timestamp(text, F.lit(pattern)).cast("date")) for form, pattern in DAY_FORMATS]
+    """Text to date in one of DAY_FORMATS, with or without a time, which must fit whole; null for all other text."""
+    tries = [
+        F.when(text.rlike(f"^{form}({TIME_FORM})?$"), F.try_to_timestamp(F.regexp_extract(text, f"^{form}", 0), F.lit(pattern)).cast("date"))
+        for form, pattern in DAY_FORMATS
+    ]
     return F.coalesce(*tries)
 
 
