@@ -514,7 +514,7 @@ def test_queries_cover_their_table(spark, name):
     folder = "/root/testdata/sf0.001"
     total = spark.read.parquet(f"{folder}/documents.parquet").count()
     done = queries.QUERIES[name](spark, folder)
-    assert done.count() == total or name == "op6_decontamination"
+    assert done.count() == total or name in ("op6_decontamination", "op11_divergence", "op12_reversed_search")
 
 
 def test_pipeline(spark):

@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import bytepair, classes, common, decontaminate, jaccard, language, outliers, personal, sentences, sharding, substrings
+from tickerloom.llm import (
+    bytepair, classes, common, decontaminate, divergence, fingerprints, jaccard, language, oracles, outliers, personal, search, sentences,
+    sharding, substrings,
+)
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SHARDS = 40
@@ -68,6 +71,18 @@ def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.select("doc_id", fold.alias("held_out"), "lang_pred", "score")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.report(common.documents(spark, sf_dir))
+
+
+def op12_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(common.documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_byte_bpe": op2_byte_bpe,
@@ -79,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_personal_data": op9_personal_data,
     "op10_language_spans": op10_language_spans,
+    "op11_divergence": op11_divergence,
+    "op12_reversed_search": op12_reversed_search,
+    "op13_merkle": op13_merkle,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
