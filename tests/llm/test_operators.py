@@ -526,3 +526,63 @@ def test_pipeline(spark):
         assert 0 < out.count() <= docs.count()
         docs = out
     assert corpus_pipeline.run(spark, folder).count() == docs.count()
+
+
+def test_sentence_spans_equal_a_plain_version(docs, rows):
+    """All spans of all distinct rows, grouped by their words in one dictionary."""
+    unique = {(d, t or "") for d, t, *_ in rows}
+    cut = {row: sentences.sentences(row[1].encode()) for row in unique}
+    places = defaultdict(list)
+    for row, found in cut.items():
+        for first, last in sentences.spans([len(words) for _, _, words in found]):
+            places[tuple(tuple(words) for _, _, words in found[first:last + 1])].append(((row[0] is None, row[0] or 0, first), row, first, last))
+    covered = defaultdict(set)
+    for group in places.values():
+        leader = min(group)
+        for _, row, first, last in group:
+            if (row, first) != (leader[1], leader[2]):
+                covered[row] |= set(range(first, last + 1))
+    wanted = Counter()
+    for d, t, *_ in rows:
+        found, gone = cut[d, t or ""], covered[d, t or ""]
+        left = b"".join((t or "").encode()[a:b] for i, (a, b, _) in enumerate(found) if i not in gone) if gone else (t or "").encode()
+        wanted[d, len(found), len(gone), None if t is None else left.decode()] += 1
+    assert Counter(map(tuple, sentences.without_repeats(docs).collect())) == wanted
+    assert sum(n for (_, _, gone, _), n in wanted.items() if gone) >= 10
+
+
+def test_leaks_between_others_in_a_batch_are_found():
+    index = decontaminate.Index([(7, b"one two three four five")], 0.8)
+    texts = [["zz"], "one two three four five".split(), ["qq"], "aa bb cc".split()]
+    known = lambda words: np.array([index.vocabulary.get(word.encode(), 0) for word in words], np.int64)
+    assert [match[:2] for match in index.matches([known(words) for words in texts], 0.8)] == [(1, 0)]
+
+
+def test_batches_find_what_a_plain_scan_finds():
+    """Random small batches over few words: every (document, item) that the first step lets through is one that its documents
+    alone let through, and leaks without edits are found whatever stands around them."""
+    rng = np.random.default_rng(21)
+    for _ in range(60):
+        items = [(i, b" ".join(b"w%d" % word for word in rng.integers(0, 40, rng.integers(5, 30)))) for i in range(4)]
+        index = decontaminate.Index(items, 0.8)
+        documents = []
+        for _ in range(int(rng.integers(1, 8))):
+            words = rng.integers(0, 40, rng.integers(0, 12)).tolist()
+            if rng.random() < 0.5:
+                words += index.items[int(rng.integers(4))] + rng.integers(0, 40, rng.integers(0, 12)).tolist()
+            documents.append(np.array(words, np.int64))
+        together = {(place, item) for place, item, _ in index.windows(documents)}
+        assert together == {(place, item) for place, words in enumerate(documents) for _, item, _ in index.windows([words])}
+        found = {(place, item): distance for place, item, _, distance in index.matches(documents, 0.8)}
+        for place, words in enumerate(documents):
+            for item, wanted in enumerate(index.items):
+                if any(words[i:i + len(wanted)].tolist() == wanted for i in range(len(words))):
+                    assert found[place, item] == 0
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "long"])
+def test_item_ids_keep_their_type(spark, docs, kind):
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string").withColumn("item_id", F.col("item_id").cast(kind))
+    found = decontaminate.leaks(docs, items)
+    assert found.schema["item_id"].dataType == items.schema["item_id"].dataType
+    assert {row.doc_id for row in found.collect()} == {410, 411} and {str(row.item_id) for row in found.collect()} == {"1"}

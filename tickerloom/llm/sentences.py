@@ -37,6 +37,8 @@ _CLOSING = "」』”’）】》〉"
 _BORDER = re.compile(
     rb"(?<=[.!?])[ \t\r\x0b\x0c]+|\n+|(?:" + b"|".join(map(str.encode, _ENDS + _LINE_ENDS)) + rb")+(?:" + b"|".join(map(str.encode, _CLOSING))
     + rb")*[ \t\r\x0b\x0c]*")
+_PLAIN_BORDER = re.compile(rb"(?<=[.!?])[ \t\r\x0b\x0c]+|\n+")
+_OTHER_ENDS = re.compile(rb"[\xd8\xdb\xe0-\xe3\xef]|\xc2\x85")  # what the ends of other scripts can begin with
 _UNSPACED = re.compile(rb"[\xe3-\xe9]")  # first bytes of kana and ideographs, U+3000 to U+9FFF
 _WORD = re.compile(rb"[\xe3-\xe9][\x80-\xbf]{2}|[^\x20\x09-\x0D\xe3-\xe9]+")
 
@@ -54,9 +56,10 @@ def pieces(words: list[bytes]) -> list[int]:
 def sentences(data: bytes) -> list[tuple[int, int, list[bytes]]]:
     """(start, end, lower-cased words) of the sentences; ends include the white space that follows."""
     found, start = [], 0
-    spaced = not _UNSPACED.search(data)
-    for border in [*((match.end() for match in _BORDER.finditer(data))), len(data)]:
-        part = data[start:border].lower()
+    spaced, lower = not _UNSPACED.search(data), data.lower()
+    borders = (_BORDER if _OTHER_ENDS.search(data) else _PLAIN_BORDER).finditer(data)
+    for border in [*(match.end() for match in borders), len(data)]:
+        part = lower[start:border]
         words = part.split() if spaced else _WORD.findall(part)
         if len(words) > PIECE_WORDS:
             numbers = [0, *pieces(words), len(words)]
@@ -129,17 +132,20 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             total, removed, texts = [], [], []
             for data, gone, missing in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), batch.column("no_text").to_pylist()):
                 found = sentences(data)
+                total.append(len(found))
+                if not gone:
+                    removed.append(0)
+                    texts.append(None if missing else data)
+                    continue
                 change = np.zeros(len(found) + 1, np.int64)
-                for span in gone or []:
+                for span in gone:
                     change[span["first"]] += 1
                     change[span["last"] + 1] -= 1
                 out = np.cumsum(change)[:-1] > 0
-                total.append(len(found))
                 removed.append(int(out.sum()))
-                left = b"".join([data[a:b] for (a, b, _), drop in zip(found, out) if not drop]) if out.any() else data
-                texts.append(None if missing else left.decode("utf-8", "replace"))
+                texts.append(b"".join([data[a:b] for (a, b, _), drop in zip(found, out) if not drop]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())],
+                [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())],
                 ["doc_id", "n_sentences", "n_removed", "text"])
 
     changed = common.among(rows, "key", keys, True).join(covered, "key")
