@@ -69,7 +69,7 @@ def test_walk_forward_equals_a_plain_loop(spark):
         for u in range(3, 6):
             train, test = part[(part.unit >= u - 3) & (part.unit < u)], part[part.unit == u]
             one = lambda f: np.hstack([np.stack(f["features"].to_numpy()), np.ones((len(f), 1))])
-            beta = logistic.fit_in_memory(one(train), train["label"].to_numpy(float))
+            beta = logistic.fit_in_memory(one(train), train["label"].to_numpy(float)).beta
             for i, p in zip(test["id"], one(test) @ beta > 0):
                 expected.append((g, u, i, int(p)))
     assert sorted(zip(found.permco, found.unit, found.id, found.predicted_direction)) == sorted(expected)
@@ -171,3 +171,57 @@ def test_word_vectors_check_the_vocabulary(spark):
     assert found.columns == ["doc", "body", "embedding"] and len(found.first().embedding) == 4
     with pytest.raises(ValueError):
         vectors.word_vectors(frame, "body", min_count=1, max_vocabulary=3)
+
+
+def test_quasi_newton_equals_newton_on_wide_vectors(spark, monkeypatch):
+    rows = make_rows(spark, [1, 2], 1, 400, width=64, seed=9)
+    newton = {r.permco: r.beta for r in logistic.fit_groups(rows, ["permco"]).collect()}
+    monkeypatch.setattr(logistic, "NEWTON_WIDTH", 63)
+    monkeypatch.setattr(logistic, "BLOCK_VALUES", 64 * 100)
+    spread = {r.permco: (r.beta, r.status) for r in logistic.fit_groups(rows, ["permco"], max_group_values=1).collect()}
+    assert set(spread) == {1, 2}
+    for key, (beta, status) in spread.items():
+        assert status == logistic.CONVERGED
+        np.testing.assert_allclose(beta, newton[key], atol=1e-6)
+
+
+def test_wide_terms_are_gradients_only(spark):
+    """768 features: a problem and task sends rows, loss and gradient, far below a megabyte, and the steps go down."""
+    rows = make_rows(spark, [1], 1, 120, width=768, seed=2)
+    ready = rows.select("permco", F.lit(0).cast("long").alias("unit"), "label", "features", F.col("id").alias("mix"))
+    problems = ready.select("permco").distinct().select("permco", F.lit(0).alias("fold"), F.array(F.lit(0).cast("long")).alias("train_units"), F.lit(768).alias("width"))
+    blocks = logistic._to_blocks(ready, ["permco"])
+    points = problems.withColumn("fold", F.col("fold").cast("long")).withColumn("beta", F.array_repeat(F.lit(0.0), 769))
+    terms = logistic._sum_terms(blocks, points, ["permco"]).first().terms
+    assert len(terms) == 2 + 769 and 8 * len(terms) < 1 << 20
+    fit = logistic.fit_spread(ready, problems, ["permco"]).first()
+    assert fit.status == logistic.CONVERGED
+    pdf = rows.toPandas()
+    x1 = np.hstack([np.stack(pdf["features"].to_numpy()), np.ones((len(pdf), 1))])
+    _, grad, _ = logistic.loss_and_slope(x1, pdf["label"].to_numpy(float), np.array(fit.beta))
+    assert np.abs(grad + np.append(fit.beta[:-1], 0.0)).max() < 1e-6
+
+
+@pytest.mark.parametrize("limit", [10**6, 1])
+def test_failed_fits_are_rows_and_stop_nothing(spark, monkeypatch, limit):
+    rows = make_rows(spark, [1, 2, 3, 4, 5], 6, 20, seed=5)
+    good = {r.permco: r.beta for r in logistic.fit_groups(rows.where("permco = 1"), ["permco"], limit).collect()}
+    nan, inf = F.array(F.lit(float("nan")), F.lit(0.0), F.lit(1.0)), F.array(F.lit(0.0), F.lit(float("inf")), F.lit(1.0))
+    first = (F.col("unit") == 0) & (F.col("id") == 0)
+    bad = rows.withColumn(
+        "features", F.when((F.col("permco") == 2) & first, nan).when((F.col("permco") == 4) & first, inf)
+        .when((F.col("permco") == 5) & first, F.lit(None)).otherwise(F.col("features"))
+    ).withColumn("label", F.when(F.col("permco") == 3, 1).otherwise(F.col("label")))
+    found = {r.permco: (r.status, r.beta) for r in logistic.fit_groups(bad, ["permco"], limit).collect()}
+    assert {k: status for k, (status, _) in found.items()} == {1: "converged", 2: "missing_values", 3: "one_class", 4: "missing_values", 5: "missing_values"}
+    np.testing.assert_allclose(found[1][1], good[1], atol=1e-9)
+    assert all(found[k][1] is None for k in (2, 3, 4, 5))
+    clean = logistic.walk_forward_predict(rows.where("permco = 1"), ["permco", "model"], ["id"], 2, limit)
+    walked = logistic.walk_forward_predict(bad, ["permco", "model"], ["id"], 2, limit)
+    assert collected(walked.where("permco = 1").select(clean.columns)) == collected(clean)
+    states = {(r.permco, r.unit): (r.status, r.some) for r in walked.groupBy("permco", "unit", "status").agg(F.count("predicted_direction").alias("some")).collect()}
+    assert all(states[k, 2] == ("missing_values", 0) and states[k, 3] == ("converged", 20) for k in (2, 4, 5))
+    assert states[3, 2] == ("one_class", 20)
+    monkeypatch.setattr(logistic, "MAX_STEPS", 1)
+    short = {r.status for r in logistic.fit_groups(rows, ["permco"], limit).collect()}
+    assert short == {"not_converged"}

@@ -15,8 +15,8 @@ SECURITY = ("permco", "ticker")
 
 
 def market_cap() -> Column:
-    """Price times shares; the sign of the price is kept."""
-    return F.col("prc") * F.col("shrout")
+    """Price times shares; the sign of the price is kept, NaN is missing."""
+    return nan_to_null(F.col("prc") * F.col("shrout"))
 
 
 def adjusted_price() -> Column:

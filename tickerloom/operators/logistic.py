@@ -2,19 +2,25 @@
 
 Loss: half the penalty times the squared weights plus the summed log loss; the intercept is not penalised.
 A group that fits a task is fitted there by Newton's method.  A larger group stays spread over the
-cluster: each Newton step sums gradient and curvature over blocks of rows, for all large groups and folds
-at once.  Both ways solve the same convex problem to the same tolerance.
+cluster: each step sums terms over blocks of rows, for all large groups and folds at once.  Up to
+``NEWTON_WIDTH`` features a step sums gradient and curvature (width squared numbers); wider vectors take a limited-memory
+quasi-Newton method, whose steps sum the gradient only and whose state (the last ``MEMORY`` changes of point and
+gradient) is a row of a table.  All ways solve the same convex problem to the same tolerance.
+
+Every fit has a status.  A fit that is not possible (one class, missing values) or does not end is a row like the
+others and stops nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,58 +32,122 @@ from tickerloom.session import pin
 PENALTY = 1.0
 TOLERANCE = 1e-9
 MAX_STEPS = 100
+MAX_QUASI_STEPS = 400
+NEWTON_WIDTH = 64
+MEMORY = 12
 BLOCK_VALUES = 65_536
 _DOUBLES = T.ArrayType(T.DoubleType())
 
+CONVERGED, ONE_CLASS, MISSING, NOT_CONVERGED = "converged", "one_class", "missing_values", "not_converged"
+
+
+class Fit(NamedTuple):
+    """``beta`` (weights, then the intercept) is None unless ``status`` is CONVERGED or NOT_CONVERGED."""
+
+    beta: np.ndarray | None
+    status: str
+
 
 def _with_one(x: np.ndarray) -> np.ndarray:
     return np.hstack([x, np.ones((len(x), 1))])
 
 
-def data_terms(x1: np.ndarray, y: np.ndarray, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log loss of some rows with its gradient and curvature; additive over rows."""
+def _matrix(features: pd.Series) -> np.ndarray:
+    """Rows of features with a one at the end; missing vectors and entries are NaN."""
+    width = max((len(row) for row in features if row is not None), default=0)
+    nothing = np.full(width, np.nan)
+    return _with_one(np.stack([nothing if row is None else np.asarray(row, float) for row in features]))
+
+
+def loss_and_slope(x1: np.ndarray, y: np.ndarray, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log loss of some rows, its gradient, and the chance of each row; the first two are additive over rows."""
     margin = x1 @ beta
     chance = 0.5 * (1.0 + np.tanh(0.5 * margin))
-    loss = float(np.sum(np.logaddexp(0.0, margin) - y * margin))
-    return loss, x1.T @ (chance - y), (x1.T * (chance * (1.0 - chance))) @ x1
+    return float(np.sum(np.logaddexp(0.0, margin) - y * margin)), x1.T @ (chance - y), chance
 
 
-class NewtonState:
-    """Point to evaluate next, and the best point so far with the step taken from it."""
+def data_terms(x1: np.ndarray, y: np.ndarray, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log loss of some rows with its gradient and curvature; additive over rows."""
+    loss, slope, chance = loss_and_slope(x1, y, beta)
+    return loss, slope, (x1.T * (chance * (1.0 - chance))) @ x1
+
 
-    def __init__(self, beta, base=None, step=None, value=np.inf, scale=1.0, done=False):
-        self.beta, self.base, self.step = np.asarray(beta, float), base, step
+def _solved(curvature: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    """Newton's step; the gradient itself where the curvature cannot be solved."""
+    try:
+        return np.linalg.solve(curvature, slope)
+    except np.linalg.LinAlgError:
+        return slope
+
+
+class Descent:
+    """Point to evaluate next, and the best point so far with its gradient and the step taken from it.
+
+    ``memory`` holds the last changes of point and gradient, one after the other; Newton's method leaves it empty.
+    """
+
+    def __init__(self, beta, base=(), slope=(), step=(), memory=(), value=np.inf, scale=1.0, done=False):
+        self.beta, self.base, self.slope, self.step = (np.asarray(a, float) for a in (beta, base, slope, step))
+        self.memory = np.asarray(memory, float).reshape(-1, 2, len(self.beta))
         self.value, self.scale, self.done = value, scale, done
 
-    def advance(self, loss: float, grad: np.ndarray, hess: np.ndarray, n_rows: int, penalty: float) -> None:
+    def advance(self, loss: float, slope: np.ndarray, hess: np.ndarray | None, n_rows: int, penalty: float) -> None:
         """Take the data terms at ``beta``: accept it and step on, or halve the last step."""
         ridge = np.full(len(self.beta), penalty)
         ridge[-1] = 0.0
         value = loss + 0.5 * float(ridge @ self.beta**2)
-        slope = grad + ridge * self.beta
-        if value > self.value + 1e-12 * abs(self.value) and self.scale > 1e-9:
+        slope = slope + ridge * self.beta
+        if not value <= self.value + 1e-12 * abs(self.value) and self.scale > 1e-9 and len(self.base):
             self.scale /= 2.0
             self.beta = self.base + self.scale * self.step
             return
-        self.base, self.value, self.scale = self.beta, value, 1.0
+        if hess is None and len(self.base):
+            self._remember(self.beta - self.base, slope - self.slope)
+        self.base, self.slope, self.value, self.scale = self.beta, slope, value, 1.0
         if np.max(np.abs(slope)) <= TOLERANCE * max(1, n_rows):
             self.done = True
             return
-        self.step = -np.linalg.solve(hess + np.diag(ridge) + 1e-12 * np.eye(len(ridge)), slope)
+        if hess is None:
+            self.step = -self._smoothed(slope)
+        else:
+            self.step = -_solved(hess + np.diag(ridge) + 1e-12 * np.eye(len(ridge)), slope)
         self.beta = self.base + self.step
 
-
-def fit_in_memory(x1: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, penalty: float = PENALTY) -> np.ndarray:
-    """Weights followed by the intercept, for rows that end in a one; needs both classes.
+    def _remember(self, moved: np.ndarray, changed: np.ndarray) -> None:
+        if moved @ changed > 1e-12 * np.linalg.norm(moved) * np.linalg.norm(changed):
+            self.memory = np.concatenate([self.memory, [[moved, changed]]])[-MEMORY:]
+
+    def _smoothed(self, slope: np.ndarray) -> np.ndarray:
+        """The gradient times the inverse curvature that the remembered changes imply (two loops)."""
+        if not len(self.memory):
+            return slope / max(1.0, float(np.linalg.norm(slope)))
+        out, parts = slope.copy(), []
+        for moved, changed in self.memory[::-1]:
+            part = (moved @ out) / (moved @ changed)
+            parts.append(part)
+            out -= part * changed
+        moved, changed = self.memory[-1]
+        out *= (moved @ changed) / (changed @ changed)
+        for (moved, changed), part in zip(self.memory, parts[::-1]):
+            out += moved * (part - (changed @ out) / (moved @ changed))
+        return out
+
+
+def fit_in_memory(x1: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, penalty: float = PENALTY) -> Fit:
+    """Fit of rows that end in a one.
 
     A start close to the solution, such as the fit of a training set that overlaps, saves steps.
     """
-    state = NewtonState(np.zeros(x1.shape[1]) if start is None else start)
+    if not (np.isfinite(x1).all() and np.isfinite(y).all()):
+        return Fit(None, MISSING)
+    if y.min() == y.max():
+        return Fit(None, ONE_CLASS)
+    state = Descent(np.zeros(x1.shape[1]) if start is None else start)
     for _ in range(MAX_STEPS):
         state.advance(*data_terms(x1, y, state.beta), len(y), penalty)
         if state.done:
-            return state.beta
-    raise RuntimeError("logistic regression did not converge")
+            return Fit(state.beta, CONVERGED)
+    return Fit(state.base, NOT_CONVERGED)
 
 
 def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
@@ -108,7 +178,8 @@ def _to_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _sum_terms(blocks: DataFrame, active: DataFrame, keys: list[str]) -> DataFrame:
-    """Data terms of every active problem, summed over the blocks of its training units."""
+    """Data terms of every active problem, summed over the blocks of its training units: rows, loss, gradient and, up to
+    NEWTON_WIDTH features, curvature."""
     points = (
         active.select(*keys, F.explode("train_units").alias("unit"), F.struct("fold", "beta").alias("p"))
         .groupBy(*keys, "unit").agg(F.collect_list("p").alias("ps"))
@@ -117,6 +188,7 @@ def _sum_terms(blocks: DataFrame, active: DataFrame, keys: list[str]) -> DataFra
     schema = T.StructType([
         *_fields(blocks, keys), T.StructField("fold", T.LongType()), T.StructField("terms", _DOUBLES)
     ])
+    newton_width = NEWTON_WIDTH
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -125,9 +197,13 @@ def _sum_terms(blocks: DataFrame, active: DataFrame, keys: list[str]) -> DataFra
                 y = np.asarray(row["ys"], float)
                 x1 = _with_one(np.asarray(row["xs"], float).reshape(len(y), -1))
                 for fold, beta in zip(row["folds"], row["betas"]):
-                    loss, grad, hess = data_terms(x1, y, np.asarray(beta, float))
+                    beta = np.asarray(beta, float)
+                    if len(beta) - 1 <= newton_width:
+                        loss, slope, hess = data_terms(x1, y, beta)
+                    else:
+                        (loss, slope, _), hess = loss_and_slope(x1, y, beta), np.empty(0)
                     key = (*(row[k] for k in keys), int(fold))
-                    sums[key] = sums.get(key, 0.0) + np.concatenate([[len(y), loss], grad, hess.ravel()])
+                    sums[key] = sums.get(key, 0.0) + np.concatenate([[len(y), loss], slope, hess.ravel()])
             yield pd.DataFrame([[*key, terms] for key, terms in sums.items()], columns=schema.names)
 
     terms = blocks.join(points, [*keys, "unit"]).mapInPandas(partial, schema)
@@ -137,68 +213,94 @@ def _sum_terms(blocks: DataFrame, active: DataFrame, keys: list[str]) -> DataFra
 
 
 def fit_spread(rows: DataFrame, problems: DataFrame, keys: list[str], penalty: float = PENALTY) -> DataFrame:
-    """(keys, fold, beta) for problems (keys, fold, train_units, width) over rows that stay spread.
+    """(keys, fold, beta, status) for problems (keys, fold, train_units, width) over rows that stay spread; the rows of a
+    problem need both classes and no missing value.
 
     The state, one row per problem, is written after each step, so a lost executor costs one step.
     """
     blocks = pin(_to_blocks(rows, keys), "blocks")
-    zeros = F.array_repeat(F.lit(0.0), F.col("width") + 1)
+    nothing = F.array().cast(_DOUBLES)
     state = problems.select(
-        *keys, F.col("fold").cast("long").alias("fold"), "train_units", zeros.alias("beta"),
-        zeros.alias("base"), zeros.alias("step"), F.lit(float("inf")).alias("value"), F.lit(1.0).alias("scale"),
-        F.lit(False).alias("done"),
+        *keys, F.col("fold").cast("long").alias("fold"), "train_units", F.array_repeat(F.lit(0.0), F.col("width") + 1).alias("beta"),
+        *[nothing.alias(name) for name in ("base", "slope", "step", "memory")], F.lit(float("inf")).alias("value"),
+        F.lit(1.0).alias("scale"), F.lit(False).alias("done"), F.lit(0).alias("steps"),
     )
-    schema = state.schema
+    schema, newton_width = state.schema, NEWTON_WIDTH
+    arrays = ("beta", "base", "slope", "step", "memory")
 
     def update(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for row in frame.to_dict("records"):
                 terms = np.asarray(row.pop("terms"), float)
-                point = NewtonState(*(np.asarray(row[k], float) for k in ("beta", "base", "step")), row["value"], row["scale"])
+                point = Descent(*(np.asarray(row[k], float) for k in arrays), row["value"], row["scale"])
                 size = len(point.beta)
-                point.advance(terms[1], terms[2:2 + size], terms[2 + size:].reshape(size, size), terms[0], penalty)
-                row.update(beta=point.beta, base=point.base, step=point.step, value=point.value, scale=point.scale, done=point.done)
+                hess = terms[2 + size:].reshape(size, size) if size - 1 <= newton_width else None
+                point.advance(terms[1], terms[2:2 + size], hess, terms[0], penalty)
+                row.update({k: getattr(point, k).ravel() for k in arrays}, value=point.value, scale=point.scale, done=point.done,
+                           steps=row["steps"] + 1)
                 out.append(row)
             yield pd.DataFrame(out, columns=schema.names)
 
-    state = pin(state, "newton")
-    for _ in range(MAX_STEPS):
-        active = state.where(~F.col("done"))
+    limit = F.when(F.size("beta") - 1 <= newton_width, MAX_STEPS).otherwise(MAX_QUASI_STEPS)
+    going = ~F.col("done") & (F.col("steps") < limit)
+    state = pin(state, "descent")
+    for _ in range(max(MAX_STEPS, MAX_QUASI_STEPS)):
+        active = state.where(going)
         if active.isEmpty():
-            return state.select(*keys, "fold", "beta")
+            break
         moved = active.join(_sum_terms(blocks, active, keys), [*keys, "fold"]).mapInPandas(update, schema)
-        state = pin(state.where("done").unionByName(moved), "newton")
-    raise RuntimeError("logistic regression did not converge")
+        state = pin(state.where(~going).unionByName(moved), "descent")
+    return state.select(*keys, "fold", F.when(F.col("done"), F.col("beta")).otherwise(F.col("base")).alias("beta"),
+                        F.when(F.col("done"), CONVERGED).otherwise(NOT_CONVERGED).alias("status"))
+
+
+def _incomplete() -> Column:
+    """The row has no label or a missing or infinite feature."""
+    gap = F.exists("features", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.col("label").isNull() | F.isnan(F.col("label").cast("double")) | F.coalesce(gap, F.lit(True))
+
+
+def _status(n: Column, n_up: Column, n_incomplete: Column) -> Column:
+    """Why a training set cannot be fitted; null if it can."""
+    return F.when(n_incomplete > 0, MISSING).when((n_up == 0) | (n_up == n), ONE_CLASS)
 
 
 def fit_groups(rows: DataFrame, keys: Sequence[str], max_group_values: int = MAX_GROUP_VALUES) -> DataFrame:
-    """(keys, beta): one fit per group over all its rows (label, features); groups need both classes."""
+    """(keys, beta, status): one fit per group over all its rows (label, features); beta is null where none is possible."""
     on = list(keys)
     parts = split_by_size(rows, on, max(1, max_group_values // widest(rows, "features")))
-    schema = T.StructType([*_fields(rows, on), T.StructField("beta", _DOUBLES)])
+    schema = T.StructType([*_fields(rows, on), T.StructField("beta", _DOUBLES), T.StructField("status", T.StringType())])
 
     def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        beta = fit_in_memory(_with_one(np.stack(frame["features"].to_numpy())), frame["label"].to_numpy(float))
-        return pd.DataFrame([[*key, beta]], columns=schema.names)
+        found = fit_in_memory(_matrix(frame["features"]), frame["label"].to_numpy(float))
+        return pd.DataFrame([[*key, found.beta, found.status]], columns=schema.names)
 
     fitted = parts.small.select(*on, "label", "features").groupBy(*on).applyInPandas(fit, schema)
     if parts.large is None:
         return fitted
     zero = F.lit(0).cast("long")
-    spread = parts.large.select(*on, zero.alias("unit"), "label", "features", F.monotonically_increasing_id().alias("mix"))
-    widths = parts.large.groupBy(*on).agg(F.max(F.size("features")).alias("width"))
-    problems = widths.select(*on, zero.alias("fold"), F.array(zero).alias("train_units"), "width")
-    return fitted.unionByName(fit_spread(spread, problems, on).drop("fold"))
+    sizes = parts.large.groupBy(*on).agg(
+        F.max(F.size("features")).alias("width"),
+        _status(F.count("*"), F.sum(F.col("label").cast("long")), F.count_if(_incomplete())).alias("status"))
+    sizes = pin(sizes, "sizes")
+    spread = parts.large.join(sizes.where("status is null").select(*on), on, "left_semi").select(
+        *on, zero.alias("unit"), "label", "features", F.monotonically_increasing_id().alias("mix"))
+    problems = sizes.where("status is null").select(*on, zero.alias("fold"), F.array(zero).alias("train_units"), "width")
+    failed = sizes.where("status is not null").select(*on, F.lit(None).cast(_DOUBLES).alias("beta"), "status")
+    return fitted.unionByName(fit_spread(spread, problems, on).drop("fold")).unionByName(failed)
 
 
 def walk_forward_folds(rows: DataFrame, keys: Sequence[str], window: int = TRAIN_WINDOW) -> DataFrame:
     """Folds per group: train on ``window`` consecutive distinct units, test on the next; the last unit is
-    never tested.  (keys, test_unit, train_units, n_train, n_train_up, n_test).
+    never tested.  (keys, test_unit, train_units, n_train, n_train_up, n_test), and n_incomplete, the training rows with a
+    missing value, where ``rows`` has features.
 
     Windows run over the distinct units of a group, which the calendar bounds.
     """
-    units = rows.groupBy(*keys, "unit").agg(F.count("*").alias("n_test"), F.sum("label").cast("long").alias("n_up"))
+    checked = "features" in rows.columns
+    gaps = [F.count_if(_incomplete()).alias("n_gaps")] if checked else []
+    units = rows.groupBy(*keys, "unit").agg(F.count("*").alias("n_test"), F.sum(F.col("label").cast("long")).alias("n_up"), *gaps)
     along = Window.partitionBy(*keys).orderBy("unit")
     train = along.rowsBetween(-window, -1)
     whole = Window.partitionBy(*keys)
@@ -207,6 +309,7 @@ def walk_forward_folds(rows: DataFrame, keys: Sequence[str], window: int = TRAIN
         F.collect_list(F.col("unit").cast("long")).over(train).alias("train_units"),
         F.sum("n_test").over(train).alias("n_train"),
         F.sum("n_up").over(train).alias("n_train_up"),
+        *([F.sum("n_gaps").over(train).alias("n_incomplete")] if checked else []),
         F.row_number().over(along).alias("_place"),
         F.count("*").over(whole).alias("_units"),
     )
@@ -220,8 +323,10 @@ def walk_forward_predict(
     """Predictions of each test unit from the fit on the units before it.
 
     ``rows``: keys, ids (which identify a row of its group), unit (integer), label (0/1), features.  Output:
-    keys, ids, unit, true_direction, predicted_direction, one_class.  A training set with one class
-    predicts that class and sets ``one_class``.  ``rows`` is read more than once: pass a pinned table.
+    keys, ids, unit, true_direction, predicted_direction, one_class, status.  A training set with one class
+    predicts that class and sets ``one_class``; one with missing values predicts nothing, and neither is a class predicted
+    for a row with missing features.  ``status`` is that of the fold's fit; other folds and groups do not depend on it.
+    ``rows`` is read more than once: pass a pinned table.
 
     Folds are looped inside the group, so a row is shuffled once and not once per fold.
     """
@@ -230,24 +335,29 @@ def walk_forward_predict(
     schema = T.StructType([
         *_fields(rows, [*on, *ids]), T.StructField("unit", T.LongType()), T.StructField("true_direction", T.IntegerType()),
         T.StructField("predicted_direction", T.IntegerType()), T.StructField("one_class", T.BooleanType()),
+        T.StructField("status", T.StringType()),
     ])
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("unit", kind="stable")
         units, y = frame["unit"].to_numpy(), frame["label"].to_numpy(float)
-        x1 = _with_one(np.stack(frame["features"].to_numpy()))
+        x1 = _matrix(frame["features"])
         starts = np.append(np.unique(units, return_index=True)[1], len(units))
-        guess, one_class, beta = np.zeros(len(units), int), np.zeros(len(units), bool), None
+        guess, status, beta = np.full(len(units), np.nan), np.full(len(units), "", object), None
+        whole = np.isfinite(x1).all(axis=1)
         for i in range(window, len(starts) - 2):
             train, test = slice(starts[i - window], starts[i]), slice(starts[i], starts[i + 1])
-            if y[train].min() == y[train].max():
-                guess[test], one_class[test] = int(y[train][0]), True
-            else:
-                beta = fit_in_memory(x1[train], y[train], beta)
-                guess[test] = x1[test] @ beta > 0
+            found = fit_in_memory(x1[train], y[train], beta)
+            status[test] = found.status
+            if found.status == ONE_CLASS:
+                guess[test] = y[train][0]
+            elif found.beta is not None:
+                beta = found.beta if found.status == CONVERGED else None
+                guess[test] = np.where(whole[test], x1[test] @ found.beta > 0, np.nan)
         tested = slice(starts[window], starts[-2]) if len(starts) > window + 2 else slice(0, 0)
         return frame.iloc[tested][[*on, *ids, "unit"]].assign(
-            true_direction=y[tested].astype(int), predicted_direction=guess[tested], one_class=one_class[tested]
+            true_direction=pd.array(y[tested], "Int32"), predicted_direction=pd.array(guess[tested], "Int32"),
+            one_class=status[tested] == ONE_CLASS, status=status[tested]
         )
 
     needed = [*on, *ids, F.col("unit").cast("long").alias("unit"), "label", "features"]
@@ -258,18 +368,20 @@ def walk_forward_predict(
 
 
 def _predict_spread(rows: DataFrame, keys: list[str], ids: list[str], window: int) -> DataFrame:
-    folds = pin(walk_forward_folds(rows, keys, window), "folds")
-    mixed = (F.col("n_train_up") > 0) & (F.col("n_train_up") < F.col("n_train"))
+    folds = walk_forward_folds(rows, keys, window)
+    folds = pin(folds.withColumn("failed", _status(F.col("n_train"), F.col("n_train_up"), F.col("n_incomplete"))), "folds")
     widths = rows.groupBy(*keys).agg(F.max(F.size("features")).alias("width"))
-    problems = folds.where(mixed).join(widths, keys).select(*keys, F.col("test_unit").alias("fold"), "train_units", "width")
-    training = rows.select(*keys, "unit", "label", "features", F.xxhash64(*ids).alias("mix"))
+    problems = folds.where("failed is null").join(widths, keys).select(*keys, F.col("test_unit").alias("fold"), "train_units", "width")
+    training = rows.where(~_incomplete()).select(*keys, "unit", "label", "features", F.xxhash64(*ids).alias("mix"))
     betas = fit_spread(training, problems, keys)
     fitted = folds.join(betas.withColumnRenamed("fold", "test_unit"), [*keys, "test_unit"], "left").select(
-        *keys, F.col("test_unit").alias("unit"), "beta", (F.col("n_train_up") > 0).cast("int").alias("only_class")
+        *keys, F.col("test_unit").alias("unit"), "beta", F.coalesce("failed", "status").alias("status"),
+        F.when(F.col("failed") == ONE_CLASS, (F.col("n_train_up") > 0).cast("int")).alias("only_class")
     )
     margin = dot(F.col("features"), F.slice("beta", F.lit(1), F.size("features"))) + F.element_at("beta", -1)
-    guess = F.when(F.col("beta").isNull(), F.col("only_class")).otherwise((margin > 0).cast("int"))
+    whole = ~F.exists("features", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    guess = F.when(F.col("beta").isNull(), F.col("only_class")).when(whole, (margin > 0).cast("int"))
     return rows.join(fitted, [*keys, "unit"]).select(
         *keys, *ids, "unit", F.col("label").cast("int").alias("true_direction"),
-        guess.alias("predicted_direction"), F.col("beta").isNull().alias("one_class"),
+        guess.alias("predicted_direction"), (F.col("status") == ONE_CLASS).alias("one_class"), "status",
     )

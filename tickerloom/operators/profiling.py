@@ -7,19 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickerloom.functions.numbers import nan_to_null
 from tickerloom.operators.cleaning import numeric_columns
 from tickerloom.operators.ordered import exact_quantiles
 from tickerloom.params import HISTOGRAM_BINS, TOP_EVENT_TYPES
 
 
 def summary_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row per numeric column: n, mean, std (sample), min, q25, q50, q75, max.
+    """One row per numeric column: n, mean, std (sample), min, q25, q50, q75, max; NaN counts as missing.
 
     Quartiles are exact with linear interpolation; they are taken from range-sorted value counts, so no
     task holds all values of a column.
     """
     names = list(columns or numeric_columns(df))
-    long = df.select(*[F.col(name).cast("double").alias(name) for name in names]).unpivot([], names, "column_name", "value")
+    long = df.select(*[nan_to_null(F.col(name).cast("double")).alias(name) for name in names]).unpivot([], names, "column_name", "value")
     basic = long.groupBy("column_name").agg(
         F.count("value").alias("n"),
         F.avg("value").alias("mean"),
@@ -42,7 +43,7 @@ def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFra
 
     The bounds are scalar subqueries of one aggregate.
     """
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    values = df.select(nan_to_null(F.col(column).cast("double")).alias("v")).where("v IS NOT NULL")
     bounds = values.agg(F.min("v").alias("low"), F.max("v").alias("high"))
     low, high = bounds.select("low").scalar(), bounds.select("high").scalar()
     place = F.when(high > low, F.least(F.width_bucket(F.col("v"), low, high, F.lit(bins)), F.lit(bins))).otherwise(1)

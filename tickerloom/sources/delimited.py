@@ -34,7 +34,7 @@ def read_csv_skipping_wide_rows(
     """Tolerant read: rows with too many fields are left out, short rows are filled with nulls.
 
     A record that does not fit the schema is kept as text beside its fields, where its separators outside quotes are
-    counted; empty surplus fields count too.  DROPMALFORMED would lose the short rows as well.
+    counted (a doubled quote is the end of one quoted piece and the start of the next); empty surplus fields count too.  DROPMALFORMED would lose the short rows as well.
     """
     fields = T.StructType([*schema.fields, T.StructField(_RECORD, T.StringType(), True)])
     rows = (
@@ -42,5 +42,5 @@ def read_csv_skipping_wide_rows(
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _RECORD).option("columnPruning", False)
         .option("multiLine", multi_line).csv(path)
     )
-    separators = F.length(F.regexp_replace(F.regexp_replace(_RECORD, r'"([^"]|"")*"', ""), "[^,]", ""))
+    separators = F.length(F.regexp_replace(F.regexp_replace(_RECORD, r'"[^"]*"', ""), "[^,]", ""))
     return rows.where(F.coalesce(separators < len(schema.fields), F.lit(True))).drop(_RECORD)
