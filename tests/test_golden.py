@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickerloom.functions import dates, nested, numbers, text
-from tickerloom.operators import bars, cleaning, news, portfolio, profiling, returns, scores, tokens
+from tickerloom.operators import bars, cleaning, news, portfolio, profiling, returns, scores, tokens, universe
 from tickerloom.params import GROSS, NET, Periods
 
 
@@ -251,3 +251,43 @@ def test_nan_counts_as_missing(spark):
     assert {r.column_name: r.n_null for r in cleaning.null_counts(frame).collect()} == {"k": 1, "x": 2}
     with pytest.raises(cleaning.MissingValues):
         cleaning.require_complete(frame.where("k = 1"))
+
+
+def test_not_a_number_is_a_missing_price(spark):
+    nan = float("nan")
+    rows = [(1, "A", "2010-01-04", 2.0, 10.0), (1, "A", "2010-01-05", nan, 10.0), (2, "B", "2010-01-04", nan, 5.0), (3, "C", "2010-01-04", 1.0, nan), (3, "C", "2010-01-05", 9.0, 1.0)]
+    frame = spark.createDataFrame(rows, "permno long, comnam string, date string, prc double, shrout double").withColumn("date", F.col("date").cast("date"))
+    assert {r.permno: r.avg_cap for r in universe.average_market_cap(frame).collect()} == {1: 20.0, 2: None, 3: 9.0}
+    assert [r.permno for r in universe.top_universe(frame, ("2005-01-01", "2015-12-31"), 2).collect()] == [1, 3]
+    assert {r.date.isoformat(): r.avg_cap for r in universe.market_cap_by_day(frame).collect()} == {"2010-01-04": 20.0, "2010-01-05": 9.0}
+    bins = profiling.histogram(frame, "prc", 2).orderBy("bin").collect()
+    assert [(r.bin, r.bin_low, r.bin_high, r.n) for r in bins] == [(1, 1.0, 5.0, 2), (2, 5.0, 9.0, 1)]
+    stats = {r.column_name: r for r in profiling.summary_stats(frame, ["prc", "shrout"]).collect()}
+    assert (stats["prc"].n, stats["prc"]["max"], stats["prc"].q50, stats["shrout"].n) == (3, 9.0, 2.0, 4)
+
+
+def test_written_frames_are_checked_in_the_same_run(spark):
+    frame = spark.createDataFrame([(1, "a", 1.5), (2, "b", 2.5)], "k long, t string, v double")
+    assert sorted(map(tuple, cleaning.write_complete(frame).collect())) == [(1, "a", 1.5), (2, "b", 2.5)]
+    assert cleaning.write_complete(frame.limit(0)).count() == 0
+    for bad, said in (((3, None, 1.0), "t: 1"), ((3, "c", float("nan")), "v: 1"), ((None, "c", None), "k: 1, v: 1")):
+        with pytest.raises(cleaning.MissingValues, match=said):
+            cleaning.write_complete(frame.unionByName(spark.createDataFrame([bad], frame.schema)))
+
+
+def test_document_vectors(spark):
+    terms = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "b", 3), (2, "c", 1), (3, "b", 1), (3, "a", 1), (4, "z", 1)], "k long, token string, n long")
+    words = tokens.vocabulary(terms, 2)
+    assert sorted(map(tuple, words.collect())) == [("a", 1, 2), ("b", 0, 3)]
+    found = {r.k: (r.indices, r.counts) for r in tokens.document_vectors(terms, words, "k").collect()}
+    assert found == {1: ([0, 1], [1, 2]), 2: ([0], [3]), 3: ([0, 1], [1, 1])}
+
+
+def test_sketches_merge(spark):
+    frame = spark.range(100_000).select((F.col("id") % 30).alias("day"), F.when(F.col("id") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("id") * 1.0).alias("v"))
+    sketches = profiling.quantile_sketches(frame, ["v"], ["day"])
+    assert sketches.count() == 27 and sketches.agg(F.max(F.length("sketch"))).first()[0] < 20_000
+    whole = profiling.sketch_quantiles(sketches, [], {"a": 0.1, "m": 0.5, "z": 0.99}).first()
+    assert (whole.n, whole["min"], whole["max"]) == (90_000, 1.0, 99_999.0)
+    for name, p in (("a", 0.1), ("m", 0.5), ("z", 0.99)):
+        assert abs(whole[name] / 100_000 - p) <= profiling.SKETCH_RANK_ERROR

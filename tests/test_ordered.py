@@ -69,3 +69,19 @@ def test_summary_stats(spark, rows):
     expected = rows[["k", "v"]].describe()
     for column in ("k", "v"):
         assert found.loc[column, ["n", "mean", "std", "min", "q25", "q50", "q75", "max"]].astype(float).tolist() == pytest.approx(expected[column].tolist())
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 9])
+def test_rolling_mean_over_short_and_empty_buckets(spark, monkeypatch, size):
+    """One row a bucket and gaps between buckets: tails come from many of them."""
+    frame = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * F.col("id") * 1.0).alias("v"))
+    rows = frame.withColumn(ordered.BUCKET, F.when(F.col("k") < 20, F.col("k") * 2).otherwise(45).cast("int"))
+    monkeypatch.setattr(ordered, "_bucketed", lambda df, keys: rows)
+    found = [r.m for r in ordered.rolling_mean(frame, "v", [], ["k"], size, "m").orderBy("k").collect()]
+    expected = pd.Series([i * i * 1.0 for i in range(40)]).rolling(size).mean()
+    np.testing.assert_allclose(np.array(found, float), expected.to_numpy(float), equal_nan=True)
+
+
+def test_rolling_mean_walks_in_no_single_task(spark, rows):
+    plan = ordered.rolling_mean(spark.createDataFrame(rows), "v", ["g"], ["k"], 5, "m")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan

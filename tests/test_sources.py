@@ -1,6 +1,7 @@
 """Files and folders."""
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickerloom.session import scratch_path, scratch_root
@@ -77,3 +78,40 @@ def test_sorted_write(spark, tmp_path):
     files = sorted((tmp_path / "out").glob("part-*"))
     rows = [int(line.split(",")[1]) for file in files for line in file.read_text().splitlines()[1:]]
     assert rows == sorted(rows) and len(rows) == 50
+
+
+def test_long_quoted_fields_are_read(spark, tmp_path):
+    """A wide row with a quoted field of a megabyte, commas, doubled quotes and a line break inside, is counted right."""
+    field = '"' + 'a,""b"",' * 130_000 + 'line\nend"'
+    (tmp_path / "f.csv").write_text(f"a,b\n{field},1,2\n{field},3\n")
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in "ab"])
+    found = delimited.read_csv_skipping_wide_rows(spark, str(tmp_path / "f.csv"), schema, multi_line=True).collect()
+    assert [(len(r.a), r.b) for r in found] == [(len('a,"b",') * 130_000 + len("line\nend"), "3")]
+
+
+def test_hive_results_are_pruned(spark):
+    frame = spark.createDataFrame([(k, m, k * 10) for k in (1, 2, 3) for m in ("a/b c", "x+y", "100%")], "permco long, model string, v int")
+    path = scratch_path(spark, "pruned")
+    layouts.write_by_keys(frame, path, ["permco", "model"])
+    schema = T.StructType([T.StructField("v", T.IntegerType())])
+    one = layouts.collect_results(spark, path, schema, HIVE_LAYOUT, "parquet").where("permco = 2 and model = 'x+y'")
+    assert one.collect() == [(2, "x+y", 20)]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("PartitionFilters"):].split("PushedFilters")[0]
+    assert "permco" in scan and "model" in scan
+    assert one.inputFiles() and len(spark.read.parquet(path).where("permco = 2").select(F.input_file_name()).distinct().collect()) == 3
+
+
+def test_manifest_opens_only_what_is_asked_for(spark, tmp_path):
+    """A foreign tree: the file that the filter leaves out would fail to parse."""
+    for folder, text in (("7/bert", "ticker,hit\nA,1\n"), ("8/org/fin bert", "ticker,hit\nB,2\n"), ("9/bad", "ticker,hit\nC,x\n"), ("notes", "no result\n")):
+        target = tmp_path / "models" / folder
+        target.mkdir(parents=True)
+        (target / "fine [tuned].csv").write_text(text)
+    schema = T.StructType([T.StructField("ticker", T.StringType()), T.StructField("hit", T.IntegerType())])
+    manifest = layouts.result_manifest(spark, str(tmp_path / "models"))
+    assert sorted((r.permco, r.model, r.bytes) for r in manifest.collect()) == [(7, "bert", 15), (8, "org/fin bert", 15), (9, "bad", 15)]
+    found = layouts.read_manifest(manifest.where(F.col("permco") < 9), schema)
+    assert sorted(map(tuple, found.collect())) == [(7, "bert", "A", 1), (8, "org/fin bert", "B", 2)]
+    nothing = layouts.read_manifest(manifest.where("permco = 1"), schema)
+    assert nothing.count() == 0 and nothing.columns == ["permco", "model", "ticker", "hit"]

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickerloom.session import pin
+
 # Fixed value: names of the panel columns in exported files.
 PANEL_NAMES = {
     "index": "Index",
@@ -25,7 +27,7 @@ PANEL_COLUMNS = ["permco", "ticker", "start_date", "end_date", "weekly_ret", "ad
 
 
 class MissingValues(ValueError):
-    """Raised by ``require_complete``."""
+    """Raised by ``require_complete`` and ``write_complete``."""
 
 
 def drop_incomplete(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
@@ -63,6 +65,20 @@ def require_complete(df: DataFrame) -> DataFrame:
     return df
 
 
+def write_complete(df: DataFrame, label: str = "complete") -> DataFrame:
+    """The frame, written once; the metrics of that run raise an error if any value is missing.
+
+    The counts are observed while the rows are written, so there is no second pass over the input.
+    """
+    seen = Observation()
+    counts = [F.count_if(_missing(df, name)).alias(f"m{i}") for i, name in enumerate(df.columns)]
+    written = pin(df.observe(seen, *counts), label)
+    missing = {name: seen.get[f"m{i}"] for i, name in enumerate(df.columns) if seen.get[f"m{i}"]}
+    if missing:
+        raise MissingValues(", ".join(f"{name}: {n}" for name, n in missing.items()))
+    return written
+
+
 def schema_profile(df: DataFrame) -> DataFrame:
     """(column_name, data_type, non_null) per column."""
     kinds = dict(df.dtypes)

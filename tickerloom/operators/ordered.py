@@ -77,29 +77,44 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities:
     return ranked.groupBy(*by).agg(*picks).select(*by, *results)
 
 
+def _tails(rows: DataFrame, keys: Sequence[str], value: str, reach: int) -> DataFrame:
+    """(bucket, tail): the last ``reach`` rows (keys, value) before each bucket, in order.
+
+    A bucket hands its own last rows to the next one by a join on the bucket number.  Only where buckets are shorter than
+    ``reach`` the tails are joined on, to spans twice as long each time, until all are full or begin at the first bucket.
+    """
+    fields = list(dict.fromkeys([*keys, value]))
+    from_end = Window.partitionBy(BUCKET).orderBy(*[F.col(key).desc() for key in keys])
+    ends = rows.select(BUCKET, *fields).withColumn("_r", F.row_number().over(from_end)).where(F.col("_r") <= reach)
+    own = ends.groupBy(BUCKET).agg(F.array_sort(F.collect_list(F.struct((-F.col("_r")).alias("_r"), *fields))).alias("tail"))
+    buckets = (rows.agg(F.max(BUCKET)).first()[0] or 0) + 1  # range partitions; some may be empty
+    grid = rows.sparkSession.range(buckets).select(F.col("id").cast("int").alias(BUCKET))
+    tails = pin(grid.join(own, BUCKET, "left").withColumn("tail", F.coalesce("tail", F.array().cast(own.schema["tail"].dataType))), "tails")
+    span = 1  # buckets that a tail has looked at
+
+    def before(distance: int) -> DataFrame:
+        return tails.select((F.col(BUCKET) + distance).alias(BUCKET), F.col("tail").alias("earlier"))
+
+    while span < buckets and tails.where((F.size("tail") < reach) & (F.col(BUCKET) >= span)).count():
+        both = F.concat(F.coalesce("earlier", F.array().cast(own.schema["tail"].dataType)), "tail")
+        joined = tails.join(before(span), BUCKET, "left").withColumn("tail", F.slice(both, F.greatest(F.size(both) - reach, F.lit(0)) + 1, F.lit(reach)))
+        tails = pin(joined.select(BUCKET, "tail"), "tails")
+        span *= 2
+    return before(1).where(F.size("earlier") > 0).select(BUCKET, F.col("earlier").alias("tail"))
+
+
 def rolling_mean(
     df: DataFrame, value: str, within: Sequence[str], order: Sequence[str], size: int, out: str
 ) -> DataFrame:
     """Mean of the last ``size`` rows; null unless all of them are there with a value.
 
-    Each bucket also gets the ``size - 1`` rows that come before it, wherever they lie: the ends of all
-    buckets (``size - 1`` rows each) form a table small enough to be walked in order.
+    Each bucket also gets the ``size - 1`` rows that come before it, wherever they lie; see ``_tails``.
     """
     reach = size - 1
     keys = [*within, *order]
     rows = _bucketed(df, keys)
-    narrow = rows.select(*dict.fromkeys([BUCKET, *keys, value]))
-    from_end = Window.partitionBy(BUCKET).orderBy(*[F.col(key).desc() for key in keys])
-    ends = narrow.withColumn("_r", F.row_number().over(from_end)).where(F.col("_r") <= reach).drop("_r")
-    walk = Window.orderBy(BUCKET, *keys)
-    halo = (
-        ends.withColumn("_halo", F.collect_list(F.struct(*dict.fromkeys([*keys, value]))).over(walk.rowsBetween(-reach, -1)))
-        .withColumn("_first", F.coalesce(F.lag(BUCKET).over(walk) != F.col(BUCKET), F.lit(True)))
-        .where("_first")
-        .select(BUCKET, F.explode("_halo").alias("_h"))
-        .select(BUCKET, "_h.*", F.lit(True).alias("_is_halo"))
-    )
-    both = rows.withColumn("_is_halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
+    halo = _tails(rows, keys, value, reach).select(BUCKET, F.explode("tail").alias("_h")).select(BUCKET, "_h.*", F.lit(True).alias("_is_halo"))
+    both = rows.withColumn("_is_halo", F.lit(False)).unionByName(halo.drop("_r"), allowMissingColumns=True)
     frame = Window.partitionBy(BUCKET, *within).orderBy(*order).rowsBetween(-reach, 0)
     return (
         both.withColumn(out, F.when(F.count(value).over(frame) == size, F.avg(value).over(frame)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.params import LEG_SIZE, PORTFOLIO_TYPES, RISK_FREE
+from tickerloom.session import pin
 
 BROADCAST_ROWS = 100_000  # weights up to this number are broadcast, more are joined by a shuffle
 
@@ -48,15 +49,13 @@ def portfolio_weights(picks: DataFrame) -> DataFrame:
 def portfolio_returns(weights: DataFrame, returns: DataFrame, scenarios: Sequence[str]) -> DataFrame:
     """(model, scenario, type, week, ret) for six portfolios; a missing return counts as 0.
 
-    The models are those of ``weights``.  Weeks without any picked ticker still appear, with 0; a model without picks
+    The models are those of ``weights``, which are written once.  Weeks without any picked ticker still appear, with 0; a model without picks
     does not appear.
     """
-    # A few names and their counts, read when the frame is built: every model meets every week.
-    counts = {row.model: row.n for row in weights.groupBy("model").agg(F.count("*").alias("n")).collect() if row.model is not None}
-    models = F.array(*[F.lit(name) for name in sorted(counts)]).cast("array<string>")
-    # Two legs of the leg size per model; both legs meet the returns in one order, so equal legs cancel exactly.
-    held = weights.select("model", "ticker", "leg", "ew", "vw")
-    if sum(counts.values()) <= BROADCAST_ROWS:
+    # Two legs of the leg size per model, evaluated once; both legs meet the returns in one order, so equal legs cancel exactly.
+    held = pin(weights.select("model", "ticker", "leg", "ew", "vw"), "weights")
+    models = held.where("model is not null").select("model").distinct()
+    if held.count() <= BROADCAST_ROWS:
         held = F.broadcast(held)
     parts = {
         "ew_l": F.when(F.col("leg") == "long", F.col("ew") * F.col("ret")),
@@ -67,11 +66,10 @@ def portfolio_returns(weights: DataFrame, returns: DataFrame, scenarios: Sequenc
     earned = returns.join(held, "ticker").groupBy("model", "scenario", "week").agg(
         *[F.sum(value).alias(name) for name, value in parts.items()]
     )
-    every_week = (
-        returns.select("week").distinct()
-        .withColumn("model", F.explode(models))
-        .withColumn("scenario", F.explode(F.array(*[F.lit(s) for s in scenarios])))
-    )
+    # Every model meets every week of every scenario; the calendar bounds the list of weeks.
+    named = F.explode(F.array(*[F.lit(s) for s in scenarios])).alias("scenario")
+    weeks = returns.select("week").distinct().select("week", named).groupBy("scenario").agg(F.collect_set("week").alias("weeks"))
+    every_week = models.select("model", named).join(weeks, "scenario").select("model", "scenario", F.explode("weeks").alias("week"))
     filled = every_week.join(earned, ["model", "scenario", "week"], "left").na.fill(0.0, list(parts))
     wide = filled.select(
         "model", "scenario", "week",

@@ -56,3 +56,29 @@ def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFra
         (low + F.col("bin") * width).alias("bin_high"),
         F.coalesce("n", F.lit(0)).alias("n"),
     )
+
+
+# Rank error of a quantile from a sketch with this parameter: below 1.7 % of the rows with a confidence of 99 %.
+SKETCH_SIZE = 200
+SKETCH_RANK_ERROR = 0.017
+
+
+def quantile_sketches(df: DataFrame, columns: Sequence[str], by: Sequence[str], size: int = SKETCH_SIZE) -> DataFrame:
+    """(by, column_name, n, low, high, sketch) to be stored, for example one row a day: a few kilobytes for any number of rows.
+
+    Sketches are built in the map tasks and merged; missing values and NaN are left out.  ``summary_stats`` is the exact way.
+    """
+    names = list(columns)
+    values = [nan_to_null(F.col(name).cast("double")).alias(name) for name in names]
+    long = df.select(*by, *values).unpivot(list(by), names, "column_name", "value").where("value IS NOT NULL")
+    return long.groupBy(*by, "column_name").agg(
+        F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"),
+        F.kll_sketch_agg_double("value", size).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, by: Sequence[str], probabilities: dict[str, float]) -> DataFrame:
+    """Stored sketches merged up to ``by`` (some of their keys): n, min, max and approximate quantiles per column."""
+    merged = sketches.groupBy(*by, "column_name").agg(
+        F.sum("n").alias("n"), F.min("low").alias("min"), F.max("high").alias("max"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    quantiles = [F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(name) for name, p in probabilities.items()]
+    return merged.select(*by, "column_name", "n", "min", "max", *quantiles)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickerloom.functions.text import english_stop_words, tokens
 from tickerloom.operators.ordered import positions
 from tickerloom.params import ENCODER_BATCH, MAX_TOKENS, NO_HEADLINE, TOP_TOKENS
+from tickerloom.session import pin
 
 ALL_TICKERS = "(all)"
 
@@ -54,6 +55,27 @@ def document_terms(df: DataFrame, text: str, key: str) -> DataFrame:
     return token_rows(df, text, [key]).groupBy(key, "token").agg(F.count("*").alias("n"))
 
 
+def vocabulary(terms: DataFrame, least: int = 1) -> DataFrame:
+    """(token, index, documents) of the tokens of ``terms`` (key, token, n) in at least ``least`` texts.
+
+    Indices 0, 1, ... run from the token in most texts down, ties by token; the ranking is by ranges, in no single task.
+    """
+    counted = terms.groupBy("token").agg(F.count("*").alias("documents")).where(F.col("documents") >= least)
+    placed = positions(counted.withColumn("_rare", -F.col("documents")), [], ["_rare", "token"])
+    return placed.select("token", (F.col("pos") - 1).alias("index"), "documents")
+
+
+def document_vectors(terms: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    """(key, indices, counts): sparse count vectors over a vocabulary table, indices ascending.
+
+    Tokens outside the vocabulary are left out; a text without any has no row.  A frequent token meets one row of
+    ``words``, so an inner join that adaptive execution may split is all it takes.
+    """
+    found = terms.join(words.select("token", "index"), "token").select(key, F.struct("index", F.col("n").alias("count")).alias("c"))
+    cells = found.groupBy(key).agg(F.array_sort(F.collect_list("c")).alias("cells"))
+    return cells.select(key, F.col("cells.index").alias("indices"), F.col("cells.count").alias("counts"))
+
+
 def joined_text(df: DataFrame, text: str, key: str, order: list[str], rows_per_part: int = 1000) -> DataFrame:
     """All texts of a key joined by spaces, as (key, part, text) in parts of ``rows_per_part`` rows.
 
@@ -74,7 +96,7 @@ def token_sequences(
 
     A long text gives several rows that together hold all of it; ``first_only`` keeps the first one, the
     plain truncation.  Rows are padded to the longest of their batch, ``batch`` rows in key order.  Batches
-    are formed on (key, seq_no, length) alone, so the tokens are not sorted.
+    are formed on (key, seq_no, length) alone, which are written once, so the tokens are not sorted.
     """
     starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("words") / max_tokens) - 1, F.lit(0)).cast("int"))
     pieces = F.transform(
@@ -82,7 +104,7 @@ def token_sequences(
     )
     words = df.select(key, tokens(F.col(text)).alias("words"))
     rows = words.select(key, F.posexplode(pieces).alias("seq_no", "tokens"))
-    lengths = rows.select(key, "seq_no", F.size("tokens").alias("n_tokens"))
+    lengths = pin(rows.select(key, "seq_no", F.size("tokens").alias("n_tokens")), "lengths")
     batches = positions(lengths, [], [key, "seq_no"]).withColumn(
         "batch_no", F.floor((F.col("pos") - 1) / batch).cast("long")
     )

@@ -276,6 +276,44 @@ _EMBEDDING = f"""
     SELECT doc_id, bucket, {_q('n / sum(n) OVER (PARTITION BY doc_id)')} AS value FROM b"""
 
 
+# Murmur3 (32 bits, seed 42) of the UTF-8 bytes of a word, step by step, as the hash of Spark ML's HashingTF.
+_MASK = "4294967295::UBIGINT"
+
+
+def _rotated(x: str, bits: int) -> str:
+    return f"((({x}) << {bits}) | (({x}) >> {32 - bits})) & {_MASK}"
+
+
+def _mixed_block(k: str) -> str:
+    first = f"(({k}) * 3432918353::UBIGINT) & {_MASK}"
+    return f"(({_rotated(first, 15)}) * 461845907::UBIGINT) & {_MASK}"
+
+
+_MURMUR = f"""
+    hex_words AS (SELECT DISTINCT w, hex(w) x, CAST(length(hex(w)) // 2 AS BIGINT) n FROM words),
+    blocks AS (
+        SELECT w, n, list_transform(range(0, n // 4), lambda i: CAST('0x' || substr(x, i * 8 + 7, 2) || substr(x, i * 8 + 5, 2)
+                   || substr(x, i * 8 + 3, 2) || substr(x, i * 8 + 1, 2) AS UBIGINT)) body,
+               coalesce(list_sum(list_transform(range(0, n % 4), lambda i: CAST('0x' || substr(x, (n // 4) * 8 + i * 2 + 1, 2) AS UBIGINT)
+                   * CAST(pow(256, i) AS UBIGINT))), 0)::UBIGINT tail FROM hex_words),
+    mixed AS (SELECT w, n, tail, list_transform(body, lambda k: {_mixed_block('k')}) body FROM blocks),
+    h0 AS (SELECT w, n, tail, list_reduce(list_prepend(42::UBIGINT, body),
+               lambda h, k: (({_rotated('xor(h, k)', 13)}) * 5 + 3864292196::UBIGINT) & {_MASK}) h FROM mixed),
+    h1 AS (SELECT w, xor(CASE WHEN tail > 0 THEN xor(h, {_mixed_block('tail')}) ELSE h END, n::UBIGINT) h FROM h0),
+    h2 AS (SELECT w, (xor(h, h >> 16) * 2246822507::UBIGINT) & {_MASK} h FROM h1),
+    h3 AS (SELECT w, (xor(h, h >> 13) * 3266489909::UBIGINT) & {_MASK} h FROM h2),
+    h4 AS (SELECT w, xor(h, h >> 16) h FROM h3),
+    buckets AS (SELECT w, CAST((CASE WHEN h >= 2147483648 THEN CAST(h AS BIGINT) - 4294967296 ELSE CAST(h AS BIGINT) END % 4096 + 4096) % 4096 AS INT) bucket FROM h4),
+    cells AS (SELECT doc_id, bucket, count(*) n FROM words JOIN buckets USING (w) GROUP BY ALL),
+    weights AS (
+        SELECT bucket, count(*) documents, ln(((SELECT count(*) FROM labelled WHERE doc_id % 2 = 0) + 1) / (count(*) + 1)) idf
+        FROM cells WHERE doc_id % 2 = 0 GROUP BY ALL)"""
+_POOLED = f"""
+    WITH labelled AS (SELECT doc_id, lang, text, quality label FROM documents JOIN labels USING (doc_id)),
+    words AS MATERIALIZED (SELECT doc_id, unnest({_DOC_WORDS}) w FROM labelled), {_MURMUR}
+"""
+
+
 def build() -> dict[str, str]:
     return {
         "sql_daily_panel": _with("panel_daily stock_names", _SQL_PANEL),
@@ -329,10 +367,12 @@ def build() -> dict[str, str]:
             SELECT e.*, situation FROM news_events e LEFT JOIN news_detail d
               ON e.keydevid = d.keydevid AND e.headline IS NOT DISTINCT FROM d.headline"""),
         "event_detail_join_estimation": _with("news_events news_detail", """
-            SELECT e.*, situation FROM news_events e LEFT JOIN
-              (SELECT * FROM news_detail WHERE keydevid IN
-                 (SELECT keydevid FROM news_events WHERE announcedate BETWEEN DATE '1995-01-01' AND DATE '1998-12-31')) d
-              ON e.keydevid = d.keydevid AND e.headline IS NOT DISTINCT FROM d.headline"""),
+            , known AS MATERIALIZED (
+                SELECT DISTINCT keydevid FROM news_events WHERE announcedate BETWEEN DATE '1995-01-01' AND DATE '1998-12-31'),
+            d AS MATERIALIZED (
+                SELECT keydevid, coalesce(headline, '') h, headline IS NULL gap, situation FROM news_detail JOIN known USING (keydevid)),
+            e AS MATERIALIZED (SELECT *, coalesce(headline, '') h, headline IS NULL gap FROM news_events)
+            SELECT e.* EXCLUDE (h, gap), situation FROM e LEFT JOIN d ON e.keydevid = d.keydevid AND e.h = d.h AND e.gap = d.gap"""),
         "week_keys": f"""
             WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders)
             SELECT o_orderkey, day, {_friday('day')} week_end, CAST({_friday('day')} - 4 AS DATE) week_start,
@@ -502,6 +542,38 @@ def build() -> dict[str, str]:
         "lr_gradient": """
             SELECT permco, model, CAST(term AS INT) term, 0.0::DOUBLE gradient
             FROM (SELECT DISTINCT vec_id % 2 permco FROM embeddings), (VALUES ('first32'), ('last32')) m(model), range(0, 33) t(term)""",
+        "lr_gradient_wide": """
+            SELECT permco, 'converged' status, CAST(term AS INT) term, 0.0::DOUBLE gradient
+            FROM (SELECT DISTINCT vec_id % 2 permco FROM embeddings), range(0, 129) t(term)""",
+        "lr_status": """
+            SELECT DISTINCT vec_id % 5 permco, CASE vec_id % 5 WHEN 3 THEN 'missing_values' WHEN 4 THEN 'one_class' ELSE 'converged' END status,
+                   CAST(CASE WHEN vec_id % 5 >= 3 THEN 0 ELSE 65 END AS INT) n_terms FROM embeddings""",
+        "predictions_of_company": _with("predictions", """
+            SELECT permco, model, ticker, end_date, true_direction, predicted_direction FROM predictions WHERE permco = 7"""),
+        "predictions_of_model": _with("predictions", """
+            SELECT permco, model, ticker, end_date, true_direction, predicted_direction FROM predictions WHERE model = 'trend'"""),
+        "sketch_counts": _with("panel_daily", f"""
+            , d AS (SELECT unnest(['prc', 'ret', 'market_cap']) column_name, unnest([prc, ret, prc * shrout]) v FROM panel_daily)
+            SELECT column_name, count(v) n, {_r('min(v)', 3, '"min"')}, {_r('max(v)', 3, '"max"')}, true q25_close, true q50_close, true q75_close
+            FROM d GROUP BY ALL"""),
+        "validated_panel": _with("clean_rows", f"""
+            SELECT permco "Permco", ticker "Ticker", start_date "Start_Date", end_date "End_Date", {_r('weekly_ret', name='"Weekly_Return"')},
+                   {_r('adj_prc', name='"Adjusted_Price"')}, headline "Headline", direction "Direction" FROM clean_rows WHERE period = 'estimation'"""),
+        "doc_vectors": f"""
+            WITH words AS (SELECT doc_id, unnest({_DOC_WORDS}) w FROM documents),
+            t AS (SELECT doc_id, w, count(*) n FROM words WHERE w NOT IN ({_STOP}) GROUP BY ALL),
+            v AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) - 1 place FROM t GROUP BY w HAVING count(*) >= 2)
+            SELECT doc_id, string_agg(CAST(place AS VARCHAR), ' ' ORDER BY place) indices, string_agg(CAST(n AS VARCHAR), ' ' ORDER BY place) counts
+            FROM t JOIN v USING (w) GROUP BY doc_id""",
+        "train_predict_pooled": """
+            SELECT lang, CAST(quality AS INT) AS label, count(*) n, count(*) n_scored FROM documents JOIN labels USING (doc_id)
+            WHERE doc_id % 2 = 1 GROUP BY ALL""",
+        "pooled_idf": f"{_POOLED} SELECT bucket, documents, {_r('idf')} FROM weights",
+        "pooled_gradient": f"{_POOLED} SELECT bucket, 0.0::DOUBLE gradient FROM weights",
+        "pooled_class": f"""{_POOLED}, m AS (
+                SELECT doc_id, sum(n * coalesce(idf, 0) * ((bucket * 37 % 101 - 50) / 100.0::DOUBLE)) + 0.25 margin
+                FROM cells LEFT JOIN weights USING (bucket) WHERE doc_id % 2 = 1 GROUP BY ALL)
+            SELECT doc_id, {_r('margin')}, CAST(CASE WHEN margin > 0 THEN 1 ELSE 0 END AS INT) predicted FROM m""",
         "trainable_groups": _with("period_bars", """
             SELECT permco FROM period_bars GROUP BY permco HAVING count(DISTINCT period) = 2"""),
     }

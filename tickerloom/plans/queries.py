@@ -9,11 +9,12 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickerloom import schemas
 from tickerloom.functions import dates, nested, numbers, text
 from tickerloom.operators import (
-    bars, cleaning, logistic, news, ordered, portfolio, profiling, returns, scores, tokens, trainer, universe, vectors,
+    bars, cleaning, logistic, news, ordered, pooled, portfolio, profiling, returns, scores, tokens, trainer, universe, vectors,
 )
 from tickerloom.params import GROSS, MOVING_AVERAGE_ROWS, SIC_BAND, UNIVERSE_SIZE
 from tickerloom.plans.panel import labelled_vectors, period_bars, period_panel
@@ -128,11 +129,30 @@ def partitioned_write_read(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def collect_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    path, schema = _result_tree(spark, folder)
+    return layouts.collect_results(spark, path, schema, layouts.HIVE_LAYOUT, "parquet")
+
+
+def _result_tree(spark: SparkSession, folder: str) -> tuple[str, T.StructType]:
     path = scratch_path(spark, "results")
     layouts.write_by_keys(views.rule_predictions(spark, folder), path, ["permco", "model"])
     names = {"ticker", "end_date", "true_direction", "predicted_direction"}
-    schema = type(schemas.PREDICTIONS)([f for f in schemas.PREDICTIONS.fields if f.name in names])
-    return layouts.collect_results(spark, path, schema, layouts.HIVE_LAYOUT, "parquet")
+    return path, T.StructType([f for f in schemas.PREDICTIONS.fields if f.name in names])
+
+
+@query
+def predictions_of_company(spark: SparkSession, folder: str) -> DataFrame:
+    """The results of one company: the other folders are pruned."""
+    path, schema = _result_tree(spark, folder)
+    return layouts.collect_results(spark, path, schema, layouts.HIVE_LAYOUT, "parquet").where("permco = 7")
+
+
+@query
+def predictions_of_model(spark: SparkSession, folder: str) -> DataFrame:
+    """The results of one model by a manifest of the files, as for trees whose folders are no partitions."""
+    path, schema = _result_tree(spark, folder)
+    manifest = layouts.result_manifest(spark, path, layouts.HIVE_LAYOUT)
+    return layouts.read_manifest(manifest.where("model = 'trend'"), schema, "parquet")
 
 
 # ---- cleaning and profiles -------------------------------------------------------------------------
@@ -165,6 +185,23 @@ def summary_stats(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(profiling.summary_stats(daily, ["prc", "shrout", "cfacpr", "ret", "market_cap"]), 3)
 
 
+@query
+def sketch_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, minimum and maximum per column from sketches by day, merged; how far their quartiles are off is within the stated error."""
+    daily = views.panel_daily(spark, folder).withColumn("market_cap", bars.market_cap())
+    names = ["prc", "ret", "market_cap"]
+    sketches = pin(profiling.quantile_sketches(daily, names, ["date"]), "sketches")
+    wanted = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    merged = profiling.sketch_quantiles(sketches, [], wanted)
+    long = daily.select(*names).unpivot([], names, "column_name", "value").where("value is not null")
+    below = [F.avg((F.col("value") < F.col(name)).cast("double")).alias(f"below_{name}") for name in wanted]
+    upto = [F.avg((F.col("value") <= F.col(name)).cast("double")).alias(f"upto_{name}") for name in wanted]
+    there = long.join(merged, "column_name").groupBy("column_name").agg(*below, *upto)
+    off = F.lit(profiling.SKETCH_RANK_ERROR)
+    close = [((F.col(f"below_{name}") - off <= p) & (F.col(f"upto_{name}") + off >= p)).alias(f"{name}_close") for name, p in wanted.items()]
+    return rounded(merged.join(there, "column_name").select("column_name", "n", "min", "max", *close), 3)
+
+
 @query
 def market_cap_histogram(spark: SparkSession, folder: str) -> DataFrame:
     daily = views.panel_daily(spark, folder).select(bars.market_cap().alias("market_cap"))
@@ -268,9 +305,17 @@ def clean_panel(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(cleaning.clean_panel(_panel(spark, folder), ["period"]))
 
 
+@query
+def validated_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """The clean panel of the estimation period, checked for missing values while it is written."""
+    panel = cleaning.clean_panel(_panel(spark, folder).where("period = 'estimation'"))
+    return rounded(cleaning.write_complete(panel))
+
+
 def _moving_average(spark: SparkSession, folder: str, within: list[str], order: list[str]) -> DataFrame:
     panel = news.news_for_next_week(views.weekly(spark, folder), views.news_linked(spark, folder))
-    rows = panel.select("permco", "ticker", "end_date", "headline", "adj_prc").dropDuplicates()
+    # Range partitioning reads its input twice, so the panel is written once.
+    rows = pin(panel.select("permco", "ticker", "end_date", "headline", "adj_prc").dropDuplicates(), "panel")
     return rounded(ordered.rolling_mean(rows, "adj_prc", within, order, MOVING_AVERAGE_ROWS, "ma5"))
 
 
@@ -303,6 +348,15 @@ def doc_term_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.document_terms(tables.read_table(spark, folder, "documents"), "text", "doc_id")
 
 
+@query
+def doc_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Sparse count vectors of the documents over the ranked vocabulary."""
+    terms = pin(tokens.document_terms(tables.read_table(spark, folder, "documents"), "text", "doc_id"), "terms")
+    found = tokens.document_vectors(terms, tokens.vocabulary(terms, 2), "doc_id")
+    joined = [F.array_join(F.transform(name, lambda x: x.cast("string")), " ").alias(name) for name in ("indices", "counts")]
+    return found.select("doc_id", *joined)
+
+
 @query
 def headline_text(spark: SparkSession, folder: str) -> DataFrame:
     rows = views.news_linked(spark, folder).withColumn("ticker", F.concat(F.lit("T"), F.col("permco").cast("string")))
@@ -674,6 +728,36 @@ def lr_gradient(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(sums)
 
 
+@query
+def lr_gradient_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for whole vectors joined with their squares, twice as wide as Newton's method takes: spread, by gradients only."""
+    rows = tables.read_table(spark, folder, "embeddings").select(
+        (F.col("vec_id") % 2).alias("permco"), (F.col("label") >= 5).cast("int").alias("label"),
+        F.concat("embedding", F.transform("embedding", lambda x: x * x)).cast("array<double>").alias("features"))
+    rows = pin(rows, "vectors")
+    fits = logistic.fit_groups(rows, ["permco"], max_group_values=1)
+    extended = F.concat("features", F.array(F.lit(1.0)))
+    miss = 1.0 / (1.0 + F.exp(-numbers.dot(extended, F.col("beta")))) - F.col("label")
+    parts = rows.join(fits, "permco").select(
+        "permco", "status", miss.alias("miss"), F.size("features").alias("width"), "beta", F.posexplode(extended).alias("term", "x"))
+    weight = F.when(F.col("term") < F.col("width"), F.get("beta", F.col("term"))).otherwise(0.0)
+    sums = parts.groupBy("permco", "status", "term").agg((F.sum(F.col("miss") * F.col("x")) + F.max(weight)).alias("gradient"))
+    return rounded(sums, 5)
+
+
+@query
+def lr_status(spark: SparkSession, folder: str) -> DataFrame:
+    """Status of every fit where one company has a missing value and one has a single class."""
+    vector = F.col("embedding").cast("array<double>")
+    broken = F.transform(vector, lambda x, i: F.when(i == 3, F.lit(float("nan"))).otherwise(x))
+    rows = tables.read_table(spark, folder, "embeddings").select(
+        (F.col("vec_id") % 5).alias("permco"),
+        F.when(F.col("vec_id") % 5 == 4, 1).otherwise((F.col("label") >= 5).cast("int")).alias("label"),
+        F.when(F.col("vec_id") == 3, broken).otherwise(vector).alias("features"))
+    fits = logistic.fit_groups(pin(rows, "vectors"), ["permco"])
+    return fits.select("permco", "status", F.coalesce(F.size("beta"), F.lit(0)).alias("n_terms"))
+
+
 IDS = ["ticker", "start_date", "headline"]
 
 
@@ -739,3 +823,59 @@ def trained_risk(spark: SparkSession, folder: str) -> DataFrame:
 def training_log(spark: SparkSession, folder: str) -> DataFrame:
     training, test = _trained(spark, folder)
     return trainer.training_log(training, test, ["permco", "model"])
+
+
+# ---- one model for all texts -----------------------------------------------------------------------
+
+POOLED_BUCKETS = 4096
+
+
+def _labelled(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with their quality class; even ids are for training."""
+    labels = tables.read_table(spark, folder, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
+    return tables.read_table(spark, folder, "documents").select("doc_id", "lang", "text").join(labels, "doc_id")
+
+
+def _pooled(spark: SparkSession, folder: str) -> tuple[pooled.PipelineModel, DataFrame]:
+    rows = _labelled(spark, folder)
+    train = pin(rows.where("doc_id % 2 = 0").repartition("doc_id"), "pooled-train")
+    return pooled.fit_pooled(train, "text", "label", buckets=POOLED_BUCKETS), train
+
+
+@query
+def train_predict_pooled(spark: SparkSession, folder: str) -> DataFrame:
+    """Test documents by language and class, with those that got a class and a chance."""
+    model, _ = _pooled(spark, folder)
+    found = pooled.predict_pooled(model, _labelled(spark, folder).where("doc_id % 2 = 1"), "text")
+    scored = F.col("predicted_direction").isin(0, 1) & ((F.col("chance") > 0.5) == (F.col("predicted_direction") == 1))
+    return found.groupBy("lang", "label").agg(F.count("*").alias("n"), F.count_if(scored).alias("n_scored"))
+
+
+@query
+def pooled_idf(spark: SparkSession, folder: str) -> DataFrame:
+    """Document frequency and weight of every hash bucket in the training documents."""
+    model, _ = _pooled(spark, folder)
+    return rounded(pooled.bucket_weights(model).select("bucket", "documents", "idf"))
+
+
+@query
+def pooled_gradient(spark: SparkSession, folder: str) -> DataFrame:
+    """Gradient of the fitted loss in every bucket that occurs, from the published coefficients: zero at the solution."""
+    model, train = _pooled(spark, folder)
+    weights, intercept = pooled.bucket_weights(model), float(model.stages[3].intercept)
+    entries = pin(pooled.cells(model, train, "text", ["doc_id", "label"]), "cells")
+    margins = pooled.margins(entries, weights, ["doc_id"], intercept)
+    miss = 1.0 / (1.0 + F.exp(-F.col("margin"))) - F.col("label")
+    sums = entries.join(margins, "doc_id").groupBy("bucket").agg(F.sum(miss * F.col("value")).alias("s"))
+    gradient = F.col("s") / train.count() + pooled.REGULARIZATION * F.col("weight")
+    return rounded(sums.join(weights, "bucket").select("bucket", gradient.alias("gradient")), 4)
+
+
+@query
+def pooled_class(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of every test document under published coefficients, a fixed rule of the bucket number here."""
+    model, _ = _pooled(spark, folder)
+    weights = spark.range(POOLED_BUCKETS).select(F.col("id").cast("int").alias("bucket"), ((F.col("id") * 37 % 101 - 50) / 100.0).alias("weight"))
+    entries = pooled.cells(model, _labelled(spark, folder).where("doc_id % 2 = 1"), "text", ["doc_id"])
+    margins = pooled.margins(entries, weights, ["doc_id"], 0.25)
+    return rounded(margins.select("doc_id", "margin", (F.col("margin") > 0).cast("int").alias("predicted")))

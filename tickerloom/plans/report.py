@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from tickerloom.operators.portfolio import long_short_picks, portfolio_returns, portfolio_weights, risk_table, ticker_scores
 from tickerloom.operators.returns import by_scenario, net_returns, period_return, size_class, weekly_compound
 from tickerloom.params import GROSS, LEG_SIZE, NET
+from tickerloom.session import pin
 
 
 def weekly_returns(panel: DataFrame, daily: DataFrame, cost_per_row: bool = False) -> DataFrame:
@@ -20,7 +21,8 @@ def portfolio_series(predictions: DataFrame, weekly: DataFrame, leg_size: int =
     ``weekly`` is read several times: pass a pinned table.
     """
     returns = by_scenario(weekly)
-    picks = long_short_picks(ticker_scores(predictions, weekly), leg_size)
+    scores = pin(ticker_scores(predictions, weekly), "scores")  # one row per model and ticker, ranked twice
+    picks = long_short_picks(scores, leg_size)
     return portfolio_returns(portfolio_weights(picks), returns, [GROSS, NET])
 
 
