@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,18 +65,25 @@ def require_complete(df: DataFrame) -> DataFrame:
     return df
 
 
+_MISSING_MARK = "missing value in column"
+
+
 def write_complete(df: DataFrame, label: str = "complete") -> DataFrame:
-    """The frame, written once; the metrics of that run raise an error if any value is missing.
+    """The frame, written once; the run itself fails on a missing value, with an error that counts them by column.
 
-    The counts are observed while the rows are written, so there is no second pass over the input.
+    Every row is checked while it is written, so a complete frame is evaluated once; only a failure is counted by a second
+    pass.  (Observed metrics would count in the same run, but they leave an object in the session that later ML closures
+    cannot be shipped with.)
     """
-    seen = Observation()
-    counts = [F.count_if(_missing(df, name)).alias(f"m{i}") for i, name in enumerate(df.columns)]
-    written = pin(df.observe(seen, *counts), label)
-    missing = {name: seen.get[f"m{i}"] for i, name in enumerate(df.columns) if seen.get[f"m{i}"]}
-    if missing:
-        raise MissingValues(", ".join(f"{name}: {n}" for name, n in missing.items()))
-    return written
+    checks = [F.when(_missing(df, name), F.raise_error(F.lit(f"{_MISSING_MARK} {name}")).cast("boolean")) for name in df.columns]
+    try:
+        return pin(df.where(F.coalesce(*checks, F.lit(True))), label)
+    except Exception as error:
+        if _MISSING_MARK not in str(error):
+            raise
+        counts = null_counts(df).where("n_null > 0").take(len(df.columns))
+        by_name = {row.column_name: row.n_null for row in counts}
+        raise MissingValues(", ".join(f"{name}: {by_name[name]}" for name in df.columns if name in by_name)) from None
 
 
 def schema_profile(df: DataFrame) -> DataFrame:
