@@ -36,7 +36,7 @@ def among(rows: DataFrame, key: str, keys: DataFrame, there: bool) -> DataFrame:
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a bound of entries."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -89,13 +89,18 @@ def list_slices(batches, column: str, most_values: int = 500_000):
             start = stop
 
 
-def slices(batches, most_bytes: int = 8 << 20, column: str = "text"):
-    """Arrow batches cut so that a piece holds about ``most_bytes`` of text (one row at least)."""
+def slices(batches, most_bytes: int = 2 << 20, *columns: str):
+    """Arrow batches cut so that a piece holds about ``most_bytes`` of the texts in ``columns`` together (one row at least).
+
+    What a piece has left in Arrow's pool is given back before the next one, as workers live on from stage to stage.
+    """
     for batch in batches:
-        ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)))
+        lengths = [pa.compute.fill_null(pa.compute.binary_length(batch.column(name)), 0) for name in columns or ("text",)]
+        ends = np.cumsum(np.sum([np.asarray(length, np.int64) for length in lengths], axis=0))
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, base + most_bytes, "right")))
             yield batch.slice(start, stop - start)
+            pa.default_memory_pool().release_unused()
             start = stop

@@ -89,7 +89,7 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def run(batches):
         hashes = common.WordHashes()
-        for batch in common.slices(batches, 4 << 20):
+        for batch in common.slices(batches, 1 << 20):
             sets = [np.unique(found) for found in _hashed(batch.column("text").to_pylist(), hashes, size)]
             sizes = np.array([len(found) for found in sets])
             prefix = np.where(sizes > 0, sizes - -(-percent * sizes // 100) + 1, 0)
@@ -197,7 +197,7 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, size: int, p
 
     def run(batches):
         hashes = common.WordHashes()
-        for batch in common.slices(batches, 2 << 20, "left"):
+        for batch in common.slices(batches, 2 << 20, "left", "right"):
             left = [np.unique(found) for found in _hashed(batch.column("left").to_pylist(), hashes, size)]
             right = [np.unique(found) for found in _hashed(batch.column("right").to_pylist(), hashes, size)]
             keep = []
