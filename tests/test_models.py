@@ -7,7 +7,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tickerloom.operators import logistic, trainer, vectors
+from tickerloom.operators import cooccurrence, logistic, tokens, trainer, vectors
 from tickerloom.plans.queries import hashing_encoder
 from tickerloom.operators.vectors import hashed_dense
 
@@ -225,3 +225,50 @@ def test_failed_fits_are_rows_and_stop_nothing(spark, monkeypatch, limit):
     monkeypatch.setattr(logistic, "MAX_STEPS", 1)
     short = {r.status for r in logistic.fit_groups(rows, ["permco"], limit).collect()}
     assert short == {"not_converged"}
+
+
+def test_vectors_from_cooccurrence_equal_the_eigenvectors(spark):
+    rng = np.random.default_rng(4)
+    topics = [["red", "green", "blue", "paint"], ["bond", "stock", "fund", "price"], ["rain", "snow", "wind", "storm"]]
+    texts = [(i, " ".join(rng.choice(topics[i % 3], 12)) + (" the end" if i % 2 else "")) for i in range(90)] + [(100, None), (101, ""), (102, "lonely")]
+    frame = spark.createDataFrame(texts, "k long, t string")
+    words = cooccurrence.word_counts(frame, "t", 5).select("word")
+    weights = cooccurrence.information(cooccurrence.pair_counts(frame, "t"), words)
+    found = {n: {r.word: np.array(r.vector) for r in cooccurrence.word_vectors(frame.repartition(n), "t", 3, 5, steps=25).collect()} for n in (1, 8)}
+    names = sorted(found[1])
+    assert names == sorted([*sum(topics, []), "the", "end"])
+    for name in names:
+        np.testing.assert_allclose(found[1][name], found[8][name], atol=1e-6)
+    matrix = np.zeros((len(names), len(names)))
+    for row in weights.collect():
+        matrix[names.index(row.a), names.index(row.b)] = row.weight
+    np.testing.assert_allclose(matrix, matrix.T)
+    values = np.linalg.eigvalsh(matrix)
+    wanted = sorted(values, key=lambda x: -abs(x))[:3]
+    table = np.stack([found[1][name] for name in names])
+    np.testing.assert_allclose(sorted((table**2).sum(axis=0)), sorted(np.abs(wanted)), rtol=1e-4)
+    unit = table / np.linalg.norm(table, axis=0)
+    np.testing.assert_allclose(np.abs(np.sum(unit * (matrix @ unit), axis=0)), np.abs(wanted), rtol=1e-4)
+    near = lambda a, b: found[1][a] @ found[1][b] / np.linalg.norm(found[1][a]) / np.linalg.norm(found[1][b])
+    assert near("red", "blue") > 0.9 > near("red", "bond") + 0.4
+    vectors_ = spark.createDataFrame([(name, found[1][name].tolist()) for name in names], "word string, vector array<double>")
+    means = {r.k: r.embedding for r in cooccurrence.mean_vectors(frame, "t", "k", vectors_).collect()}
+    assert set(means) == set(range(90))
+    plain = np.mean([found[1][w] for w in texts[1][1].split()], axis=0)
+    np.testing.assert_allclose(means[1], plain, atol=1e-9)
+
+
+def test_sequences_are_pooled_under_their_mask(spark):
+    frame = spark.createDataFrame([(1, "aa bb cc dd ee"), (2, "xx"), (3, ""), (4, None), (5, "yy zz")], "k long, t string")
+    rows = tokens.token_sequences(frame, "t", "k", max_tokens=2, batch=3)
+
+    def make():
+        def encode(batch, mask):
+            assert mask.shape == (len(batch), len(batch[0])) and all(len(row) == len(batch[0]) for row in batch)
+            assert [[int(bool(word)) for word in row] for row in batch] == mask.tolist()
+            return np.array([[(ord(word[0]) if word else -1e9, 1.0) for word in row] for row in batch], float).reshape(*mask.shape, 2)
+        return encode
+
+    found = {r.k: (r.n_tokens, r.embedding) for r in vectors.encode_sequences(rows, "k", make).collect()}
+    assert found[1] == (5, [99.0, 1.0]) and found[2] == (1, [120.0, 1.0]) and found[5] == (2, [121.5, 1.0])
+    assert found[3] == found[4] == (0, None)

@@ -94,7 +94,7 @@ def token_sequences(
 ) -> DataFrame:
     """Encoder input: (key, seq_no, batch_no, tokens, mask), at most ``max_tokens`` tokens per row.
 
-    A long text gives several rows that together hold all of it; ``first_only`` keeps the first one, the
+    A null text counts as empty, which gives one row without tokens.  A long text gives several rows that together hold all of it; ``first_only`` keeps the first one, the
     plain truncation.  Rows are padded to the longest of their batch, ``batch`` rows in key order.  Batches
     are formed on (key, seq_no, length) alone, which are written once, so the tokens are not sorted.
     """
@@ -102,7 +102,7 @@ def token_sequences(
     pieces = F.transform(
         F.array(F.lit(0)) if first_only else starts, lambda i: F.slice("words", i * max_tokens + 1, F.lit(max_tokens))
     )
-    words = df.select(key, tokens(F.col(text)).alias("words"))
+    words = df.select(key, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("words"))
     rows = words.select(key, F.posexplode(pieces).alias("seq_no", "tokens"))
     lengths = pin(rows.select(key, "seq_no", F.size("tokens").alias("n_tokens")), "lengths")
     batches = positions(lengths, [], [key, "seq_no"]).withColumn(

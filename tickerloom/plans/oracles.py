@@ -314,6 +314,14 @@ _POOLED = f"""
 """
 
 
+_PAIRS = f"""
+    WITH lists AS (SELECT {_DOC_WORDS} w FROM documents),
+    near AS (
+        SELECT unnest(list_transform(range(1, len(w)), lambda i: struct_pack(x := w[i], y := w[i + 1]))) p FROM lists
+        UNION ALL SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: struct_pack(x := w[i], y := w[i + 2]))) FROM lists),
+    pairs AS MATERIALIZED (SELECT least(p.x, p.y) a, greatest(p.x, p.y) b, count(*) n FROM near GROUP BY ALL)"""
+
+
 def build() -> dict[str, str]:
     return {
         "sql_daily_panel": _with("panel_daily stock_names", _SQL_PANEL),
@@ -565,6 +573,19 @@ def build() -> dict[str, str]:
             v AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) - 1 place FROM t GROUP BY w HAVING count(*) >= 2)
             SELECT doc_id, string_agg(CAST(place AS VARCHAR), ' ' ORDER BY place) indices, string_agg(CAST(n AS VARCHAR), ' ' ORDER BY place) counts
             FROM t JOIN v USING (w) GROUP BY doc_id""",
+        "embed_sequences": f"""
+            WITH t AS (SELECT doc_id, unnest({_DOC_WORDS}) w, generate_subscripts({_DOC_WORDS}, 1) i FROM documents),
+            d AS (SELECT doc_id, CAST(len({_DOC_WORDS}) AS BIGINT) n_tokens FROM documents),
+            m AS (SELECT doc_id, avg(length(w)) a, avg((i - 1) % 512) b, avg(CAST('0x' || substr(md5(w), 1, 4) AS BIGINT) % 100) c FROM t GROUP BY doc_id)
+            SELECT doc_id, n_tokens, {_r('a', name='"length"')}, {_r('b', name='place')}, {_r('c', name='"hash"')} FROM d LEFT JOIN m USING (doc_id)""",
+        "word_pairs": f"{_PAIRS} SELECT a, b, n FROM pairs WHERE n >= 4",
+        "word_information": f"""{_PAIRS},
+            frequent AS (SELECT w FROM (SELECT unnest(w) w FROM lists) GROUP BY w HAVING count(*) >= 30),
+            kept AS (SELECT * FROM pairs WHERE a IN (SELECT w FROM frequent) AND b IN (SELECT w FROM frequent)),
+            both_ AS (SELECT a, b, n FROM kept UNION ALL SELECT b, a, n FROM kept WHERE a <> b),
+            of AS (SELECT a, sum(n) s FROM both_ GROUP BY a),
+            x AS (SELECT b.a, b.b, ln(b.n * (SELECT sum(s) FROM of)::DOUBLE / (p.s::DOUBLE * q.s)) weight FROM both_ b JOIN of p ON b.a = p.a JOIN of q ON b.b = q.a)
+            SELECT a, b, {_r('weight')} FROM x WHERE weight > 0""",
         "train_predict_pooled": """
             SELECT lang, CAST(quality AS INT) AS label, count(*) n, count(*) n_scored FROM documents JOIN labels USING (doc_id)
             WHERE doc_id % 2 = 1 GROUP BY ALL""",

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tickerloom import schemas
 from tickerloom.functions import dates, nested, numbers, text
 from tickerloom.operators import (
-    bars, cleaning, logistic, news, ordered, pooled, portfolio, profiling, returns, scores, tokens, trainer, universe, vectors,
+    bars, cleaning, cooccurrence, logistic, news, ordered, pooled, portfolio, profiling, returns, scores, tokens, trainer, universe, vectors,
 )
 from tickerloom.params import GROSS, MOVING_AVERAGE_ROWS, SIC_BAND, UNIVERSE_SIZE
 from tickerloom.plans.panel import labelled_vectors, period_bars, period_panel
@@ -408,6 +408,47 @@ def word2vec_embedding(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.word_vectors(documents, "text").select("doc_id", "embedding")
 
 
+def rule_encoder() -> vectors.SequenceEncoder:
+    """A sequence encoder that SQL can express: length, place and a hash of every token."""
+
+    def encode(batch: list[list[str]], mask: np.ndarray) -> np.ndarray:
+        found = [[(len(word), place, int(hashlib.md5(word.encode()).hexdigest()[:4], 16) % 100) for place, word in enumerate(row)] for row in batch]
+        return np.array(found, float).reshape(*mask.shape, 3)
+
+    return encode
+
+
+@query
+def embed_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    """Padded batches of token sequences through an encoder, pooled under the mask over all parts of a document."""
+    rows = tokens.token_sequences(tables.read_table(spark, folder, "documents"), "text", "doc_id")
+    found = vectors.encode_sequences(rows, "doc_id", rule_encoder)
+    return rounded(found.select("doc_id", "n_tokens", *[F.get("embedding", F.lit(i)).alias(name) for i, name in enumerate(("length", "place", "hash"))]))
+
+
+@query
+def word_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of words that stand within two words of each other, four times or more."""
+    documents = tables.read_table(spark, folder, "documents")
+    return cooccurrence.pair_counts(documents, "text").where("n >= 4")
+
+
+@query
+def word_information(spark: SparkSession, folder: str) -> DataFrame:
+    """Positive mutual information of the pairs of words that occur thirty times or more."""
+    documents = tables.read_table(spark, folder, "documents")
+    words = pin(cooccurrence.word_counts(documents, "text", 30).select("word"), "words")
+    return rounded(cooccurrence.information(cooccurrence.pair_counts(documents, "text"), words))
+
+
+@query
+def cooccurrence_embedding(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as the mean of word vectors from the co-occurrence table."""
+    documents = pin(tables.read_table(spark, folder, "documents").select("doc_id", "text"), "documents")
+    found = pin(cooccurrence.word_vectors(documents, "text", width=16, least=30), "word-vectors")
+    return cooccurrence.mean_vectors(documents, "text", "doc_id", found)
+
+
 @query
 def parse_vectors(spark: SparkSession, folder: str) -> DataFrame:
     stored = tables.read_table(spark, folder, "embeddings").select("vec_id", F.to_json("embedding").alias("as_text"))
