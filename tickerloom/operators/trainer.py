@@ -8,7 +8,7 @@ mini-batch descent.  A shard is read as a stream of Arrow batches, so no group h
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -73,11 +73,16 @@ class _Shard:
 
 def train_groups(
     rows: DataFrame, keys: Sequence[str], ids: Sequence[str], epochs: int = EPOCHS, batch: int = TRAIN_BATCH,
-    rate: float = RATE, shards: int = SHARDS,
+    rate: float = RATE, shards: int = SHARDS, mix: Column | None = None, turn: Callable[[int], Column] | None = None,
 ) -> Training:
-    """Train every group of ``rows`` (keys, ids, label 0/1, features); pass a pinned table."""
+    """Train every group of ``rows`` (keys, ids, label 0/1, features); pass a pinned table.
+
+    ``mix`` is a long that names a row: its remainder is the shard.  ``turn`` gives the order of a pass (a long, from the
+    column ``mix``).  Both are hashes of the ids unless given.
+    """
     on = list(keys)
-    mix = F.xxhash64(*ids)
+    mix = F.xxhash64(*ids) if mix is None else mix
+    turn = turn or (lambda epoch: F.xxhash64(F.lit(epoch), "mix"))
     ready = rows.select(*on, F.pmod(mix, F.lit(shards)).cast("int").alias("shard"), mix.alias("mix"), F.col("label").cast("int").alias("label"), "features")
     zeros = F.array_repeat(F.lit(0.0), 2 * (F.max(F.size("features")) + 1))
     current = ready.groupBy(*on, "shard").agg(zeros.alias("weights"))
@@ -121,7 +126,7 @@ def train_groups(
     for epoch in range(1, epochs + 1):
         first = current.select(*on, "shard", F.lit(0).alias("is_row"), F.lit(0).cast("long").alias("turn"), F.lit(0).cast("long").alias("mix"),
                                F.lit(0).alias("label"), F.col("weights").alias("features"))
-        order = F.xxhash64(F.lit(epoch), "mix").alias("turn")
+        order = turn(epoch).alias("turn")
         turns = ready.select(*on, "shard", F.lit(1).alias("is_row"), order, "mix", "label", F.col("features").cast("array<double>").alias("features"))
         feed = first.unionByName(turns).repartition(*on, "shard").sortWithinPartitions(*on, "shard", "is_row", "turn", "mix")
         done = pin(feed.mapInPandas(one_pass(epoch), schema), "passes")

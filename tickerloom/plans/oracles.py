@@ -322,6 +322,68 @@ _PAIRS = f"""
     pairs AS MATERIALIZED (SELECT least(p.x, p.y) a, greatest(p.x, p.y) b, count(*) n FROM near GROUP BY ALL)"""
 
 
+# The regularised logistic loss by descent with a safe step (one over the largest row sum of the curvature's bound), one
+# recursion step a pass; ``problems`` has (id, rows: list of (x with a one at the end, y)).
+_MATRIX = "list_transform(range(1, len(rows[1].x) + 1), lambda j: list_transform(range(1, len(rows[1].x) + 1), lambda k: list_sum(list_transform(rows, lambda r: r.x[j] * r.x[k]))))"
+
+
+def _descent(passes: int) -> str:
+    miss = "list_transform(p.rows, lambda r: 1 / (1 + exp(-list_dot_product(d.w, r.x))) - r.y)"
+    return f"""
+        bounds AS MATERIALIZED (
+            SELECT id, rows, 1 + list_max(list_transform({_MATRIX}, lambda row: list_sum(list_transform(row, lambda v: abs(v))))) / 4 bound FROM problems),
+        d AS (
+            SELECT 0 pass, id, list_transform(rows[1].x, lambda v: 0.0::DOUBLE) w FROM bounds
+            UNION ALL
+            SELECT d.pass + 1, d.id, list_transform(range(1, len(d.w) + 1), lambda j:
+                d.w[j] - (list_sum(list_transform(list_zip(p.rows, {miss}), lambda z: z[1].x[j] * z[2]))
+                          + CASE WHEN j < len(d.w) THEN d.w[j] ELSE 0 END) / p.bound)
+            FROM d JOIN bounds p USING (id) WHERE d.pass < {passes})"""
+
+
+def _epoch(e: int) -> str:
+    """One pass of the descent: steps of eight rows in the order of the pass for every shard, then the mean by rows."""
+    before = "start" if e == 1 else f"mean{e - 1}"
+    miss = "list_transform(b.rows, lambda r: 1 / (1 + exp(list_dot_product(s.w0, r.x) - list_dot_product(s.w1, r.x))) - r.y)"
+    moved = "list_sum(list_transform(list_zip(b.rows, b_miss), lambda z: z[1].x[j] * z[2])) * 0.5 / len(b.rows)"
+    return f"""
+        o{e} AS (SELECT permco, shard, x, y, (row_number() OVER (PARTITION BY permco, shard ORDER BY turn{e}, mix) - 1) // 8 + 1 step,
+                        row_number() OVER (PARTITION BY permco, shard ORDER BY turn{e}, mix) place FROM train),
+        b{e} AS MATERIALIZED (SELECT permco, shard, step, list(struct_pack(x := x, y := y) ORDER BY place) rows FROM o{e} GROUP BY ALL),
+        s{e} AS (
+            SELECT 0::BIGINT step, permco, shard, w0, w1, 0.0::DOUBLE loss FROM {before} JOIN (SELECT DISTINCT permco, shard FROM train) USING (permco)
+            UNION ALL
+            SELECT step, permco, shard, list_transform(range(1, len(w0) + 1), lambda j: w0[j] + {moved.replace('b.rows', 'rows')}),
+                   list_transform(range(1, len(w1) + 1), lambda j: w1[j] - {moved.replace('b.rows', 'rows')}),
+                   list_avg(list_transform(b_miss, lambda m: -ln(1 - abs(m))))
+            FROM (SELECT s.step + 1 step, s.permco, s.shard, s.w0, s.w1, b.rows, {miss} b_miss
+                  FROM s{e} s JOIN b{e} b ON b.permco = s.permco AND b.shard = s.shard AND b.step = s.step + 1)),
+        last{e} AS (SELECT permco, shard, arg_max(w0, step) w0, arg_max(w1, step) w1 FROM s{e} GROUP BY ALL),
+        n{e} AS (SELECT permco, shard, count(*) n FROM train GROUP BY ALL),
+        mean{e} AS (
+            SELECT permco, list(a ORDER BY j) w0, list(b ORDER BY j) w1
+            FROM (SELECT permco, j, sum(n * w0[j]) / sum(n) a, sum(n * w1[j]) / sum(n) b
+                  FROM last{e} JOIN n{e} USING (permco, shard), range(1, 18) t(j) GROUP BY ALL) GROUP BY permco)"""
+
+
+_TRAINED = f"""
+    WITH RECURSIVE vectors AS (
+        SELECT vec_id, vec_id % 2 permco, CASE WHEN label >= 5 THEN 1 ELSE 0 END y, list_append(CAST(embedding[1:16] AS DOUBLE[]), 1.0) x,
+               CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 15) AS BIGINT) mix FROM embeddings),
+    train AS MATERIALIZED (
+        SELECT *, mix % 4 shard, {", ".join(f"CAST('0x' || substr(md5('{e}:' || CAST(mix AS VARCHAR)), 1, 15) AS BIGINT) turn{e}" for e in (1, 2, 3))}
+        FROM vectors WHERE vec_id % 5 < 3),
+    start AS (SELECT DISTINCT permco, list_transform(range(0, 17), lambda i: 0.0::DOUBLE) w0, list_transform(range(0, 17), lambda i: 0.0::DOUBLE) w1 FROM train),
+    {", ".join(_epoch(e) for e in (1, 2, 3))}
+"""
+
+
+def _accuracy(e: int) -> str:
+    return f"""SELECT permco, 'eval_accuracy' kind, {e} epoch, NULL shard, NULL step,
+        {_q(f'avg(CASE WHEN (list_dot_product(w1, x) > list_dot_product(w0, x)) = (y = 1) THEN 1.0::DOUBLE ELSE 0.0 END)')} AS value
+        FROM vectors JOIN mean{e} USING (permco) WHERE vec_id % 5 >= 3 GROUP BY permco"""
+
+
 def build() -> dict[str, str]:
     return {
         "sql_daily_panel": _with("panel_daily stock_names", _SQL_PANEL),
@@ -550,6 +612,38 @@ def build() -> dict[str, str]:
         "lr_gradient": """
             SELECT permco, model, CAST(term AS INT) term, 0.0::DOUBLE gradient
             FROM (SELECT DISTINCT vec_id % 2 permco FROM embeddings), (VALUES ('first32'), ('last32')) m(model), range(0, 33) t(term)""",
+        "lr_fit": f"""
+            WITH RECURSIVE both_ AS (
+                SELECT vec_id % 2 permco, m.model, CAST(CASE WHEN label >= 5 THEN 1 ELSE 0 END AS DOUBLE) y,
+                       list_append(CAST(CASE m.model WHEN 'first32' THEN embedding[1:32] ELSE embedding[33:64] END AS DOUBLE[]), 1.0) x
+                FROM embeddings, (VALUES ('first32'), ('last32')) m(model)),
+            problems AS MATERIALIZED (
+                SELECT struct_pack(permco := permco, model := model) id, list(struct_pack(x := x, y := y)) rows FROM both_ GROUP BY permco, model),
+            {_descent(1500)}
+            SELECT id.permco permco, id.model model, CAST(generate_subscripts(w, 1) - 1 AS INT) term, {_q('unnest(w)')} AS coefficient
+            FROM d WHERE pass = 1500""",
+        "walk_forward_years": f"""
+            WITH RECURSIVE v AS MATERIALIZED (
+                SELECT vec_id, vec_id % 2 permco, m.model, CAST(2005 + vec_id % 19 AS BIGINT) unit, CAST(CASE WHEN label >= 5 THEN 1 ELSE 0 END AS INT) y,
+                       list_append(CAST(CASE m.model WHEN 'first16' THEN embedding[1:16] ELSE embedding[49:64] END AS DOUBLE[]), 1.0) x
+                FROM embeddings, (VALUES ('first16'), ('last16')) m(model)),
+            u AS (SELECT permco, unit, row_number() OVER (PARTITION BY permco ORDER BY unit) place, count(*) OVER (PARTITION BY permco) units
+                  FROM (SELECT DISTINCT permco, unit FROM v)),
+            f AS (SELECT t.permco, t.unit test_unit, o.unit FROM u t JOIN u o ON o.permco = t.permco AND o.place BETWEEN t.place - 10 AND t.place - 1
+                  WHERE t.place > 10 AND t.place < t.units),
+            problems AS MATERIALIZED (
+                SELECT struct_pack(permco := v.permco, model := model, unit := test_unit) id, list(struct_pack(x := x, y := CAST(y AS DOUBLE))) rows
+                FROM v JOIN f ON f.permco = v.permco AND f.unit = v.unit GROUP BY v.permco, model, test_unit),
+            {_descent(400)}
+            SELECT v.permco, v.model, vec_id, v.unit, y true_direction, CAST(CASE WHEN list_dot_product(w, x) > 0 THEN 1 ELSE 0 END AS INT) predicted_direction,
+                   false one_class, 'converged' status
+            FROM d JOIN v ON id.permco = v.permco AND id.model = v.model AND id.unit = v.unit WHERE pass = 400""",
+        "trained_values": f"""{_TRAINED}
+            SELECT permco, vec_id, CAST(y AS INT) true_direction, CAST(CASE WHEN list_dot_product(w1, x) > list_dot_product(w0, x) THEN 1 ELSE 0 END AS INT) predicted_direction,
+                   {_q('list_dot_product(w0, x)')} AS down, {_q('list_dot_product(w1, x)')} AS up FROM vectors JOIN mean3 USING (permco) WHERE vec_id % 5 >= 3""",
+        "trained_steps": _TRAINED + " UNION ALL ".join(
+            f"SELECT permco, 'loss' kind, {e} epoch, CAST(shard AS INT) shard, CAST(step AS INT) step, {_q('loss')} AS value FROM s{e} WHERE step > 0 UNION ALL {_accuracy(e)}"
+            for e in (1, 2, 3)),
         "lr_gradient_wide": """
             SELECT permco, 'converged' status, CAST(term AS INT) term, 0.0::DOUBLE gradient
             FROM (SELECT DISTINCT vec_id % 2 permco FROM embeddings), range(0, 129) t(term)""",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -750,7 +750,7 @@ def _stored_vectors(spark: SparkSession, folder: str) -> DataFrame:
 def lr_fit(spark: SparkSession, folder: str) -> DataFrame:
     """Coefficients per company and model; the last term is the intercept."""
     fits = logistic.fit_groups(_stored_vectors(spark, folder), ["permco", "model"])
-    return fits.select("permco", "model", F.posexplode("beta").alias("term", "coefficient"))
+    return rounded(fits.select("permco", "model", F.posexplode("beta").alias("term", "coefficient")))
 
 
 @query
@@ -799,6 +799,52 @@ def lr_status(spark: SparkSession, folder: str) -> DataFrame:
     return fits.select("permco", "status", F.coalesce(F.size("beta"), F.lit(0)).alias("n_terms"))
 
 
+@query
+def walk_forward_years(spark: SparkSession, folder: str) -> DataFrame:
+    """Fits over ten years and predictions of the next one, for two slices of the stored vectors in two companies and 19 years."""
+    both = F.array(
+        F.struct(F.lit("first16").alias("model"), F.slice("embedding", 1, 16).alias("x")),
+        F.struct(F.lit("last16").alias("model"), F.slice("embedding", 49, 16).alias("x")),
+    )
+    rows = tables.read_table(spark, folder, "embeddings").withColumn("v", F.explode(both)).select(
+        (F.col("vec_id") % 2).alias("permco"), "v.model", "vec_id", (2005 + F.col("vec_id") % 19).alias("unit"),
+        (F.col("label") >= 5).cast("int").alias("label"), F.col("v.x").cast("array<double>").alias("features"))
+    found = logistic.walk_forward_predict(pin(rows, "vectors"), ["permco", "model"], ["vec_id"])
+    return found.select("permco", "model", "vec_id", "unit", "true_direction", "predicted_direction", "one_class", "status")
+
+
+def _hex_number(text_: Column) -> Column:
+    return F.conv(F.substring(F.md5(text_), 1, 15), 16, 10).cast("long")
+
+
+def _trained_on_stored(spark: SparkSession, folder: str) -> tuple[trainer.Training, DataFrame]:
+    """Training on the stored vectors, its shards and orders from md5, which SQL can follow."""
+    rows = tables.read_table(spark, folder, "embeddings").select(
+        (F.col("vec_id") % 2).alias("permco"), "vec_id", (F.col("label") >= 5).cast("int").alias("label"),
+        F.slice("embedding", 1, 16).cast("array<double>").alias("features"))
+    rows = pin(rows, "vectors")
+    train = rows.where("vec_id % 5 < 3")
+    training = trainer.train_groups(
+        train, ["permco"], ["vec_id"], mix=_hex_number(F.col("vec_id").cast("string")),
+        turn=lambda epoch: _hex_number(F.concat_ws(":", F.lit(str(epoch)), F.col("mix").cast("string"))))
+    return training, rows.where("vec_id % 5 >= 3")
+
+
+@query
+def trained_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores and classes after three passes over the stored vectors."""
+    training, test = _trained_on_stored(spark, folder)
+    found = trainer.predict_groups(test, training, ["permco"])
+    return rounded(found.select("permco", "vec_id", "true_direction", "predicted_direction", F.get("logits", F.lit(0)).alias("down"), F.get("logits", F.lit(1)).alias("up")))
+
+
+@query
+def trained_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """Loss of every step and accuracy after every pass over the stored vectors."""
+    training, test = _trained_on_stored(spark, folder)
+    return rounded(trainer.training_log(training, test, ["permco"]))
+
+
 IDS = ["ticker", "start_date", "headline"]
 
 
