@@ -182,21 +182,21 @@ _STEPS: dict[str, str] = {
 }
 
 
-def _with(needed: str, select: str) -> str:
+def _with(needed: str, select: str, available: dict[str, str] = _STEPS) -> str:
     """The select, preceded by the needed steps and theirs; a select that starts with a comma adds its own."""
-    names = list(_STEPS)
+    names = list(available)
     used: set[str] = set()
 
     def visit(name: str) -> None:
         used.add(name)
-        body = _STEPS[name]
+        body = available[name]
         for other in names[: names.index(name)]:
             if other not in used and _mentions(body, other):
                 visit(other)
 
     for name in needed.split():
         visit(name)
-    steps = ",\n".join(f"{name} AS ({_STEPS[name]})" for name in names if name in used)
+    steps = ",\n".join(f"{name} AS ({available[name]})" for name in names if name in used)
     return f"WITH {steps}\n{select}"
 
 
@@ -230,6 +230,25 @@ def _universe(where: str) -> str:
         GROUP BY permno ORDER BY avg_cap DESC NULLS LAST, permno LIMIT {UNIVERSE_SIZE}"""
 
 
+def _chain_steps() -> dict[str, str]:
+    """The building blocks over the universe, with linked news and sizes from the size file."""
+    first = {name: _STEPS[name] for name in ("panel_daily", "link_table", "news_events", "size_lines")}
+    changed = {
+        "listed": _universe("siccd BETWEEN 5500 AND 6000"),
+        "listed_daily": "SELECT * FROM panel_daily WHERE permno IN (SELECT permno FROM listed)",
+        "news_linked": """SELECT lpermco permco, announcedate, headline FROM news_events JOIN link_table USING (gvkey)
+            WHERE lpermno IN (SELECT permno FROM listed)""",
+        "bars": _bars("listed_daily"),
+        "period_daily": f"SELECT *, {_period('date')} period FROM listed_daily WHERE {_period('date')} IS NOT NULL",
+        "later_daily": "SELECT * FROM listed_daily WHERE date BETWEEN DATE '1999-01-01' AND DATE '2001-12-31'",
+        "all_sizes": """
+            SELECT *, CASE WHEN cap >= median(cap) OVER (PARTITION BY date) THEN 'Large' ELSE 'Small' END size_class
+            FROM (SELECT TRY_CAST(day_text AS DATE) date, ticker, TRY_CAST(prc_text AS DOUBLE) * TRY_CAST(shrout_text AS DOUBLE) cap FROM size_lines)
+            WHERE cap IS NOT NULL AND date IS NOT NULL""",
+    }
+    return {**first, **changed, **{name: body for name, body in _STEPS.items() if name not in {**first, **changed}}}
+
+
 def _union(parts: list[str]) -> str:
     return " UNION ALL ".join(parts)
 
@@ -689,6 +708,13 @@ def build() -> dict[str, str]:
                 SELECT doc_id, sum(n * coalesce(idf, 0) * ((bucket * 37 % 101 - 50) / 100.0::DOUBLE)) + 0.25 margin
                 FROM cells LEFT JOIN weights USING (bucket) WHERE doc_id % 2 = 1 GROUP BY ALL)
             SELECT doc_id, {_r('margin')}, CAST(CASE WHEN margin > 0 THEN 1 ELSE 0 END AS INT) predicted FROM m""",
+        "universe_panel": _with("period_panel", f"""
+            , rows_ AS (SELECT DISTINCT period, permco, ticker, start_date, end_date, weekly_ret, adj_prc, headline, direction FROM period_panel)
+            SELECT period, {_BAR}, headline, direction,
+                   {_q("CASE WHEN count(adj_prc) OVER w = 5 THEN avg(adj_prc) OVER w END")} AS ma5
+            FROM rows_ WINDOW w AS (PARTITION BY period, permco, ticker ORDER BY end_date, headline ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
+            _chain_steps()),
+        "universe_risk": _with("risk", f"SELECT model, scenario, type, {_r('ret')}, {_r('std')}, {_r('sr')} FROM risk", _chain_steps()),
         "trainable_groups": _with("period_bars", """
             SELECT permco FROM period_bars GROUP BY permco HAVING count(DISTINCT period) = 2"""),
     }

@@ -17,6 +17,7 @@ from tickerloom.operators import (
     bars, cleaning, cooccurrence, logistic, news, ordered, pooled, portfolio, profiling, returns, scores, tokens, trainer, universe, vectors,
 )
 from tickerloom.params import GROSS, MOVING_AVERAGE_ROWS, SIC_BAND, UNIVERSE_SIZE
+from tickerloom.plans import chain
 from tickerloom.plans.panel import labelled_vectors, period_bars, period_panel
 from tickerloom.plans.report import portfolio_series, weekly_returns
 from tickerloom.session import pin, scratch_path
@@ -912,6 +913,27 @@ def training_log(spark: SparkSession, folder: str) -> DataFrame:
     return trainer.training_log(training, test, ["permco", "model"])
 
 
+# ---- the whole study -------------------------------------------------------------------------------
+
+
+@query
+def universe_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """Universe, link table, news of the week before, panel and moving average."""
+    daily = views.panel_daily(spark, folder)
+    listed = chain.listed_securities(daily, PERIODS)
+    panel = chain.universe_panel(daily, views.news_events(spark, folder), views.link_table(spark, folder), listed, PERIODS)
+    return rounded(panel.select("period", *BAR, "headline", "direction", "ma5"))
+
+
+@query
+def universe_risk(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule models on the universe, portfolios, costs by the dirty size file, risk table."""
+    daily = views.panel_daily(spark, folder)
+    listed = chain.listed_securities(daily, PERIODS)
+    weekly = bars.direction(bars.weekly_bars(universe.keep_listed(daily, listed, "permno")))
+    return rounded(chain.universe_risk(daily, views.rule_votes(weekly), _size_input(spark, folder), listed, PERIODS))
+
+
 # ---- one model for all texts -----------------------------------------------------------------------
 
 POOLED_BUCKETS = 4096

@@ -110,13 +110,17 @@ def weekly(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rule_predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """Three rule-based models over the weekly bars of the out-of-sample period.
+    return rule_votes(weekly(spark, folder))
+
+
+def rule_votes(bars: DataFrame) -> DataFrame:
+    """Three rule-based models over weekly bars with direction, in the out-of-sample period.
 
     Windows run along the weeks of one security, so their size is bounded by the calendar.
     """
     w = Window.partitionBy("permco", "ticker").orderBy("end_date")
     up = F.when(F.col("direction") == "Up", 1).otherwise(0)
-    base = weekly(spark, folder).select(
+    base = bars.select(
         "permco", "ticker", "end_date", up.alias("true_direction"), F.lag(up).over(w).alias("before"),
         F.lag("adj_prc", 1).over(w).alias("last_price"), F.lag("adj_prc", 4).over(w).alias("old_price"),
     ).where(F.col("old_price").isNotNull() & (F.col("end_date") >= F.lit(PERIODS.out_of_sample[0]).cast("date")))
