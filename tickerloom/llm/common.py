@@ -9,7 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS, _ARROW_ROWS = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts of 1,000 rows, where the session has Spark's default of 10,000: executor and Python worker
+    each hold whole batches, and give back little of the memory that the largest one took."""
+    if spark.conf.get(_ARROW_ROWS) == "10000":
+        spark.conf.set(_ARROW_ROWS, BATCH_ROWS)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

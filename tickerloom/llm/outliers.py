@@ -4,8 +4,8 @@ Statistics of a text become a vector of transformed numbers.  For each language
 scatter are fitted by concentration steps: from two robust starts, the rows nearest to the estimate (by
 Mahalanobis distance) give the next one, and the start with the smaller determinant wins.  One step is one
 aggregation over all rows: rows are counted and summed per group and distance bin, and the nearest share is
-made of whole bins, so no group is ever in one task.  Scatter never falls below a floor per feature, which
-keeps features that are constant in most texts usable.
+made of whole bins, so no group is ever in one task.  In units of a floor per feature no direction of the scatter falls
+below one unit, which keeps features that are constant in most texts usable; wider scatter is left as it is.
 
 Groups with fewer than LEAST_ROWS rows are fitted with the other small groups of their language, and then
 with all others; with too few rows even so, the base rules alone decide.  Null text has no words and fails the
@@ -33,11 +33,12 @@ MOST_REPEATED_PERCENT = 50
 SHARE = 0.75       # of the rows that an estimate rests on
 LEAST_ROWS = 50
 STEPS = 5
-REJECT = 1e-6      # share of normal rows beyond the limit
+REJECT = 1e-4      # share of normal rows beyond the limit
 
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-# Smallest standard deviation of each feature, in the order of ``features``.
-FLOORS = [0.5, 0.4, 0.5, 0.5, 0.1]
+# Smallest standard deviation of each feature, in the order of ``features``: half a unit of a logarithm, 0.4 characters a
+# word, and for the share of repeated words what two repeated windows in 120 words make.
+FLOORS = [0.5, 0.4, 0.5, 0.5, 0.05]
 P = len(FLOORS)
 
 
@@ -132,8 +133,15 @@ _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 _STATE = "fit string, start int, n long, mean array<double>, inverse array<double>, log_det double"
 
 
+def floored(cov: np.ndarray) -> np.ndarray:
+    """Scatter in units of the floors, no direction below one unit; what lies above stays as it was."""
+    units = np.outer(FLOORS, FLOORS)
+    values, turns = np.linalg.eigh(cov / units)
+    return (turns * np.maximum(values, 1.0)) @ turns.T * units
+
+
 def _state(key, start, n, mean, cov) -> list:
-    cov = cov + np.diag(np.square(FLOORS))
+    cov = floored(cov)
     return [key, start, n, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])]
 
 
