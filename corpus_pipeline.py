@@ -18,27 +18,50 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are no outliers of their language and source."""
+    """Documents that pass the base rules and are no outliers of their language and source.
+
+    Null and empty texts fail the base rules; null languages and sources are groups of their own; rows equal in all four
+    columns are judged alike and all stay or go; an empty table stays empty.
+    """
+    common.small_batches(spark)
     return outliers.kept(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
+    """The document with the smallest id of each group of near duplicates (five words, similarity of 0.8).
+
+    Texts without words are near nothing and stay, repeated ones too; of repeated rows one stays; a null id comes after all
+    others; an empty table stays empty.
+    """
+    common.small_batches(spark)
     return jaccard.representatives(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    Null and empty texts hold none and stay; null and empty items match nothing; repeated rows share their fate; without
+    documents or without items nothing changes.
+    """
+    common.small_batches(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind."""
+    """All documents, personal data replaced by its kind.
+
+    Null and empty texts stay as they are; repeated rows are redacted alike; an empty table stays empty.
+    """
+    common.small_batches(spark)
     return personal.redacted(docs, personal.train(docs))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers."""
+    """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers.
+
+    Null and empty texts have no ids; every row is encoded, repeated ones too; an empty table gives no rows.
+    """
+    common.small_batches(spark)
     return bytepair.encode_decode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids")
 
 
