@@ -173,13 +173,90 @@ def test_class_scores(spark, docs, rows):
     assert classes.scores(empty(spark).select("doc_id", "text", F.lit(False).alias("held_out"))).count() == 0
 
 
-def test_exchange_separates_two_kinds_of_units():
-    pairs = np.zeros((21, 21))
-    for i in range(1, 21):  # even units follow odd units and the other way round
-        for j in range(1, 21):
-            pairs[i, j] = 5 if (i + j) % 2 else 0
-    label = classes.exchange(pairs, 2)
-    assert len({label[i] for i in range(1, 21, 2)}) == 1 and len({label[i] for i in range(2, 21, 2)}) == 1 and label[1] != label[2]
+def plain_value(table, sides):
+    log = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
+    return log(table).sum() - 2 * log(table[:, :sides].sum(1)).sum()
+
+
+def test_moves_gain_what_the_likelihood_gains():
+    """Against the likelihood of the class bigrams computed anew for every possible move."""
+    rng = np.random.default_rng(6)
+    sides, units = 5, 12
+    cells = rng.integers(0, 4, (units, 2 * sides)) * (rng.random((units, 2 * sides)) < 0.6)
+    cells[:, sides] += cells[:, :sides].sum(1) - cells[:, sides:].sum(1) + 20   # as many neighbours after as before
+    cells[:, 0] += 20
+    label = rng.integers(1, sides, units)
+    table = np.zeros((sides, 2 * sides))
+    np.add.at(table, label, cells)
+    unit, place = np.nonzero(cells)
+    best = classes.best_moves(unit, place, cells[unit, place].astype(float), label, table, sides)
+    for u in range(units):
+        values = {}
+        for c in range(1, sides):
+            moved = table.copy()
+            moved[label[u]] -= cells[u]
+            moved[c] += cells[u]
+            values[c] = plain_value(moved, sides)
+        assert np.isclose(values[int(best[u])], max(values.values()))
+        assert best[u] == label[u] or values[int(best[u])] > values[int(label[u])]
+
+
+def test_exchange_separates_two_kinds_of_words(spark, monkeypatch):
+    """Words that only follow words of the other kind end in classes of their own, all of them clustered by themselves."""
+    rng = np.random.default_rng(3)
+    a, b = [f"aa{i}x" for i in range(40)], [f"bb{i}x" for i in range(40)]
+    texts = [(i, " ".join(w for _ in range(25) for w in (a[rng.integers(40)], b[rng.integers(40)]))) for i in range(60)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").select("doc_id", F.col("text").cast("binary").alias("text"))
+    totals = classes.slot_totals(rows)
+    assert totals.sum() == 60 * 50 and (totals > 0).sum() == 80
+    often = totals >= classes.LEAST
+    for merged in (classes.MERGED, 1):
+        monkeypatch.setattr(classes, "MERGED", merged)
+        label = classes.cluster(rows.repartition(3), often, totals, 2)
+        units = classes.Units(often)
+        kinds = [{int(label[units[word.encode()]]) for word in words} for words in (a, b)]
+        assert len(kinds[0]) == len(kinds[1]) == 1 and kinds[0] != kinds[1]
+
+
+def test_class_scores_equal_a_plain_model(docs, rows):
+    """Scores from the same classes, with all probabilities counted in plain loops."""
+    kept = {}
+    original = classes.cluster
+
+    def remember(*args):
+        kept["often"], kept["label"] = args[1], original(*args)
+        return kept["label"]
+
+    table = docs.select("doc_id", "text", common.held_out(F.col("doc_id"), 7, 2).alias("held_out"))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(classes, "cluster", remember)
+        done = classes.scores(table, 6).collect()
+    units = classes.Units(kept["often"])
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    counts, pairs = Counter(), Counter()
+    split = [(d, (t or "").encode().lower().split()) for d, t, *_ in rows]
+    label = lambda word: int(kept["label"][units[word]])
+    for d, words in split:
+        if not held(d):
+            counts.update(words)
+            path = [0, *map(label, words), 0]
+            pairs.update(zip(path, path[1:]))
+    sides = 7
+    before, after, total = Counter(), Counter(), sum(pairs.values())
+    for (x, y), n in pairs.items():
+        before[x] += n
+        after[y] += n
+    tokens, types = Counter(), Counter()
+    for word, n in counts.items():
+        tokens[label(word)] += n
+        types[label(word)] += 1
+    wanted = Counter()
+    for d, words in split:
+        path = [0, *map(label, words), 0]
+        value = sum(np.log10((pairs[x, y] + sides * (after[y] + 1) / (total + sides)) / (before[x] + sides)) for x, y in zip(path, path[1:]))
+        value += sum(np.log10((counts[word] + 1) / (tokens[label(word)] + types[label(word)] + 1)) for word in words)
+        wanted[str(d), round(value, 4)] += 1
+    assert Counter((str(row.doc_id), round(row.score, 4)) for row in done) == wanted
 
 
 def test_class_probabilities_sum_to_one(spark):
