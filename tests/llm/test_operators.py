@@ -663,3 +663,40 @@ def test_item_ids_keep_their_type(spark, docs, kind):
     found = decontaminate.leaks(docs, items)
     assert found.schema["item_id"].dataType == items.schema["item_id"].dataType
     assert {row.doc_id for row in found.collect()} == {410, 411} and {str(row.item_id) for row in found.collect()} == {"1"}
+
+
+def test_columns_with_names_used_inside_survive(spark, docs):
+    """Filters keep whatever other columns a table has, whatever their names."""
+    names = ["_quality_key", "_row_key", "_LEAK_KEY", "distance", "kept", "node", "key", "component_id", "fit", "x0"]
+    some = docs.where("doc_id < 40 or doc_id in (200, 300, 410, 501)")
+    wide = some.select("*", *[F.concat(F.lit(name), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(name) for name in names if name not in docs.columns])
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    for filtered, plain in ((outliers.kept(wide), outliers.kept(some)), (jaccard.representatives(wide, 5, 80), jaccard.representatives(some, 5, 80)),
+                            (decontaminate.clean(wide, items), decontaminate.clean(some, items))):
+        assert filtered.columns == wide.columns
+        kept = filtered.collect()
+        assert Counter(row.doc_id for row in kept) == Counter(row.doc_id for row in plain.collect())
+        assert all(row[name] == f"{name}{row.doc_id}" for row in kept for name in names)
+
+
+def test_texts_of_many_megabytes(spark):
+    """One text of 18 MB beside a part of it and a copy: every operator gives it a whole result."""
+    part = prose(4000, 31)
+    rng = np.random.default_rng(17)
+    words = ["".join(rng.choice(list("abcdeilnorst"), 8)) for _ in range(5000)]
+    drawn = [words[i] + (". " if i % 9 == 0 else " ") for i in rng.integers(0, 5000, 2_000_000)]
+    long = "".join(drawn) + part
+    assert len(long) > 17 << 20
+    frame = spark.createDataFrame([(1, long, "en", "a"), (2, part, "en", "a"), (3, long, "en", "b")], "doc_id long, text string, lang string, source string")
+    groups = {row.doc_id: row.component_id for row in jaccard.joined(frame, 3, 90).collect()}
+    assert groups == {1: 1, 2: 2, 3: 1}
+    left = {row.doc_id: row.n_removed for row in substrings.without_repeats(frame, window=400).collect()}
+    assert left[1] == left[3] == len(long) and left[2] == len(part)
+    spans = {row.doc_id: (row.n_removed, row.n_sentences) for row in sentences.without_repeats(frame).collect()}
+    assert spans[1][0] == 0 and spans[3] == (spans[1][1], spans[1][1]) and spans[2][0] >= spans[2][1] - 2
+    counts = {row.doc_id: row.n_words for row in outliers.statistics(frame).collect()}
+    assert counts == {1: 2_004_000, 2: 4000, 3: 2_004_000}
+    item = spark.createDataFrame([(5, " ".join(part.split()[-40:]))], "item_id long, text string")
+    assert {row.doc_id for row in decontaminate.leaks(frame, item).collect()} == {1, 2, 3}
+    tokens = classes.scores(frame.select("doc_id", "text", F.lit(False).alias("held_out"))).collect()
+    assert {row.doc_id: row.n_tokens for row in tokens} == {1: 2_004_001, 2: 4001, 3: 2_004_001}

@@ -270,12 +270,13 @@ def joined(docs: DataFrame, size: int, percent: int) -> DataFrame:
 def representatives(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """One row of ``docs`` for each group, the one with the smallest doc_id; rows with an empty set all stay."""
     groups = joined(docs.select("doc_id", "text"), size, percent)
-    rows = groups.groupBy(F.col("key").alias("_row_key")).agg(F.max("is_first").alias("first"), F.count("*").alias("n"), F.max("n_shingles").alias("size"))
+    key = common.unused(docs, "_row_key")
+    rows = groups.groupBy(F.col("key").alias(key)).agg(F.max("is_first").alias("first"), F.count("*").alias("n"), F.max("n_shingles").alias("size"))
     rows = pin(rows.where("not first or (n > 1 and size > 0)"), "repeated-rows")
-    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
-    one_each = common.among(keyed, "_row_key", rows.where("not first").select("_row_key"), False)
-    twice = rows.where("first").select("_row_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    one_each = common.among(keyed, key, rows.where("not first").select(key), False)
+    twice = rows.where("first").select(key)
     if not twice.isEmpty():  # rows equal in doc_id and text
-        one_each = common.among(one_each, "_row_key", twice, False).unionByName(
-            common.among(one_each, "_row_key", twice, True).dropDuplicates(["_row_key"]))
+        one_each = common.among(one_each, key, twice, False).unionByName(
+            common.among(one_each, key, twice, True).dropDuplicates([key]))
     return one_each.select(*docs.columns)

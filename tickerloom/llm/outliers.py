@@ -256,7 +256,8 @@ def judged(docs: DataFrame, share: float = SHARE, reject: float = REJECT) -> Dat
 
 def kept(docs: DataFrame, share: float = SHARE, reject: float = REJECT) -> DataFrame:
     """The rows of ``docs`` that are kept; rows equal in doc_id, text, language and source share a verdict."""
-    keyed = docs.withColumn("_quality_key", F.xxhash64("doc_id", "text", "lang", "source"))
-    verdicts = judged(keyed.select(F.col("_quality_key").alias("doc_id"), "text", "lang", "source"), share, reject)
-    rejected = pin(verdicts.where("not kept").select(F.col("doc_id").alias("_quality_key")).distinct(), "rejected")
-    return common.among(keyed, "_quality_key", rejected, False).select(*docs.columns)
+    key = common.unused(docs, "_quality_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text", "lang", "source"))
+    verdicts = judged(keyed.select(F.col(key).alias("doc_id"), "text", "lang", "source"), share, reject)
+    rejected = pin(verdicts.where("not kept").select(F.col("doc_id").alias(key)).distinct(), "rejected")
+    return common.among(keyed, key, rejected, False).select(*docs.columns)
