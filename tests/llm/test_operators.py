@@ -1,9 +1,13 @@
 """Every text operator against a plain version on small tables with nulls, ties, repeats and clashing columns."""
 
 import hashlib
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -700,3 +704,27 @@ def test_texts_of_many_megabytes(spark):
     assert {row.doc_id for row in decontaminate.leaks(frame, item).collect()} == {1, 2, 3}
     tokens = classes.scores(frame.select("doc_id", "text", F.lit(False).alias("held_out"))).collect()
     assert {row.doc_id: row.n_tokens for row in tokens} == {1: 2_004_001, 2: 4001, 3: 2_004_001}
+
+
+ELSEWHERE = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config(
+    "spark.sql.session.timeZone", "UTC").getOrCreate()
+from tickerloom.llm import queries
+counts = {{name: queries.QUERIES[name](spark, {folder!r}).count() for name in {names!r}}}
+spark.stop()
+print("COUNTS", counts)
+"""
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    """Workers that start in another folder, without the repository on their path, run operators that share objects."""
+    names = ["op2_byte_bpe", "op6_decontamination", "op9_personal_data", "op10_language_spans"]
+    root = str(Path(__file__).resolve().parents[2])
+    code = ELSEWHERE.format(root=root, folder="/root/testdata/sf0.001", names=names)
+    environment = {key: value for key, value in os.environ.items() if key != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=600)
+    assert "COUNTS" in done.stdout, done.stderr[-2000:]
+    assert all(f"'{name}': " in done.stdout for name in names)

@@ -148,10 +148,10 @@ class Codec:
 def _mapped(docs: DataFrame, vocabulary: str, pattern: str, column: str, made: dict[str, str], work) -> DataFrame:
     """doc_id and the columns that ``work(codec, values)`` makes of a column, in Arrow batches."""
     model = Codec(serialise(read_ranks(vocabulary)), pattern)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # one vocabulary: fixed size
+    shared = common.share(docs.sparkSession, model)  # one vocabulary: fixed size
 
     def run(batches):
-        codec = shared.value.start()
+        codec = shared().start()
         for batch in common.slices(batches, 2 << 20, column):
             done = work(codec, batch.column(column).to_pylist())
             arrays = [pa.array(values, pa.int64() if kind == "long" else pa.binary()) for values, kind in zip(done, made.values())]

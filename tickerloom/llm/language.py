@@ -248,11 +248,12 @@ SPAN = pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("last_word
 
 def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
     """(doc_id, lang_pred, score, spans) of every row; spans hold the words first_word..last_word of one language."""
-    shared = docs.sparkSession.sparkContext.broadcast(Scorer(model))  # languages x 2^14 numbers
+    shared = common.share(docs.sparkSession, Scorer(model))  # languages x 2^14 numbers
 
     def run(batches):
-        for batch in common.slices(batches, 8 << 20):
-            done = list(_labelled(shared.value, penalty, batch.column("text").to_pylist()))
+        scorer = shared()
+        for batch in common.slices(batches):
+            done = list(_labelled(scorer, penalty, batch.column("text").to_pylist()))
             columns = [pa.array([row[i] for row in done], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.list_(SPAN)))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "lang_pred", "score", "spans"])
 

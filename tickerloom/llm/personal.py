@@ -330,16 +330,17 @@ SPAN_DDL = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
 def find(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, spans) of every row: code point ranges, end exclusive, by start and kind."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = common.share(docs.sparkSession, model)
 
     def run(batches):
+        known_model = shared()
         for batch in common.slices(batches):
             rows: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for i, text in _candidates(batch):
                 base = base_spans(text)
                 known = set(base)
                 rows[i] = [{"kind": kind, "start": start, "end": end, "base": (kind, start, end) in known}
-                           for kind, start, end in in_order(base + added_spans(text, base, shared.value))]
+                           for kind, start, end in in_order(base + added_spans(text, base, known_model))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(SPAN))], ["doc_id", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -367,10 +368,11 @@ def redacted(docs: DataFrame, model: Model) -> DataFrame:
 
     Overlapping spans are replaced together, by the kind of the first one.  Null texts stay null; rows without spans are unchanged.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = common.share(docs.sparkSession, model)
     columns = docs.columns
 
     def run(batches):
+        known_model = shared()
         for batch in common.slices(batches):
             texts = batch.column("text").to_pylist()
             for i, data in enumerate(texts):
@@ -378,7 +380,7 @@ def redacted(docs: DataFrame, model: Model) -> DataFrame:
                     continue
                 base = base_spans(data)
                 parts, at = [], 0
-                for kind, start, end in in_order(base + added_spans(data, base, shared.value)):
+                for kind, start, end in in_order(base + added_spans(data, base, known_model)):
                     if start >= at:
                         parts += [data[at:start], f"<{kind}>"]
                     at = max(at, end)

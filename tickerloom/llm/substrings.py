@@ -125,8 +125,10 @@ def covers(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         (F.col("one.first") + F.col("one.n") - 1 + window - F.col("one.place")).alias("end"))
     parts = _covers(alike, window).unionByName(_covers(single, window)).join(kinds.where("c > 1").select("id"), "id", "left_anti")
     by_run = whole.unionByName(parts).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("parts"))  # window - GRAM + 1 at most
-    placed = runs.select("id", "key", "place").join(by_run, "id")
-    return placed.groupBy("key").agg(F.flatten(F.collect_list(F.transform(
+    # Pinned, so that both sides of the join are shuffled and a hot run can be split.  Rows equal in doc_id and text have one
+    # key and the same parts, which the set holds once.
+    placed = runs.select("id", "key", "place").join(pin(by_run, "by-run"), "id")
+    return placed.groupBy("key").agg(F.flatten(F.collect_set(F.transform(
         "parts", lambda p: F.struct((p["start"] + F.col("place")).alias("start"), (p["end"] + F.col("place")).alias("end"))))).alias("parts"))
 
 
