@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -52,11 +53,22 @@ def _with_one(x: np.ndarray) -> np.ndarray:
     return np.hstack([x, np.ones((len(x), 1))])
 
 
-def _matrix(features: pd.Series) -> np.ndarray:
+def _matrix(features: pa.ChunkedArray) -> np.ndarray:
     """Rows of features with a one at the end; missing vectors and entries are NaN."""
-    width = max((len(row) for row in features if row is not None), default=0)
-    nothing = np.full(width, np.nan)
-    return _with_one(np.stack([nothing if row is None else np.asarray(row, float) for row in features]))
+    rows = features.combine_chunks()
+    flat = rows.flatten()
+    width = len(flat) // len(rows) if len(rows) else 0
+    if not rows.null_count and not flat.null_count and (np.diff(rows.offsets.to_numpy()) == width).all():
+        return _with_one(flat.to_numpy().astype(float).reshape(len(rows), width))
+    found = rows.to_pylist()
+    width = max((len(row) for row in found if row is not None), default=0)
+    nothing = [np.nan] * width
+    return _with_one(np.array([nothing if row is None else row for row in found], float).reshape(len(found), width))
+
+
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    """A column as doubles, NaN where it is missing."""
+    return column.cast(pa.float64()).to_numpy()
 
 
 def loss_and_slope(x1: np.ndarray, y: np.ndarray, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -272,11 +284,12 @@ def fit_groups(rows: DataFrame, keys: Sequence[str], max_group_values: int = MAX
     parts = split_by_size(rows, on, max(1, max_group_values // widest(rows, "features")))
     schema = T.StructType([*_fields(rows, on), T.StructField("beta", _DOUBLES), T.StructField("status", T.StringType())])
 
-    def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        found = fit_in_memory(_matrix(frame["features"]), frame["label"].to_numpy(float))
-        return pd.DataFrame([[*key, found.beta, found.status]], columns=schema.names)
+    def fit(key: tuple, table: pa.Table) -> pa.Table:
+        found = fit_in_memory(_matrix(table.column("features")), _numbers(table.column("label")))
+        keys_ = {name: table.column(name).slice(0, 1) for name in on}
+        return pa.table({**keys_, "beta": pa.array([found.beta], pa.list_(pa.float64())), "status": [found.status]})
 
-    fitted = parts.small.select(*on, "label", "features").groupBy(*on).applyInPandas(fit, schema)
+    fitted = parts.small.select(*on, "label", "features").groupBy(*on).applyInArrow(fit, schema)
     if parts.large is None:
         return fitted
     zero = F.lit(0).cast("long")
@@ -338,10 +351,10 @@ def walk_forward_predict(
         T.StructField("status", T.StringType()),
     ])
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("unit", kind="stable")
-        units, y = frame["unit"].to_numpy(), frame["label"].to_numpy(float)
-        x1 = _matrix(frame["features"])
+    def run(table: pa.Table) -> pa.Table:
+        units = table.column("unit").to_numpy()
+        order = np.argsort(units, kind="stable")
+        units, y, x1 = units[order], _numbers(table.column("label"))[order], _matrix(table.column("features"))[order]
         starts = np.append(np.unique(units, return_index=True)[1], len(units))
         guess, status, beta = np.full(len(units), np.nan), np.full(len(units), "", object), None
         whole = np.isfinite(x1).all(axis=1)
@@ -355,13 +368,13 @@ def walk_forward_predict(
                 beta = found.beta if found.status == CONVERGED else None
                 guess[test] = np.where(whole[test], x1[test] @ found.beta > 0, np.nan)
         tested = slice(starts[window], starts[-2]) if len(starts) > window + 2 else slice(0, 0)
-        return frame.iloc[tested][[*on, *ids, "unit"]].assign(
-            true_direction=pd.array(y[tested], "Int32"), predicted_direction=pd.array(guess[tested], "Int32"),
-            one_class=status[tested] == ONE_CLASS, status=status[tested]
-        )
+        kept = table.select([*on, *ids, "unit"]).take(pa.array(order[tested]))
+        whole_numbers = [pa.array(values[tested], pa.float64(), from_pandas=True).cast(pa.int32()) for values in (y, guess)]
+        columns = [*kept.columns, *whole_numbers, pa.array(status[tested] == ONE_CLASS), pa.array(status[tested], pa.string())]
+        return pa.table(columns, names=schema.names)
 
     needed = [*on, *ids, F.col("unit").cast("long").alias("unit"), "label", "features"]
-    predicted = parts.small.select(*needed).groupBy(*on).applyInPandas(run, schema)
+    predicted = parts.small.select(*needed).groupBy(*on).applyInArrow(run, schema)
     if parts.large is None:
         return predicted
     return predicted.unionByName(_predict_spread(parts.large.select(*needed), on, list(ids), window))
