@@ -246,7 +246,9 @@ def _chain_steps() -> dict[str, str]:
             FROM (SELECT TRY_CAST(day_text AS DATE) date, ticker, TRY_CAST(prc_text AS DOUBLE) * TRY_CAST(shrout_text AS DOUBLE) cap FROM size_lines)
             WHERE cap IS NOT NULL AND date IS NOT NULL""",
     }
-    return {**first, **changed, **{name: body for name, body in _STEPS.items() if name not in {**first, **changed}}}
+    rest = {name: body for name, body in _STEPS.items() if name not in {**first, **changed}}
+    rest["picks"] = rest["picks"].replace("leg_rank <= 10", "leg_rank <= 3")
+    return {**first, **changed, **rest}
 
 
 def _union(parts: list[str]) -> str:

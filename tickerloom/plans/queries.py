@@ -927,11 +927,12 @@ def universe_panel(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def universe_risk(spark: SparkSession, folder: str) -> DataFrame:
-    """Rule models on the universe, portfolios, costs by the dirty size file, risk table."""
+    """Rule models on the universe, portfolios of three companies a leg (the universe of the smallest tables has four), costs
+    by the dirty size file, risk table."""
     daily = views.panel_daily(spark, folder)
     listed = chain.listed_securities(daily, PERIODS)
     weekly = bars.direction(bars.weekly_bars(universe.keep_listed(daily, listed, "permno")))
-    return rounded(chain.universe_risk(daily, views.rule_votes(weekly), _size_input(spark, folder), listed, PERIODS))
+    return rounded(chain.universe_risk(daily, views.rule_votes(weekly), _size_input(spark, folder), listed, PERIODS, leg_size=3))
 
 
 # ---- one model for all texts -----------------------------------------------------------------------
