@@ -91,9 +91,17 @@ def slot_totals(training: DataFrame) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["slot", "n"])
 
-    sums = training.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    def packed(batches):
+        parts = [(np.asarray(batch.column("slot")), np.asarray(batch.column("n"))) for batch in batches]
+        if parts:
+            slots, n = (np.concatenate(column) for column in zip(*parts))
+            yield pa.RecordBatch.from_arrays([pa.array([_pack(n.astype(np.int64), slots.astype(np.int32))], pa.binary())], ["piece"])
+
+    sums = training.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     total = np.zeros(SLOTS, np.int64)
-    total[sums["slot"].to_numpy(int)] = sums["n"].to_numpy(int)
+    for row in sums.mapInArrow(packed, "piece binary").toLocalIterator():  # arrays, not a million rows, reach the driver
+        n, slots = _unpack(row.piece, np.int64, np.int32)
+        total[slots] = n
     return total
 
 
@@ -114,8 +122,14 @@ def _unpack(piece: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, int)
+    return keys[first], np.diff(np.concatenate([first, [len(keys)]]))
+
+
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, int)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
@@ -149,7 +163,7 @@ def neighbours(training: DataFrame, often: np.ndarray, class_of: np.ndarray, sid
             at = np.arange(len(flat)) + owner + 1
             spread[at] = label[flat]
             keys = np.concatenate([flat * (2 * sides) + spread[at - 1], flat * (2 * sides) + sides + spread[at + 1]])
-            held.append(_summed(keys, np.ones(len(keys), np.int64)))
+            held.append(_counted(keys))
             if sum(len(part[0]) for part in held) > HELD_CELLS:
                 held = [_summed(*(np.concatenate(column) for column in zip(*held)))]
                 if len(held[0][0]) > HELD_CELLS // 2:
@@ -191,8 +205,11 @@ def best_moves(unit: np.ndarray, place: np.ndarray, counts: np.ndarray, label: n
     sizes = table[:, :sides].sum(1)
     own = label[unit]
     n = np.add.reduceat(np.where(place < sides, counts, 0), first)
-    column = table[:, place]
-    joined = np.add.reduceat(_log_sum(column + counts) - _log_sum(column), first, axis=1)
+    # Most cells are one of a few (class, count) pairs: what a pair gains in each class is computed once.
+    pairs, which = np.unique(counts.astype(np.int64) * 256 + place, return_inverse=True)
+    column = table[:, pairs % 256]
+    gained = (_log_sum(column + pairs // 256) - _log_sum(column)).T
+    joined = np.add.reduceat(gained[which], first, axis=0).T
     joined -= 2 * (_log_sum(sizes[:, None] + n) - _log_sum(sizes)[:, None])
     left = table[own, place]
     here = label[unit[first]]
