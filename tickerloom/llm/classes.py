@@ -95,26 +95,30 @@ def slot_totals(training: DataFrame) -> np.ndarray:
         parts = [(np.asarray(batch.column("slot")), np.asarray(batch.column("n"))) for batch in batches]
         if parts:
             slots, n = (np.concatenate(column) for column in zip(*parts))
-            yield pa.RecordBatch.from_arrays([pa.array([_pack(n.astype(np.int64), slots.astype(np.int32))], pa.binary())], ["piece"])
+            yield pa.RecordBatch.from_arrays([pa.array([_pack(_packer(), n.astype(np.int64), slots.astype(np.int32))], pa.binary())], ["piece"])
 
     sums = training.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     total = np.zeros(SLOTS, np.int64)
-    for row in sums.mapInArrow(packed, "piece binary").toLocalIterator():  # arrays, not a million rows, reach the driver
-        n, slots = _unpack(row.piece, np.int64, np.int32)
+    for row in sums.mapInArrow(packed, "piece binary").collect():  # arrays of a fixed size together, not a million rows
+        n, slots = _unpack(_packer(), row.piece, np.int64, np.int32)
         total[slots] = n
     return total
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+def _packer() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=1)
+
+
+def _pack(codec: pa.Codec, *arrays: np.ndarray) -> bytes:
     """Arrays of bytes, shorts or ints as one compressed piece."""
     data = b"".join(array.tobytes() for array in arrays)
-    return len(data).to_bytes(4, "little") + pa.Codec("zstd").compress(data, asbytes=True)
+    return len(data).to_bytes(4, "little") + codec.compress(data, asbytes=True)
 
 
-def _unpack(piece: bytes, *kinds: type) -> list[np.ndarray]:
+def _unpack(codec: pa.Codec, piece: bytes, *kinds: type) -> list[np.ndarray]:
     """The arrays of ``_pack``, all of one length."""
     size = int.from_bytes(piece[:4], "little")
-    data = pa.Codec("zstd").decompress(piece[4:], size, asbytes=True)
+    data = codec.decompress(piece[4:], size, asbytes=True)
     n, at, out = size // sum(np.dtype(kind).itemsize for kind in kinds), 0, []
     for kind in kinds:
         out.append(np.frombuffer(data, kind, n, at))
@@ -129,7 +133,7 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")  # parts are sorted runs, which merge fast
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, int)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
@@ -146,7 +150,8 @@ def neighbours(training: DataFrame, often: np.ndarray, class_of: np.ndarray, sid
         unit, place = keys // (2 * sides), keys % (2 * sides)
         ranges, first = np.unique(unit // RANGE, return_index=True)
         ends = [*first[1:].tolist(), len(keys)]
-        cells = [_pack(counts[a:b].astype(np.uint32), (unit[a:b] % RANGE).astype(np.uint8), place[a:b].astype(np.uint8)) for a, b in zip(first.tolist(), ends)]
+        codec = _packer()
+        cells = [_pack(codec, counts[a:b].astype(np.uint32), (unit[a:b] % RANGE).astype(np.uint8), place[a:b].astype(np.uint8)) for a, b in zip(first.tolist(), ends)]
         return pa.RecordBatch.from_arrays(
             [pa.array(ranges.astype(np.int32)), pa.array(np.full(len(ranges), task, np.int32)), pa.array(cells, pa.binary())], ["range", "task", "cells"])
 
@@ -174,14 +179,15 @@ def neighbours(training: DataFrame, often: np.ndarray, class_of: np.ndarray, sid
 
     def merged(key: tuple, table: pa.Table) -> pa.Table:
         """The cells of a range, added up."""
-        parts = [_unpack(piece.as_py(), np.uint32, np.uint8, np.uint8) for piece in table.column("cells")]
+        codec = _packer()
+        parts = [_unpack(codec, piece.as_py(), np.uint32, np.uint8, np.uint8) for piece in table.column("cells")]
         counts, unit, place = (np.concatenate(column).astype(np.int64) for column in zip(*parts))
         keys, counts = _summed(unit * 256 + place, counts)
         most = np.iinfo(np.uint32).max
         while counts.max(initial=0) > most:      # a larger count travels as several cells
             big = counts > most
             keys, counts = np.concatenate([keys, keys[big]]), np.concatenate([np.where(big, counts - most, counts), np.full(big.sum(), most)])
-        piece = _pack(counts.astype(np.uint32), (keys // 256).astype(np.uint8), (keys % 256).astype(np.uint8))
+        piece = _pack(codec, counts.astype(np.uint32), (keys // 256).astype(np.uint8), (keys % 256).astype(np.uint8))
         return pa.table({"range": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([piece], pa.binary())})
 
     counted = training.select("text").mapInArrow(run, "range int, task int, cells binary")
@@ -226,10 +232,10 @@ def _table(cells: DataFrame, class_of: np.ndarray, sides: int) -> np.ndarray:
     shared = cells.sparkSession.sparkContext.broadcast(class_of)
 
     def run(batches):
-        total = np.zeros((sides, 2 * sides), np.int64)
+        total, codec = np.zeros((sides, 2 * sides), np.int64), _packer()
         for batch in batches:
             for number, piece in zip(batch.column("range").to_pylist(), batch.column("cells")):
-                counts, unit, place = _unpack(piece.as_py(), np.uint32, np.uint8, np.uint8)
+                counts, unit, place = _unpack(codec, piece.as_py(), np.uint32, np.uint8, np.uint8)
                 np.add.at(total, (shared.value[number * RANGE + unit.astype(np.int64)], place), counts.astype(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["t"])
 
@@ -247,11 +253,11 @@ def exchanged(cells: DataFrame, class_of: np.ndarray, sides: int, sweeps: int =
             shared = context.broadcast((class_of, table.astype(float)))
 
             def run(batches, part=part, shared=shared):
-                label, known = shared.value
+                (label, known), codec = shared.value, _packer()
                 for batch in batches:
                     changed, classes, change = [], [], np.zeros((sides, 2 * sides), np.int64)
                     for number, piece in zip(batch.column("range").to_pylist(), batch.column("cells")):
-                        counts, unit, place = (x.astype(np.int64) for x in _unpack(piece.as_py(), np.uint32, np.uint8, np.uint8))
+                        counts, unit, place = (x.astype(np.int64) for x in _unpack(codec, piece.as_py(), np.uint32, np.uint8, np.uint8))
                         mine = np.flatnonzero(unit % PARTS == part)
                         mine = mine[np.argsort(unit[mine], kind="stable")]
                         if not len(mine):
@@ -272,7 +278,8 @@ def exchanged(cells: DataFrame, class_of: np.ndarray, sides: int, sweeps: int =
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in columns] + [pa.array([change.tobytes()], pa.binary())], ["units", "classes", "change"])
 
-            for row in cells.mapInArrow(run, "units binary, classes binary, change binary").toLocalIterator():
+            # Moves of a fixed number of units at most; all tasks at once, where an iterator would run them one by one.
+            for row in cells.mapInArrow(run, "units binary, classes binary, change binary").collect():
                 units = np.frombuffer(row.units, np.int32)
                 class_of[units] = np.frombuffer(row.classes, np.int32)
                 table = table + np.frombuffer(row.change, np.int64).reshape(sides, 2 * sides)
@@ -307,7 +314,7 @@ def blocks(docs: DataFrame, often: np.ndarray) -> DataFrame:
 
     def run(batches):
         part, done, size = TaskContext.get().partitionId() << 32, 0, 0
-        units = Units(shared.value)
+        units, codec = Units(shared.value), _packer()
         numbers: dict[bytes, int] = {}
         totals: list[np.ndarray] = []
 
@@ -336,7 +343,7 @@ def blocks(docs: DataFrame, often: np.ndarray) -> DataFrame:
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, part + done)), batch.column("doc_id"), batch.column("held_out"),
-                 pa.array([_pack(*_planes(row)) for row in rows], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+                 pa.array([_pack(codec, *_planes(row)) for row in rows], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
                  pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], columns)
             if size >= BLOCK_BYTES:
                 yield from vocabulary()
@@ -351,8 +358,8 @@ def _planes(row: np.ndarray) -> list[np.ndarray]:
     return [(row >> shift).astype(np.uint8) for shift in (0, 8, 16, 24)]
 
 
-def _numbers(piece: bytes) -> np.ndarray:
-    planes = _unpack(piece, np.uint8, np.uint8, np.uint8, np.uint8)
+def _numbers(codec: pa.Codec, piece: bytes) -> np.ndarray:
+    planes = _unpack(codec, piece, np.uint8, np.uint8, np.uint8, np.uint8)
     return sum((plane.astype(np.int32) << shift for plane, shift in zip(planes, (0, 8, 16, 24))), np.zeros(len(planes[0]), np.int32))
 
 
@@ -403,7 +410,8 @@ def scores(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
         c, label = np.zeros(len(number), np.int64), np.zeros(len(number), np.int8)
         c[number], label[number] = np.asarray(right.column("c")), shared_classes.value[np.asarray(right.column("unit"))]
         logs = np.log10(c + 1.0)
-        rows = [_numbers(piece.as_py()) for piece in left.column("words")]
+        codec = _packer()
+        rows = [_numbers(codec, piece.as_py()) for piece in left.column("words")]
         lengths = np.array([len(row) for row in rows])
         flat = np.concatenate([np.empty(0, np.int32), *rows])
         owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
