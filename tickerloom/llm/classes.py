@@ -62,7 +62,7 @@ class Model(NamedTuple):
 class Units(dict):
     """Slot of each word (bytes), or its unit if ``often`` tells which slots are units; remembered up to a bound of entries."""
 
-    LIMIT = 100_000
+    LIMIT = 400_000
 
     def __init__(self, often: np.ndarray | None = None):
         self.often = often
