@@ -47,7 +47,7 @@ PARTS = 4              # of the units, moved one after the other
 RANGE = 256            # neighbouring units whose counts travel as one row
 MERGED = 256           # tasks whose rows are merged at once
 HELD_CELLS = 2_000_000
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 24 << 20
 SLOTS = 1 << SLOT_BITS
 UNITS = SLOTS + ENDINGS
 
@@ -305,16 +305,15 @@ def cluster(training: DataFrame, often: np.ndarray, totals: np.ndarray, classes:
     return class_of
 
 
-def blocks(docs: DataFrame, often: np.ndarray) -> DataFrame:
-    """Rows of documents (doc_id, held_out, words: numbers in the block, packed) and of words (number, word, unit, n) by block."""
+def blocks(docs: DataFrame) -> DataFrame:
+    """Rows of documents (doc_id, held_out, words: numbers in the block, packed) and of words (number, word, n) by block."""
     kind = docs.schema["doc_id"].dataType
-    schema = f"block long, doc_id {kind.simpleString()}, held_out boolean, words binary, number int, word binary, unit int, n long"
-    columns = ["block", "doc_id", "held_out", "words", "number", "word", "unit", "n"]
-    shared = docs.sparkSession.sparkContext.broadcast(often)
+    schema = f"block long, doc_id {kind.simpleString()}, held_out boolean, words binary, number int, word binary, n long"
+    columns = ["block", "doc_id", "held_out", "words", "number", "word", "n"]
 
     def run(batches):
         part, done, size = TaskContext.get().partitionId() << 32, 0, 0
-        units, codec = Units(shared.value), _packer()
+        codec = _packer()
         numbers: dict[bytes, int] = {}
         totals: list[np.ndarray] = []
 
@@ -327,7 +326,7 @@ def blocks(docs: DataFrame, often: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(stop - start, part + done)), pa.nulls(stop - start, id_type), pa.nulls(stop - start, pa.bool_()),
                      pa.nulls(stop - start, pa.binary()), pa.array(np.arange(start, stop, dtype=np.int32)),
-                     pa.array(words[start:stop], pa.binary()), pa.array(units.of(words[start:stop]).astype(np.int32)), pa.array(n[start:stop])], columns)
+                     pa.array(words[start:stop], pa.binary()), pa.array(n[start:stop])], columns)
 
         id_type = pa.int64()
         for batch in common.slices(batches):
@@ -344,7 +343,7 @@ def blocks(docs: DataFrame, often: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, part + done)), batch.column("doc_id"), batch.column("held_out"),
                  pa.array([_pack(codec, *_planes(row)) for row in rows], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
-                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], columns)
+                 pa.nulls(n, pa.int64())], columns)
             if size >= BLOCK_BYTES:
                 yield from vocabulary()
                 numbers, totals, size, done = {}, [], 0, done + 1
@@ -392,14 +391,14 @@ def scores(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
     often = totals >= LEAST
     class_of = cluster(texts.where("not held_out"), often, totals, classes)
 
-    both = blocks(texts, often)
+    both = blocks(texts)
     numbered = both.where("word is null").select("block", "doc_id", "held_out", "words")
-    vocabulary = both.where("word is not null").select("block", "number", "word", "unit", "n")
-    counts = pin(vocabulary.groupBy("word").agg(F.sum("n").alias("c"), F.min("unit").alias("unit")), "counts")
+    vocabulary = both.where("word is not null").select("block", "number", "word", "n")
+    counts = pin(_with_units(vocabulary.groupBy("word").agg(F.sum("n").alias("c")), often), "counts")
     known = counts.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
     ends = numbered.where("not held_out").count()
     train_tokens, distinct = (known.n or 0) + ends, (known.v or 0) + (ends > 0)
-    located = vocabulary.select("block", "number", "word", "unit").join(counts.select("word", "c"), "word").select(
+    located = vocabulary.select("block", "number", "word").join(counts, "word").select(
         F.col("block").alias("part"), "number", "c", "unit")
 
     shared_classes = spark.sparkContext.broadcast(class_of)
@@ -455,6 +454,19 @@ def scores(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
         "score")
 
 
+def _with_units(counts: DataFrame, often: np.ndarray) -> DataFrame:
+    """(word, c, unit) of a table of words and counts."""
+    shared = counts.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches):
+        units = Units(shared.value)
+        for batch in batches:
+            found = units.of(batch.column("word").to_pylist()).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(found)], ["word", "c", "unit"])
+
+    return counts.mapInArrow(run, "word binary, c long, unit int")
+
+
 def _class_sizes(counts: DataFrame, class_of: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     """Training tokens and distinct training words of each class."""
     shared = counts.sparkSession.sparkContext.broadcast(class_of)
