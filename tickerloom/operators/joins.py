@@ -7,18 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.session import pin
-
 
 def left_join_split(left: DataFrame, right: DataFrame, on: Sequence[str], null_safe: bool = False) -> DataFrame:
     """Left join on columns of the same name; unmatched rows get nulls.  ``null_safe``: null keys match.
 
     Adaptive execution may split a key with very many rows on either side of an inner join, but not on the
     right side of a left join.  So this is the inner join, plus the left rows whose key the right side
-    lacks; that anti join sees one row per key of the right side.  The right side is written once and read
-    for both; both joins shuffle the left side in the same way, so that exchange is shared.
+    lacks; that anti join sees one row per key of the right side.  Both joins shuffle the left side in the
+    same way, so that exchange is shared; the right side is read again for its keys, so a caller whose right
+    side is dear passes a pinned table.
     """
-    renamed = pin(right.withColumnsRenamed({name: f"_{name}" for name in on}), "right-side")
+    renamed = right.withColumnsRenamed({name: f"_{name}" for name in on})
 
     def same(other: DataFrame) -> list[Column]:
         pairs = [(left[name], other[f"_{name}"]) for name in on]
