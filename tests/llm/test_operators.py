@@ -367,6 +367,21 @@ def test_items_with_dropped_and_inserted_words_are_found():
             assert found[place, place] == min(row)
 
 
+def test_leaks_beside_windows_with_more_pairs_are_found():
+    """Swapped halves hold more word pairs than a run at the limit, and a one-word item may stand anywhere."""
+    items = [(i, prose(20 + i % 7, 12_000 + i).encode()) for i in range(20)] + [(20, b"single")]
+    index = decontaminate.Index(items, 0.8)
+    documents, single = [], index.items[20]
+    for item in index.items[:20]:
+        half, edited = len(item) // 2, list(item)
+        for k in range(decontaminate.allowed(len(item), 0.8)):
+            edited[2 + 4 * k] = 0
+        swapped = [*item[half:], *item[:half]]
+        documents.append(np.array([*swapped, *[0] * 40, *edited, *[0] * 40, *swapped, *[0] * 40, *swapped, 0, *single, 0, 0], np.int64))
+    found = {(place, item) for place, item, _, _ in index.matches(documents, 0.8)}
+    assert found >= {(i, i) for i in range(20)} | {(i, 20) for i in range(20)}
+
+
 def test_sentence_spans(spark, docs, rows):
     unique = sorted({(d is None, d or 0, t or "") for d, t, *_ in rows})
     keyed = {}

@@ -5,10 +5,10 @@ edits of it; a document shorter than the item can be such a run.  Three steps fi
 
 1. The q-gram lemma, without loss: such a run keeps at least n - 1 - 2 edits of the n - 1 word pairs of the item and
    lies in a window of n + edits words, so wider windows with fewer pairs of the item are out.
-2. Item-sized windows (n words, and up to the edits fewer or more) with most of the pairs and the items take the CGK random
+2. All item-sized windows (n words, and up to the edits fewer or more) with these pairs and the items take the CGK random
    walk (a random bit of step and word decides whether to move on), which turns edits into differing places; repeated
    sampling of places gives the keys under which windows must meet items.  There are so many tables that a pair at the
-   limit is met with probability TARGET_RECALL; tests measure it on edited passages.
+   limit is met with probability TARGET_RECALL; tests measure it on edited passages.  Pairs that have met leave the walks.
 3. The distance with free ends is computed exactly in all windows of the first step, for the pairs that have met.
 
 Words are runs without ASCII white space or punctuation, A-Z lower-cased.  Null and empty texts and items have no
@@ -38,6 +38,7 @@ TABLES_PER_WALK = 2
 BLOCK_WORDS = 1_000_000  # words of items in one broadcast
 PAIR_BITS = 20
 RUN = 13
+WINDOWS_AT_ONCE = 4096
 
 _CLEAN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in bytes(range(256)).lower())
 assert len(_CLEAN) == 256 and set(string.punctuation.encode()).isdisjoint(_CLEAN)
@@ -112,17 +113,17 @@ def walk(rows: np.ndarray, seed: int) -> np.ndarray:
     return seen
 
 
-def keys(rows: np.ndarray, lengths: np.ndarray, n_tables: int, seed: int = 5):
-    """For each table the keys of all rows: sampled places of the walk, within the steps that the length needs."""
+def walk_keys(rows: np.ndarray, lengths: np.ndarray, n_tables: int, first: int, seed: int = 5):
+    """(table, keys of all rows) for the tables of the walk that begins with table ``first``: sampled places of the walk,
+    within the steps that the length needs."""
     places = np.random.default_rng(seed).random((n_tables, SAMPLED))
-    for table in range(n_tables):
-        if table % TABLES_PER_WALK == 0:
-            seen = walk(rows, seed + table)
+    seen = walk(rows, seed + first)
+    for table in range(first, min(first + TABLES_PER_WALK, n_tables)):
         key = lengths.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(table)
         for place in places[table]:
             symbol = seen[np.arange(len(rows)), (place * 2 * lengths).astype(np.int64)]
             key = common.mixed(key + symbol.astype(np.uint64))
-        yield key
+        yield table, key
 
 
 class Index:
@@ -151,8 +152,10 @@ class Index:
         rows = np.zeros((len(self.items), self.width), np.int64)
         for row, item in zip(rows, self.items):
             row[:len(item)] = item
+        self._known_ends: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.n_tables = tables()
-        self.tables = [(np.sort(key), np.argsort(key, kind="stable")) for key in keys(rows, self.lengths, self.n_tables)]
+        self.tables = [(np.sort(key), np.argsort(key, kind="stable")) for first in range(0, self.n_tables, TABLES_PER_WALK)
+                       for _, key in walk_keys(rows, self.lengths, self.n_tables, first)]
 
     @staticmethod
     def pair_slots(ids: np.ndarray) -> np.ndarray:
@@ -215,29 +218,74 @@ class Index:
                 best = found[0], first + found[1], found[2]
         return best
 
-    def _item_sized(self, item: int, sums: np.ndarray) -> list[tuple[int, int]]:
-        """(first word, words) of the windows that hold most pairs of the item: as long as the item, and shorter and longer
-        by its edits; the first, the middle and the last of equal ones."""
-        n, edits = int(self.lengths[item]), int(self.edits[item])
-        found = set()
-        for size in {min(len(sums), max(1, n + change)) for change in (-edits, -edits // 2, 0, edits // 2, edits)}:
-            held = sums[size - 1:] - sums[:len(sums) - size + 1]
-            best = np.flatnonzero(held == held.max())
-            found |= {(int(best[i]), size) for i in (0, len(best) // 2, -1)}
-        return sorted(found)
+    def _ends(self, item: int) -> tuple[np.ndarray, np.ndarray]:
+        """For every word number the words of the item before its first place, and those behind its last (a lot if it has none)."""
+        if item not in self._known_ends:
+            words = np.array(self.items[item])
+            before, behind = (np.full(len(self.vocabulary) + 1, 1 << 30) for _ in range(2))
+            before[words[::-1]] = np.arange(len(words))[::-1]
+            behind[words] = np.arange(len(words))[::-1]
+            self._known_ends = {item: (before, behind)}  # pairs come by item
+        return self._known_ends[item]
+
+    def _item_sized(self, words: np.ndarray, item: int, sums: np.ndarray):
+        """Rows (padded with 0) of the windows that may be within the edits: all windows as long as the item, and shorter and
+        longer by up to its edits, but for those that the ends rule out; of equal windows one.
+
+        Some nearest run begins and ends with words that it shares with the item, for an odd word at an end can go at no
+        cost.  The words of the item before the first one and behind the last one are then edits, and so is what the run is
+        longer than the rest of the item; each of these edits costs one word pair, any other one at most two.
+        """
+        n, edits, needed = int(self.lengths[item]), int(self.edits[item]), int(self.needed[item])
+        before, behind = (ends[words] for ends in self._ends(item))
+        first_words = np.flatnonzero(before <= edits)
+        for size in range(max(1, n - edits), min(len(sums), n + edits) + 1):
+            starts = first_words[:np.searchsorted(first_words, len(sums) - size, "right")]
+            cut = before[starts] + behind[starts + size - 1]
+            starts = starts[(cut + np.maximum(0, size - n + cut) <= edits) & (sums[starts + size - 1] - sums[starts] >= needed + (cut if needed else 0))]
+            for i in range(0, len(starts), WINDOWS_AT_ONCE):
+                rows = np.zeros((len(starts[i:i + WINDOWS_AT_ONCE]), self.width), np.int64)
+                rows[:, :size] = words[starts[i:i + WINDOWS_AT_ONCE, None] + np.arange(size)]
+                if len(rows):
+                    yield np.unique(rows, axis=0) if len(rows) > 64 else rows
+
+    def _meet(self, rows: np.ndarray, owner: np.ndarray, items: np.ndarray, found: set[tuple[int, int]]) -> None:
+        """Add the (document, item) pairs of which a window and the item have a key in common in some table to ``found``."""
+        for first in range(0, self.n_tables, TABLES_PER_WALK):
+            if first:
+                left = np.array([pair not in found for pair in zip(owner.tolist(), items.tolist())], bool)
+                rows, owner, items = rows[left], owner[left], items[left]
+            if not len(rows):
+                return
+            rows = rows[:, :int((self.lengths + self.edits)[items].max())]
+            for table, key in walk_keys(rows, self.lengths[items], self.n_tables, first):
+                sorted_keys, order = self.tables[table]
+                low, high = np.searchsorted(sorted_keys, key, "left"), np.searchsorted(sorted_keys, key, "right")
+                for window in np.flatnonzero(high > low).tolist():
+                    found.update((int(owner[window]), item) for item in order[low[window]:high[window]].tolist())
 
     def met(self, documents: list[np.ndarray], pairs: dict[tuple[int, int], np.ndarray]) -> set[tuple[int, int]]:
         """The (document, item) pairs of which an item-sized window and the item have a key in common in some table."""
-        chosen = [(place, item, first, size) for (place, item), sums in pairs.items() for first, size in self._item_sized(item, sums)]
-        rows = np.zeros((len(chosen), self.width), np.int64)
-        for row, (place, _, first, size) in zip(rows, chosen):
-            row[:size] = documents[place][first:first + size]
-        owner, items = (np.array([window[k] for window in chosen], np.int64) for k in (0, 1))
         found: set[tuple[int, int]] = set()
-        for (sorted_keys, order), key in zip(self.tables, keys(rows, self.lengths[items], self.n_tables)):
-            low, high = np.searchsorted(sorted_keys, key, "left"), np.searchsorted(sorted_keys, key, "right")
-            for window in np.flatnonzero(high > low).tolist():
-                found.update((int(owner[window]), item) for item in order[low[window]:high[window]].tolist())
+        waiting: list[tuple[np.ndarray, int, int]] = []
+
+        def flush() -> None:
+            owner, items = (np.concatenate([np.full(len(rows), at[k]) for rows, *at in waiting]) for k in (0, 1))
+            self._meet(np.concatenate([rows for rows, *_ in waiting]), owner, items, found)
+            waiting.clear()
+
+        n_rows = 0
+        for (place, item), sums in sorted(pairs.items(), key=lambda pair: (self.lengths[pair[0][1]], pair[0][1], pair[0][0])):
+            for rows in self._item_sized(documents[place], item, sums):
+                if (place, item) in found:
+                    break
+                waiting.append((rows, place, item))
+                n_rows += len(rows)
+                if n_rows >= WINDOWS_AT_ONCE:
+                    flush()
+                    n_rows = 0
+        if waiting:
+            flush()
         return found & pairs.keys()
 
     def matches(self, documents: list[np.ndarray], similarity: float) -> list[tuple[int, int, int, int]]:
