@@ -156,6 +156,37 @@ def test_training_follows_one_rule_at_every_size(spark, shards):
     assert trainer.predict_groups(rows, result, ["permco", "model"]).count() == 450
 
 
+def test_shards_trained_together_are_trained_as_alone():
+    rng = np.random.default_rng(4)
+    counts = np.array([1, 8, 21, 3, 16, 40])
+    x1 = np.hstack([rng.normal(size=(counts.sum(), 5)), np.ones((counts.sum(), 1))])
+    y, start = rng.integers(0, 2, counts.sum()), rng.normal(size=(len(counts), 2, 6))
+    weights, losses = trainer._together(x1, y, counts, start, 8, 0.5)
+    for i, end in enumerate(np.cumsum(counts).tolist()):
+        alone = trainer._Shard(start[i], 8, 0.5)
+        alone.take(x1[end - counts[i]:end], y[end - counts[i]:end], last=True)
+        np.testing.assert_allclose(weights[i], alone.weights, rtol=1e-12)
+        np.testing.assert_allclose(losses[i], alone.losses, rtol=1e-12)
+
+
+def test_passes_do_not_depend_on_arrow_batches(spark):
+    rows = spark.range(400).select(
+        (F.col("id") % 7).alias("permco"), "id", (F.xxhash64("id") % 2 != 0).cast("int").alias("label"),
+        F.array(F.sin("id"), F.cos(F.col("id") * 3)).alias("features"))
+    found, name = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    for size in ("3", "10000"):
+        spark.conf.set(name, size)
+        training = trainer.train_groups(rows, ["permco"], ["id"])
+        found.append([{tuple(row[:2]): row.weights for row in training.weights.collect()},
+                      {tuple(row[:4]): row.loss for row in training.log.select("permco", "epoch", "shard", "step", "loss").collect()}])
+    spark.conf.set(name, before)
+    for small, large in zip(*found):
+        assert small.keys() == large.keys()
+        for key in small:
+            np.testing.assert_allclose(small[key], large[key], rtol=1e-9)
+
+
 def test_user_encoder_equals_hashed_vectors(spark):
     frame = spark.createDataFrame([(1, "Profit rises, profit falls"), (2, "merger talks"), (3, ""), (4, None)], "doc long, body string")
     ours = {r.doc: r.embedding for r in hashed_dense(frame, "body", "doc", 64).collect()}

@@ -12,12 +12,14 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tickerloom.functions.numbers import argmax, dot
 from tickerloom.params import EPOCHS, TRAIN_BATCH
@@ -54,10 +56,10 @@ class _Shard:
         self.x, self.y = np.empty((0, self.weights.shape[1])), np.empty(0, int)
         self.rows, self.steps, self.losses = 0, 0, []
 
-    def take(self, features: list, labels: np.ndarray, last: bool = False) -> None:
+    def take(self, x1: np.ndarray, labels: np.ndarray, last: bool = False) -> None:
+        """Rows that end in a one."""
         if len(labels):
-            x = np.stack(features)
-            self.x = np.vstack([self.x, np.hstack([x, np.ones((len(x), 1))])])
+            self.x = np.vstack([self.x, x1])
             self.y = np.concatenate([self.y, labels.astype(int)])
             self.rows += len(labels)
         while len(self.y) >= self.batch or last and len(self.y):
@@ -71,6 +73,54 @@ class _Shard:
         return [first, losses]
 
 
+def _together(
+    x1: np.ndarray, y: np.ndarray, counts: np.ndarray, weights: np.ndarray, batch: int, rate: float
+) -> tuple[np.ndarray, list[np.ndarray]]:
+    """One pass of many shards of one width, whose rows stand one after the other: every step is taken for all shards at once.
+
+    Weights (shards x 2 x (width + 1)) after the pass, and the losses of the steps of each shard.
+    """
+    weights, starts, steps = weights.copy(), np.cumsum(counts) - counts, -(-counts // batch)
+    losses = np.zeros((len(counts), int(steps.max(initial=0))))
+    places = np.arange(min(batch, int(counts.max(initial=0))))
+    for step in range(losses.shape[1]):
+        going = np.flatnonzero(steps > step)
+        there = step * batch + places < counts[going, None]
+        rows = np.where(there, starts[going, None] + step * batch + places, 0)
+        x, n = x1[rows], there.sum(axis=1)
+        scores = x @ weights[going].transpose(0, 2, 1)
+        scores -= scores.max(axis=2, keepdims=True)
+        chance = np.exp(scores)
+        chance /= chance.sum(axis=2, keepdims=True)
+        truth = y[rows][:, :, None] == np.arange(2)
+        log = np.log(np.maximum(np.where(truth, chance, 0.0).sum(axis=2), 1e-300))
+        losses[going, step] = -np.where(there, log, 0.0).sum(axis=1) / n
+        miss = np.where(there[:, :, None], chance - truth, 0.0)
+        weights[going] -= rate * (miss.transpose(0, 2, 1) @ x) / n[:, None, None]
+    return weights, [found[:n] for found, n in zip(losses, steps.tolist())]
+
+
+class _Batch:
+    """An Arrow batch of starting weights (``is_row`` 0) and the rows that follow them."""
+
+    def __init__(self, table: pa.RecordBatch):
+        features = table.column("features")
+        self.flat = features.flatten().to_numpy(zero_copy_only=False)
+        self.sizes = pc.list_value_length(features).to_numpy(zero_copy_only=False)
+        self.at = np.cumsum(self.sizes) - self.sizes
+        self.labels = table.column("label").to_numpy(zero_copy_only=False)
+        self.heads = np.flatnonzero(table.column("is_row").to_numpy(zero_copy_only=False) == 0)
+
+    def weights(self, head: int) -> np.ndarray:
+        return self.flat[self.at[head]:self.at[head] + self.sizes[head]]
+
+    def rows(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """The feature rows with a one at the end."""
+        if (self.sizes[rows] != width).any():
+            raise ValueError("features of one group differ in length")
+        return np.hstack([self.flat[self.at[rows][:, None] + np.arange(width)], np.ones((len(rows), 1))])
+
+
 def train_groups(
     rows: DataFrame, keys: Sequence[str], ids: Sequence[str], epochs: int = EPOCHS, batch: int = TRAIN_BATCH,
     rate: float = RATE, shards: int = SHARDS, mix: Column | None = None, turn: Callable[[int], Column] | None = None,
@@ -92,33 +142,51 @@ def train_groups(
         T.StructField("first_step", T.LongType()), T.StructField("losses", T.ArrayType(T.DoubleType())),
     ])
 
+    out_type = to_arrow_schema(schema)
+
     def one_pass(epoch: int):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            key, shard, out = None, None, []
-
-            def close() -> None:
-                if shard is not None:
-                    shard.take([], np.empty(0, int), last=True)
-                    out.append([*key, epoch, shard.rows, shard.weights.ravel(), *shard.logged()])
-
-            for frame in frames:
-                starts = np.append(np.flatnonzero(frame["is_row"].to_numpy() == 0), len(frame))
-                for begin, end in zip([0, *starts], [*starts]):
-                    part = frame.iloc[begin:end]
-                    if not len(part):
-                        continue
-                    if part["is_row"].iloc[0] == 0:
-                        close()
-                        key = [*part[on].iloc[0], int(part["shard"].iloc[0])]
-                        shard = _Shard(part["features"].iloc[0], batch, rate)
-                        part = part.iloc[1:]
-                    shard.take(part["features"].tolist(), part["label"].to_numpy())
-                if shard is not None and len(shard.losses) >= LOG_STEPS:
-                    out.append([*key, epoch, 0, None, *shard.logged()])
-                yield pd.DataFrame(out, columns=schema.names)
-                out.clear()
-            close()
-            yield pd.DataFrame(out, columns=schema.names)
+        def made(keys_: pa.RecordBatch, rows: list, weights: list, first: list, losses: list) -> pa.RecordBatch:
+            n = len(rows)
+            columns = [*[keys_.column(name) for name in [*on, "shard"]], [epoch] * n, rows, weights, first, losses]
+            return pa.RecordBatch.from_arrays([pa.array(column, field.type) if isinstance(column, list) else column.cast(field.type)
+                                               for column, field in zip(columns, out_type)], schema=out_type)
+
+        def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, shard = None, None  # the shard that the batch before left open
+
+            def closed() -> pa.RecordBatch:
+                shard.take(shard.x[:0], np.empty(0, int), last=True)
+                first, losses = shard.logged()
+                return made(key, [shard.rows], [shard.weights.ravel()], [first], [losses])
+
+            for table in tables:
+                if not table.num_rows:
+                    continue
+                found = _Batch(table)
+                ends = np.append(found.heads, table.num_rows)
+                if ends[0]:
+                    shard.take(found.rows(np.arange(ends[0]), shard.weights.shape[1] - 1), found.labels[:ends[0]])
+                if len(found.heads):
+                    if shard is not None:
+                        yield closed()
+                    whole = found.heads[:-1]
+                    widths = found.sizes[whole] // 2 - 1
+                    for width in np.unique(widths).tolist():
+                        chosen = np.flatnonzero(widths == width)
+                        counts = ends[chosen + 1] - ends[chosen] - 1
+                        rows = np.concatenate([np.arange(ends[i] + 1, ends[i + 1]) for i in chosen.tolist()])
+                        start = np.stack([found.weights(head) for head in whole[chosen]]).reshape(len(chosen), 2, width + 1)
+                        after, losses = _together(found.rows(rows, width), found.labels[rows].astype(int), counts, start, batch, rate)
+                        yield made(table.take(pa.array(whole[chosen])), counts.tolist(), list(after.reshape(len(chosen), -1)), [0] * len(chosen), losses)
+                    last = int(found.heads[-1])
+                    key, shard = table.slice(last, 1), _Shard(found.weights(last), batch, rate)
+                    rows = np.arange(last + 1, table.num_rows)
+                    shard.take(found.rows(rows, shard.weights.shape[1] - 1), found.labels[rows])
+                if len(shard.losses) >= LOG_STEPS:
+                    first, losses = shard.logged()
+                    yield made(key, [0], [None], [first], [losses])
+            if shard is not None:
+                yield closed()
 
         return run
 
@@ -129,7 +197,7 @@ def train_groups(
         order = turn(epoch).alias("turn")
         turns = ready.select(*on, "shard", F.lit(1).alias("is_row"), order, "mix", "label", F.col("features").cast("array<double>").alias("features"))
         feed = first.unionByName(turns).repartition(*on, "shard").sortWithinPartitions(*on, "shard", "is_row", "turn", "mix")
-        done = pin(feed.mapInPandas(one_pass(epoch), schema), "passes")
+        done = pin(feed.mapInArrow(one_pass(epoch), schema), "passes")
         average = vector_to_array(Summarizer.mean(array_to_vector(F.col("weights")), F.col("n_rows").cast("double")))
         mean = done.where("weights is not null").groupBy(*on, "epoch").agg(average.alias("weights"))
         weights = mean if weights is None else weights.unionByName(mean)
