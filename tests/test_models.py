@@ -156,6 +156,19 @@ def test_training_follows_one_rule_at_every_size(spark, shards):
     assert trainer.predict_groups(rows, result, ["permco", "model"]).count() == 450
 
 
+def test_folds_fitted_together_are_fitted_as_alone():
+    rng = np.random.default_rng(8)
+    x1 = np.hstack([rng.normal(size=(300, 6)), np.ones((300, 1))])
+    y = (x1[:, 0] + rng.normal(size=300) > 0).astype(float)
+    y[100:130], x1[250, 2] = 1.0, np.nan
+    spans = [(0, 60), (20, 120), (100, 130), (150, 158), (200, 260), (130, 250), (0, 250)]
+    for (start, stop), found in zip(spans, logistic.fit_spans(x1, y, spans)):
+        alone = logistic.fit_in_memory(x1[start:stop], y[start:stop])
+        assert found.status == alone.status
+        if alone.beta is not None:
+            np.testing.assert_allclose(found.beta, alone.beta, rtol=1e-6, atol=1e-8)
+
+
 def test_shards_trained_together_are_trained_as_alone():
     rng = np.random.default_rng(4)
     counts = np.array([1, 8, 21, 3, 16, 40])

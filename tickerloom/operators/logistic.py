@@ -37,6 +37,7 @@ MAX_QUASI_STEPS = 400
 NEWTON_WIDTH = 64
 MEMORY = 12
 BLOCK_VALUES = 65_536
+SPAN_VALUES = 500_000  # padded feature values of the folds of a group that are fitted together
 _DOUBLES = T.ArrayType(T.DoubleType())
 
 CONVERGED, ONE_CLASS, MISSING, NOT_CONVERGED = "converged", "one_class", "missing_values", "not_converged"
@@ -162,6 +163,71 @@ def fit_in_memory(x1: np.ndarray, y: np.ndarray, start: np.ndarray | None = None
     return Fit(state.base, NOT_CONVERGED)
 
 
+def fit_spans(x1: np.ndarray, y: np.ndarray, spans: Sequence[tuple[int, int]], penalty: float = PENALTY) -> list[Fit]:
+    """The fits of several ranges of rows that end in a one: each step of Newton's method is taken for many ranges at once,
+    up to ``SPAN_VALUES`` feature values of them."""
+    whole = np.isfinite(x1).all(axis=1) & np.isfinite(y)
+    found: list[Fit | None] = [None] * len(spans)
+    for i, (start, stop) in enumerate(spans):
+        if not whole[start:stop].all():
+            found[i] = Fit(None, MISSING)
+        elif y[start:stop].min() == y[start:stop].max():
+            found[i] = Fit(None, ONE_CLASS)
+    left = sorted((i for i in range(len(spans)) if found[i] is None), key=lambda i: spans[i][1] - spans[i][0])
+    while left:
+        longest = max(1, spans[left[-1]][1] - spans[left[-1]][0])
+        chosen = [left.pop() for _ in range(min(len(left), max(1, SPAN_VALUES // (longest * x1.shape[1]))))]
+        for i, fit in zip(chosen, _fit_together(x1, y, np.array([spans[i] for i in chosen]), penalty)):
+            found[i] = fit
+    return found
+
+
+def _fit_together(x1: np.ndarray, y: np.ndarray, spans: np.ndarray, penalty: float) -> list[Fit]:
+    """``Descent`` with Newton's step for several problems of similar length, padded with rows of weight zero."""
+    n_rows = spans[:, 1] - spans[:, 0]
+    places = np.arange(n_rows.max())
+    there = places < n_rows[:, None]
+    rows = np.where(there, spans[:, :1] + places, 0)
+    x, truth = np.where(there[:, :, None], x1[rows], 0.0), y[rows]
+    n, width = len(spans), x1.shape[1]
+    ridge = np.full(width, penalty)
+    ridge[-1] = 0.0
+    beta, base, step = np.zeros((n, width)), np.zeros((n, width)), np.zeros((n, width))
+    value, scale, done, begun = np.full(n, np.inf), np.ones(n), np.zeros(n, bool), np.zeros(n, bool)
+    every = np.arange(n)  # problems that go on; x, truth and there hold their rows
+    for _ in range(MAX_STEPS):
+        point = beta[every]
+        margin = (x @ point[:, :, None])[:, :, 0]
+        chance = 0.5 * (1.0 + np.tanh(0.5 * margin))
+        loss = np.where(there, np.logaddexp(0.0, margin) - truth * margin, 0.0).sum(axis=1) + 0.5 * (ridge * point**2).sum(axis=1)
+        slope = (x.transpose(0, 2, 1) @ np.where(there, chance - truth, 0.0)[:, :, None])[:, :, 0] + ridge * point
+        last = value[every]
+        with np.errstate(invalid="ignore"):
+            back = ~(loss <= last + 1e-12 * np.abs(last)) & (scale[every] > 1e-9) & begun[every]
+        worse = every[back]
+        scale[worse] /= 2.0
+        beta[worse] = base[worse] + scale[worse, None] * step[worse]
+        taken = every[~back]
+        base[taken], value[taken], scale[taken], begun[taken] = point[~back], loss[~back], 1.0, True
+        ended = ~back & (np.abs(slope).max(axis=1) <= TOLERANCE * np.maximum(1, n_rows[every]))
+        done[every[ended]] = True
+        on = ~back & ~ended
+        moved = every[on]
+        if len(moved):
+            inner = x[on] * (chance * (1.0 - chance))[on][:, :, None]
+            curvature = inner.transpose(0, 2, 1) @ x[on] + np.diag(ridge) + 1e-12 * np.eye(width)
+            try:
+                step[moved] = -np.linalg.solve(curvature, slope[on][:, :, None])[:, :, 0]
+            except np.linalg.LinAlgError:
+                step[moved] = [-_solved(a, b) for a, b in zip(curvature, slope[on])]
+            beta[moved] = base[moved] + step[moved]
+        if ended.any():
+            every, x, truth, there = (part[~ended] for part in (every, x, truth, there))
+            if not len(every):
+                break
+    return [Fit(b, CONVERGED if d else NOT_CONVERGED) for b, d in zip(base, done.tolist())]
+
+
 def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
     return [df.schema[name] for name in names]
 
@@ -356,16 +422,14 @@ def walk_forward_predict(
         order = np.argsort(units, kind="stable")
         units, y, x1 = units[order], _numbers(table.column("label"))[order], _matrix(table.column("features"))[order]
         starts = np.append(np.unique(units, return_index=True)[1], len(units))
-        guess, status, beta = np.full(len(units), np.nan), np.full(len(units), "", object), None
-        whole = np.isfinite(x1).all(axis=1)
-        for i in range(window, len(starts) - 2):
-            train, test = slice(starts[i - window], starts[i]), slice(starts[i], starts[i + 1])
-            found = fit_in_memory(x1[train], y[train], beta)
+        guess, status = np.full(len(units), np.nan), np.full(len(units), "", object)
+        whole, folds = np.isfinite(x1).all(axis=1), range(window, len(starts) - 2)
+        for i, found in zip(folds, fit_spans(x1, y, [(starts[i - window], starts[i]) for i in folds])):
+            test = slice(starts[i], starts[i + 1])
             status[test] = found.status
             if found.status == ONE_CLASS:
-                guess[test] = y[train][0]
+                guess[test] = y[starts[i - window]]
             elif found.beta is not None:
-                beta = found.beta if found.status == CONVERGED else None
                 guess[test] = np.where(whole[test], x1[test] @ found.beta > 0, np.nan)
         tested = slice(starts[window], starts[-2]) if len(starts) > window + 2 else slice(0, 0)
         kept = table.select([*on, *ids, "unit"]).take(pa.array(order[tested]))
