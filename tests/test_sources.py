@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickerloom import session
 from tickerloom.session import scratch_path, scratch_root
 from tickerloom.sources import delimited, layouts, tables
 from tickerloom.sources.layouts import HIVE_LAYOUT
@@ -115,3 +116,18 @@ def test_manifest_opens_only_what_is_asked_for(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == [(7, "bert", "A", 1), (8, "org/fin bert", "B", 2)]
     nothing = layouts.read_manifest(manifest.where("permco = 1"), schema)
     assert nothing.count() == 0 and nothing.columns == ["permco", "model", "ticker", "hit"]
+
+
+def test_shuffle_partitions_follow_the_stored_size(spark, tmp_path):
+    path, name = str(tmp_path / "t.parquet"), "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    task = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(task)
+    spark.range(20_000).write.parquet(path)
+    size = sum(file.stat().st_size for file in (tmp_path / "t.parquet").glob("*.parquet"))
+    try:
+        assert session.spread_for(spark, path) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert session.spread_for(spark, path, size // 50) >= 50 and int(spark.conf.get(name)) >= 50
+        assert session.spread_for(spark, path) >= 50  # never fewer again
+    finally:
+        spark.conf.unset(name)
+        spark.conf.set(task, before)
