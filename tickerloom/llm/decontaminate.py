@@ -248,6 +248,12 @@ class Index:
                 rows[:, :size] = words[starts[i:i + WINDOWS_AT_ONCE, None] + np.arange(size)]
                 if len(rows):
                     yield np.unique(rows, axis=0) if len(rows) > 64 else rows
+            # The same with the words that stand in the place of the item's missing ends, where the walks keep step.
+            first, stop = starts - before[starts], starts + size + behind[starts + size - 1]
+            for start, end in {(max(0, a), min(len(words), b)) for a, b in zip(first.tolist(), stop.tolist()) if b - a > size}:
+                row = np.zeros((1, self.width), np.int64)
+                row[0, :end - start] = words[start:end]
+                yield row
 
     def _meet(self, rows: np.ndarray, owner: np.ndarray, items: np.ndarray, found: set[tuple[int, int]]) -> None:
         """Add the (document, item) pairs of which a window and the item have a key in common in some table to ``found``."""
