@@ -302,6 +302,18 @@ def test_vectors_from_cooccurrence_equal_the_eigenvectors(spark):
     np.testing.assert_allclose(means[1], plain, atol=1e-9)
 
 
+def test_sums_of_vectors_are_plain(spark):
+    texts = spark.createDataFrame([(1, "one two one"), (2, None), (3, "three"), (4, "two three")], "k long, t string")
+    vectors_ = spark.createDataFrame([("one", [1.0, 2.0]), ("two", [3.0, 4.0])], "word string, v array<double>")
+    weights = spark.createDataFrame([("one", "two", 0.5), ("two", "one", 0.5), ("two", "two", 2.0)], "a string, b string, weight double")
+    step = cooccurrence._step(weights, vectors_, 2)
+    assert {r.word: r.z for r in step.collect()} == {"one": [1.5, 2.0], "two": [6.5, 9.0]}
+    means = cooccurrence.mean_vectors(texts, "t", "k", vectors_.withColumnRenamed("v", "vector"))
+    assert {r.k: r.embedding for r in means.collect()} == {1: [5 / 3, 8 / 3], 4: [3.0, 4.0]}
+    for df in (step, means):  # a sum of vector objects sorts its rows beyond 128 keys
+        assert "ObjectHashAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sequences_are_pooled_under_their_mask(spark):
     frame = spark.createDataFrame([(1, "aa bb cc dd ee"), (2, "xx"), (3, ""), (4, None), (5, "yy zz")], "k long, t string")
     rows = tokens.token_sequences(frame, "t", "k", max_tokens=2, batch=3)
