@@ -131,3 +131,28 @@ def test_shuffle_partitions_follow_the_stored_size(spark, tmp_path):
     finally:
         spark.conf.unset(name)
         spark.conf.set(task, before)
+
+
+def test_many_folders_are_read_without_a_search_for_partitions(spark):
+    """Keys from the paths and the folders of one company give the rows of the partitioned read, without its list of all folders."""
+    rows = [(k, m, k * 10) for k in (1, 7, 17, 70) for m in ("a/b c", "x+y", "100%", "ä=1", None)] + [(None, "x+y", 5)]
+    frame = spark.createDataFrame(rows, "permco long, model string, v int")
+    path = scratch_path(spark, "many")
+    layouts.write_by_keys(frame, path, ["permco", "model"])
+    zeros = scratch_path(spark, "zeros")
+    layouts.write_by_keys(spark.createDataFrame([("007", "z", 71), ("0917", "z", 72)], "permco string, model string, v int"), zeros, ["permco", "model"])
+    by_path = layouts.read_by_keys(spark, path, frame.schema, ["permco", "model"])
+    partitioned = layouts.read_by_keys(spark, path, frame.schema)
+    assert by_path.columns == partitioned.columns and by_path.schema == partitioned.schema
+    wanted = set(rows)
+    assert set(map(tuple, by_path.select(frame.columns).collect())) == wanted == set(map(tuple, partitioned.select(frame.columns).collect()))
+    assert by_path.count() == len(rows)
+    schema = T.StructType([T.StructField("v", T.IntegerType())])
+    every = layouts.collect_results(spark, path, schema, HIVE_LAYOUT, "parquet", prune=False)
+    assert set(map(tuple, every.collect())) == wanted and every.columns == ["permco", "model", "v"]
+    one = layouts.collect_results(spark, path, schema, HIVE_LAYOUT, "parquet", company=7)
+    assert set(map(tuple, one.collect())) == {row for row in rows if row[0] == 7} and len(one.inputFiles()) == 5
+    padded = layouts.collect_results(spark, zeros, schema, HIVE_LAYOUT, "parquet", company=7)
+    assert padded.collect() == [(7, "z", 71)]
+    nothing = layouts.collect_results(spark, path, schema, HIVE_LAYOUT, "parquet", company=8)
+    assert nothing.collect() == [] and nothing.schema.names == ["permco", "model", "v"]
