@@ -156,3 +156,19 @@ def test_many_folders_are_read_without_a_search_for_partitions(spark):
     assert padded.collect() == [(7, "z", 71)]
     nothing = layouts.collect_results(spark, path, schema, HIVE_LAYOUT, "parquet", company=8)
     assert nothing.collect() == [] and nothing.schema.names == ["permco", "model", "v"]
+
+
+def test_tasks_of_large_inputs_are_small(spark, tmp_path):
+    """Once the shuffles follow the stored size, neither a scan nor a shuffle gives a task more than 32 MB."""
+    names = ["spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"]
+    before = {name: spark.conf.get(name, None) for name in names}
+    spark.range(20_000).write.parquet(str(tmp_path / "t.parquet"))
+    try:
+        for name in names[1:]:
+            spark.conf.set(name, str(128 << 20))
+        spark.conf.unset(names[0])
+        session.spread_for(spark, str(tmp_path / "t.parquet"), 1000)
+        assert int(spark.conf.get(names[1])) <= 16 << 20 and int(spark.conf.get(names[2])) <= 32 << 20
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
