@@ -182,6 +182,38 @@ def test_shards_trained_together_are_trained_as_alone():
         np.testing.assert_allclose(losses[i], alone.losses, rtol=1e-12)
 
 
+def test_small_groups_take_all_passes_at_once(spark, monkeypatch):
+    """One shuffle for all passes of small groups, with the weights and losses of those that are streamed pass by pass."""
+    rows = make_rows(spark, [1, 2, 3], 1, 90).union(make_rows(spark, [4], 1, 300, seed=2))
+    rows = rows.unionByName(make_rows(spark, [1], 1, 60, width=6).withColumn("model", F.lit("wide"))).cache()
+    found, made = [], []
+    own = trainer.pin
+    monkeypatch.setattr(trainer, "pin", lambda df, label: made.append(label) or own(df, label))
+    for values in (10_000, 0, 600):
+        monkeypatch.setattr(trainer, "WHOLE_VALUES", values)
+        monkeypatch.setattr(trainer, "CHUNK_VALUES", 200)
+        made.clear()
+        training = trainer.train_groups(rows, ["permco", "model"], ["unit", "id"], epochs=3)
+        assert made.count("passes") == (1 if values == 10_000 else 4)
+        found.append([{tuple(row[:3]): row.weights for row in training.weights.collect()},
+                      {tuple(row[:5]): row.loss for row in training.log.select("permco", "model", "epoch", "shard", "step", "loss").collect()}])
+    for other in found[1:]:
+        for one, two in zip(found[0], other):
+            assert one.keys() == two.keys() and len(one) > 0
+            for key in one:
+                np.testing.assert_allclose(one[key], two[key], rtol=1e-9, atol=1e-12)
+
+
+def test_variants_are_the_hashed_vectors(spark):
+    from tickerloom.functions.text import bigrams, hashed_vector, tokens
+    frame = spark.createDataFrame([(1, "Profit rises, profit falls"), (2, "merger"), (3, ""), (4, None), (5, "a"), (6, "éß öl été profit rises")], "doc long, body string")
+    words = tokens(F.col("body"))
+    got = vectors.add_variants(frame, "body").withColumns({
+        "a": hashed_vector(words, 16), "b": hashed_vector(words, 32), "c": hashed_vector(F.concat(words, bigrams(words)), 32)}).collect()
+    for row in got:
+        assert [row.uni16_avg_embedding, row.uni32_avg_embedding, row.pair32_avg_embedding] == [row.a, row.b, row.c]
+
+
 def test_passes_do_not_depend_on_arrow_batches(spark):
     rows = spark.range(400).select(
         (F.col("id") % 7).alias("permco"), "id", (F.xxhash64("id") % 2 != 0).cast("int").alias("label"),

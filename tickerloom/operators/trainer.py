@@ -3,7 +3,8 @@
 A two-class softmax layer over text vectors, trained for a few passes per (company, model).  Every group, whatever its
 size, is cut into the same number of shards by a hash of its ids.  In every pass each shard starts from the group's
 weights and takes its rows in an order of that pass; the shard results are averaged by rows.  One shard is plain
-mini-batch descent.  A shard is read as a stream of Arrow batches, so no group has to fit in memory.
+mini-batch descent.  Groups of up to ``WHOLE_VALUES`` feature values are shuffled once and take all passes in their task, many
+groups together.  A shard of a larger one is read as a stream of Arrow batches in each pass, so no group has to fit in memory.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from tickerloom.session import pin
 RATE = 0.5
 SHARDS = 4       # of every group
 LOG_STEPS = 10_000
+WHOLE_VALUES = 4_000_000  # feature values of the largest group that takes all passes in one task
+CHUNK_VALUES = 1_000_000  # feature values of groups trained together
 
 
 class Training(NamedTuple):
@@ -121,11 +124,47 @@ class _Batch:
         return np.hstack([self.flat[self.at[rows][:, None] + np.arange(width)], np.ones((len(rows), 1))])
 
 
+def _group_numbers(keys: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """First row of each group, and the number of the group of each row."""
+    number, first = np.zeros(len(keys[0]), np.int64), np.zeros(1, np.int64)
+    for key in keys:
+        codes = key.dictionary_encode(null_encoding="encode")
+        _, first, number = np.unique(number * len(codes.dictionary) + codes.indices.to_numpy(), return_index=True, return_inverse=True)
+    return first, number
+
+
+def _all_passes(table: pa.Table, on: list[str], epochs: int, shards: int, batch: int, rate: float) -> Iterator[tuple]:
+    """(rows of the shards' keys, epoch, row counts, weights, losses) of the whole groups of ``table``, each width by itself."""
+    column = {name: table.column(name).chunk(0) for name in table.column_names}
+    plain = {name: column[name].to_numpy(zero_copy_only=False) for name in ("shard", "mix", "label", *(f"turn{e}" for e in range(1, epochs + 1)))}
+    flat, sizes = column["features"].flatten().to_numpy(zero_copy_only=False), pc.list_value_length(column["features"]).to_numpy(zero_copy_only=False)
+    first, group = _group_numbers([column[name] for name in on])
+    if (sizes != sizes[first][group]).any():
+        raise ValueError("features of one group differ in length")
+    at = np.cumsum(sizes) - sizes
+    for width in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == width)
+        x1 = np.hstack([flat[at[rows][:, None] + np.arange(width)], np.ones((len(rows), 1))])
+        y = plain["label"][rows].astype(int)
+        unit = group[rows] * shards + plain["shard"][rows]
+        units, head, counts = np.unique(unit, return_index=True, return_counts=True)
+        owner = units // shards
+        starts = np.flatnonzero(np.diff(owner, prepend=-1))
+        members = np.diff(np.append(starts, len(units)))
+        share = counts / np.repeat(np.add.reduceat(counts, starts), members)
+        weights = np.zeros((len(units), 2, width + 1))
+        for epoch in range(1, epochs + 1):
+            order = np.lexsort((plain["mix"][rows], plain[f"turn{epoch}"][rows], unit))
+            after, losses = _together(x1[order], y[order], counts, weights, batch, rate)
+            yield rows[head], epoch, counts, after, losses
+            weights = np.repeat(np.add.reduceat(after * share[:, None, None], starts), members, axis=0)
+
+
 def train_groups(
     rows: DataFrame, keys: Sequence[str], ids: Sequence[str], epochs: int = EPOCHS, batch: int = TRAIN_BATCH,
     rate: float = RATE, shards: int = SHARDS, mix: Column | None = None, turn: Callable[[int], Column] | None = None,
 ) -> Training:
-    """Train every group of ``rows`` (keys, ids, label 0/1, features); pass a pinned table.
+    """Train every group of ``rows`` (keys, ids, label 0/1, features), which are read once, and again for large groups.
 
     ``mix`` is a long that names a row: its remainder is the shard.  ``turn`` gives the order of a pass (a long, from the
     column ``mix``).  Both are hashes of the ids unless given.
@@ -133,31 +172,78 @@ def train_groups(
     on = list(keys)
     mix = F.xxhash64(*ids) if mix is None else mix
     turn = turn or (lambda epoch: F.xxhash64(F.lit(epoch), "mix"))
-    ready = rows.select(*on, F.pmod(mix, F.lit(shards)).cast("int").alias("shard"), mix.alias("mix"), F.col("label").cast("int").alias("label"), "features")
-    zeros = F.array_repeat(F.lit(0.0), 2 * (F.max(F.size("features")) + 1))
-    current = ready.groupBy(*on, "shard").agg(zeros.alias("weights"))
+    ready = rows.select(*on, F.pmod(mix, F.lit(shards)).cast("int").alias("shard"), mix.alias("mix"), F.col("label").cast("int").alias("label"),
+                        F.col("features").cast("array<double>").alias("features"))
     schema = T.StructType([
         *[rows.schema[name] for name in on], T.StructField("shard", T.IntegerType()), T.StructField("epoch", T.IntegerType()),
         T.StructField("n_rows", T.LongType()), T.StructField("weights", T.ArrayType(T.DoubleType())),
         T.StructField("first_step", T.LongType()), T.StructField("losses", T.ArrayType(T.DoubleType())),
     ])
-
     out_type = to_arrow_schema(schema)
 
-    def one_pass(epoch: int):
-        def made(keys_: pa.RecordBatch, rows: list, weights: list, first: list, losses: list) -> pa.RecordBatch:
-            n = len(rows)
-            columns = [*[keys_.column(name) for name in [*on, "shard"]], [epoch] * n, rows, weights, first, losses]
-            return pa.RecordBatch.from_arrays([pa.array(column, field.type) if isinstance(column, list) else column.cast(field.type)
-                                               for column, field in zip(columns, out_type)], schema=out_type)
+    def made(epoch: int, keys_: pa.RecordBatch | pa.Table, rows: list, weights: list, first: list, losses: list) -> pa.RecordBatch:
+        n = len(rows)
+        columns = [*[keys_.column(name) for name in [*on, "shard"]], [epoch] * n, rows, weights, first, losses]
+        return pa.RecordBatch.from_arrays([pa.array(column, field.type) if isinstance(column, list) else column.cast(field.type)
+                                           for column, field in zip(columns, out_type)], schema=out_type)
+
+    whole_values, chunk_values = WHOLE_VALUES, CHUNK_VALUES
+
+    def whole_groups(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All passes of the groups; one row of epoch 0 for each group that is too large."""
+
+        def left(table: pa.Table, rows: np.ndarray) -> pa.RecordBatch:
+            keys_ = table.select([*on, "shard"]).take(pa.array(rows)).combine_chunks().to_batches()[0]
+            return made(0, keys_, [0] * len(rows), [None] * len(rows), [0] * len(rows), [None] * len(rows))
+
+        def trained(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            head, group = _group_numbers([table.column(name).chunk(0) for name in on])
+            lengths = pc.list_value_length(table.column("features")).to_numpy()
+            values = np.bincount(group, lengths, len(head))
+            if (values > whole_values).any():
+                yield left(table, head[values > whole_values])
+                table = table.filter(pa.array((values <= whole_values)[group])).combine_chunks()
+            if not table.num_rows:
+                return
+            for chosen, epoch, counts, after, losses in _all_passes(table, on, epochs, shards, batch, rate):
+                keys_ = table.select([*on, "shard"]).take(pa.array(chosen)).combine_chunks().to_batches()[0]
+                yield made(epoch, keys_, counts.tolist(), list(after.reshape(len(chosen), -1)), [0] * len(chosen), losses)
+
+        def size(parts: list[pa.RecordBatch]) -> int:
+            return sum(pc.sum(pc.list_value_length(part.column("features"))).as_py() or 0 for part in parts)
+
+        held, values, skipped = [], 0, None
+        for table in tables:
+            if skipped is not None:  # the rest of what is too large
+                table = table.filter(pc.not_equal(table.column("mark"), skipped))
+            if not table.num_rows:
+                continue
+            held.append(table)
+            values += size([table])
+            if values < chunk_values:
+                continue
+            joined = pa.Table.from_batches(held).combine_chunks()
+            marks = joined.column("mark").to_numpy()
+            cut = int(np.searchsorted(marks, marks[-1]))  # the groups of the last mark may go on
+            if cut:
+                yield from trained(joined.slice(0, cut))
+            held = joined.slice(cut).to_batches()
+            values = size(held)
+            if values > whole_values:
+                found = joined.slice(cut)
+                yield left(found, _group_numbers([found.column(name).chunk(0) for name in on])[0])
+                held, values, skipped = [], 0, int(marks[-1])
+        if held:
+            yield from trained(pa.Table.from_batches(held).combine_chunks())
 
+    def one_pass(epoch: int):
         def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, shard = None, None  # the shard that the batch before left open
 
             def closed() -> pa.RecordBatch:
                 shard.take(shard.x[:0], np.empty(0, int), last=True)
                 first, losses = shard.logged()
-                return made(key, [shard.rows], [shard.weights.ravel()], [first], [losses])
+                return made(epoch, key, [shard.rows], [shard.weights.ravel()], [first], [losses])
 
             for table in tables:
                 if not table.num_rows:
@@ -177,32 +263,44 @@ def train_groups(
                         rows = np.concatenate([np.arange(ends[i] + 1, ends[i + 1]) for i in chosen.tolist()])
                         start = np.stack([found.weights(head) for head in whole[chosen]]).reshape(len(chosen), 2, width + 1)
                         after, losses = _together(found.rows(rows, width), found.labels[rows].astype(int), counts, start, batch, rate)
-                        yield made(table.take(pa.array(whole[chosen])), counts.tolist(), list(after.reshape(len(chosen), -1)), [0] * len(chosen), losses)
+                        yield made(epoch, table.take(pa.array(whole[chosen])), counts.tolist(), list(after.reshape(len(chosen), -1)), [0] * len(chosen), losses)
                     last = int(found.heads[-1])
                     key, shard = table.slice(last, 1), _Shard(found.weights(last), batch, rate)
                     rows = np.arange(last + 1, table.num_rows)
                     shard.take(found.rows(rows, shard.weights.shape[1] - 1), found.labels[rows])
                 if len(shard.losses) >= LOG_STEPS:
                     first, losses = shard.logged()
-                    yield made(key, [0], [None], [first], [losses])
+                    yield made(epoch, key, [0], [None], [first], [losses])
             if shard is not None:
                 yield closed()
 
         return run
 
-    weights = log = None
-    for epoch in range(1, epochs + 1):
-        first = current.select(*on, "shard", F.lit(0).alias("is_row"), F.lit(0).cast("long").alias("turn"), F.lit(0).cast("long").alias("mix"),
-                               F.lit(0).alias("label"), F.col("weights").alias("features"))
-        order = turn(epoch).alias("turn")
-        turns = ready.select(*on, "shard", F.lit(1).alias("is_row"), order, "mix", "label", F.col("features").cast("array<double>").alias("features"))
-        feed = first.unionByName(turns).repartition(*on, "shard").sortWithinPartitions(*on, "shard", "is_row", "turn", "mix")
-        done = pin(feed.mapInArrow(one_pass(epoch), schema), "passes")
+    turns = [turn(epoch).alias(f"turn{epoch}") for epoch in range(1, epochs + 1)]
+    feed = ready.withColumn("mark", F.xxhash64(*on)).repartition(*on).sortWithinPartitions("mark")
+    feed = feed.select(*on, "mark", "shard", "mix", *turns, "label", "features")
+    log = pin(feed.mapInArrow(whole_groups, schema), "passes")
+    large = pin(log.where("epoch = 0").select(*[F.col(name).alias(f"_{name}") for name in on]).distinct(), "large")
+    log = log.where("epoch > 0")
+
+    def means(done: DataFrame) -> DataFrame:
         average = vector_to_array(Summarizer.mean(array_to_vector(F.col("weights")), F.col("n_rows").cast("double")))
-        mean = done.where("weights is not null").groupBy(*on, "epoch").agg(average.alias("weights"))
-        weights = mean if weights is None else weights.unionByName(mean)
-        log = done if log is None else log.unionByName(done)
-        current = done.where("weights is not null").select(*on, "shard").join(mean.drop("epoch"), on)
+        return done.where("weights is not null").groupBy(*on, "epoch").agg(average.alias("weights"))
+
+    weights = means(log)
+    if not large.isEmpty():
+        ready = pin(ready.join(large, [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in on], "left_semi"), "large-rows")
+        zeros = F.array_repeat(F.lit(0.0), 2 * (F.max(F.size("features")) + 1))
+        current = ready.groupBy(*on, "shard").agg(zeros.alias("weights"))
+        for epoch in range(1, epochs + 1):
+            first = current.select(*on, "shard", F.lit(0).alias("is_row"), F.lit(0).cast("long").alias("turn"), F.lit(0).cast("long").alias("mix"),
+                                   F.lit(0).alias("label"), F.col("weights").alias("features"))
+            ordered = ready.select(*on, "shard", F.lit(1).alias("is_row"), turn(epoch).alias("turn"), "mix", "label", "features")
+            feed = first.unionByName(ordered).repartition(*on, "shard").sortWithinPartitions(*on, "shard", "is_row", "turn", "mix")
+            done = pin(feed.mapInArrow(one_pass(epoch), schema), "passes")
+            mean = means(done)
+            weights, log = weights.unionByName(mean), log.unionByName(done)
+            current = done.where("weights is not null").select(*on, "shard").join(mean.drop("epoch"), on)
     steps = log.select(*on, "epoch", "shard", "first_step", F.posexplode("losses").alias("step", "loss"))
     steps = steps.withColumn("step", (F.col("first_step") + F.col("step") + 1).cast("int")).drop("first_step")
     return Training(weights, steps)

@@ -24,12 +24,21 @@ def period_panel(daily: DataFrame, news: DataFrame, periods: Periods) -> DataFra
     return news_for_next_week(period_bars(daily, periods), dated, ["period", "permco"])
 
 
-def labelled_vectors(panel: DataFrame, variants: dict[str, tuple[str, int]] = VARIANTS) -> DataFrame:
+def labelled_rows(panel: DataFrame) -> DataFrame:
+    """The distinct headline rows of a panel, which ``row_vectors`` turns to vectors."""
+    return panel.select("period", "permco", "ticker", "start_date", "headline", "direction").dropDuplicates()
+
+
+def row_vectors(rows: DataFrame, variants: dict[str, tuple[str, int]] = VARIANTS) -> DataFrame:
     """One row per headline row and encoder variant: ids, quarter, label and features."""
-    rows = panel.select("period", "permco", "ticker", "start_date", "headline", "direction").dropDuplicates()
     vectors = stack_variants(add_variants(rows, "headline", variants), variants)
     return vectors.select(
         "period", "permco", "model", "ticker", "start_date", "headline",
         quarter_index(F.col("start_date")).alias("unit"),
         label_code(F.col("direction")).alias("label"), "features",
     )
+
+
+def labelled_vectors(panel: DataFrame, variants: dict[str, tuple[str, int]] = VARIANTS) -> DataFrame:
+    """The vectors of all distinct headline rows of a panel."""
+    return row_vectors(labelled_rows(panel), variants)
