@@ -156,6 +156,13 @@ def test_training_follows_one_rule_at_every_size(spark, shards):
     assert trainer.predict_groups(rows, result, ["permco", "model"]).count() == 450
 
 
+def test_no_side_of_the_scores_passes_through_the_driver(spark):
+    rows = make_rows(spark, [1, 2], 1, 60)
+    result = trainer.train_groups(rows, ["permco", "model"], ["unit", "id"], epochs=2, batch=8)
+    for found in (trainer.training_log(result, rows, ["permco", "model"]), trainer.predict_groups(rows, result, ["permco", "model"])):
+        assert found.count() and "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_folds_fitted_together_are_fitted_as_alone():
     rng = np.random.default_rng(8)
     x1 = np.hstack([rng.normal(size=(300, 6)), np.ones((300, 1))])

@@ -307,7 +307,11 @@ def train_groups(
 
 
 def scored(test: DataFrame, weights: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Test rows with ``logits`` (array of two) and the predicted class, for each pass in ``weights``."""
+    """Test rows with ``logits`` (array of two) and the predicted class, for each pass in ``weights``.
+
+    Spark's estimate of the test rows does not know how long their vectors are, and would let it send them all through
+    the driver: the hint leaves both sides on the executors, and the vectors unsorted.
+    """
     width = F.size("features")
 
     def score(first: Column) -> Column:
@@ -315,7 +319,7 @@ def scored(test: DataFrame, weights: DataFrame, keys: Sequence[str]) -> DataFram
 
     logits = F.array(score(F.lit(1)), score(width + 2))
     return (
-        test.join(weights, list(keys)).withColumn("logits", logits)
+        test.join(weights.hint("shuffle_hash"), list(keys)).withColumn("logits", logits)
         .withColumn("predicted_direction", argmax(F.col("logits")))
         .drop("weights")
     )
