@@ -1,6 +1,12 @@
 """Files and folders."""
 
+import itertools
+import os
+from datetime import date, datetime
+from decimal import Decimal
+
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,3 +178,29 @@ def test_tasks_of_large_inputs_are_small(spark, tmp_path):
     finally:
         for name, value in before.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_local_folders_are_those_of_spark(spark, tmp_path):
+    """The same folders and rows as Spark's own writer, without the sums of Hadoop beside every file."""
+    rows = [(key, day, i, f"text {i}", Decimal(i) / 4, datetime(2020, 1, 1, 5, i % 60), [i, None], None if i % 3 else 0.5 * i)
+            for i, (key, day) in enumerate(itertools.product(["a", "", None, "a/b=c 100%", "ü+'\"#", "[x]{y}:?*\\^\x01"], [date(2020, 2, 29), None]))] * 3
+    frame = spark.createDataFrame(rows, "k string, d date, i long, s string, p decimal(10,2), t timestamp, l array<int>, x double")
+    ours, theirs = (str(tmp_path / name) for name in ("ours", "theirs"))
+    layouts.write_by_keys(frame, ours, ["k", "d"])
+    frame.write.partitionBy("k", "d").parquet(theirs)
+
+    def folders(root):
+        return sorted({os.path.relpath(at, root) for at, _, names in os.walk(root) if any(name.endswith(".parquet") for name in names)})
+
+    assert folders(ours) == folders(theirs) and len(folders(ours)) == 10
+    files = [name for _, _, names in os.walk(ours) for name in names]
+    assert sorted(files)[0] == "_SUCCESS" and not [name for name in files if name.endswith(".crc") or name.startswith(".")]
+    found, plain = (spark.read.schema(frame.schema).parquet(root) for root in (ours, theirs))
+    assert found.count() == 36 and found.exceptAll(plain).isEmpty()
+    many = str(tmp_path / "many")
+    layouts.write_by_keys(spark.range(60).selectExpr("id", "id AS k"), many, ["k"])
+    assert layouts.read_by_keys(spark, many, T.StructType.fromDDL("id long, k long"), ["k"]).rdd.getNumPartitions() <= 8
+    layouts.write_by_keys(frame.where("i < 0"), str(tmp_path / "none"), ["k", "d"])
+    assert os.listdir(tmp_path / "none") == ["_SUCCESS"]
+    with pytest.raises(AnalysisException, match="PATH_ALREADY_EXISTS"):
+        layouts.write_by_keys(frame, ours, ["k", "d"])
