@@ -5,6 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tickerloom.plans import queries
 from tickerloom.plans.panel import labelled_rows, period_panel, written_label_rows
 from tickerloom.plans.queries import QUERIES
 from tickerloom.session import pin
@@ -61,3 +62,11 @@ def test_written_rows_are_those_of_the_panel(spark):
     found = written_label_rows(daily, news, views.PERIODS)
     plain = labelled_rows(period_panel(daily, news, views.PERIODS))
     assert found.count() == plain.count() > 1000 and found.exceptAll(plain).isEmpty()
+
+
+def test_documents_are_not_copied_for_their_vectors(spark, monkeypatch):
+    labels = []
+    monkeypatch.setattr(queries, "pin", lambda df, label: labels.append(label) or pin(df, label))
+    monkeypatch.setattr(queries.cooccurrence, "word_vectors", lambda df, *_, **__: df.selectExpr("text AS word", "array(1D) AS vector").limit(1))
+    queries.QUERIES["cooccurrence_embedding"](spark, FOLDER)
+    assert labels == ["word-vectors"]
