@@ -237,7 +237,8 @@ class Index:
         longer than the rest of the item; each of these edits costs one word pair, any other one at most two.
         """
         n, edits, needed = int(self.lengths[item]), int(self.edits[item]), int(self.needed[item])
-        before, behind = (ends[words] for ends in self._ends(item))
+        known = np.where(words <= len(self.vocabulary), words, 0)  # a number beyond the vocabulary is in no item, as 0 is
+        before, behind = (ends[known] for ends in self._ends(item))
         first_words = np.flatnonzero(before <= edits)
         for size in range(max(1, n - edits), min(len(sums), n + edits) + 1):
             starts = first_words[:np.searchsorted(first_words, len(sums) - size, "right")]
